@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from incidara.llm import exact_dedup
+from incidara.llm import exact_dedup, quality
 from incidara.llm.support import read_table
 
 
@@ -24,9 +24,57 @@ FROM documents
 """
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read_table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT *, list_filter(regexp_split_to_array(text, '[ \t\n\v\f\r]+'), lambda x: x <> '') AS words,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\v\f\r]')) AS lines,
+         list_filter(list_transform(string_split(text, chr(10)), lambda x: translate(trim(regexp_replace(x, '[ \t\v\f\r]+', ' ', 'g')),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), lambda x: x <> '') AS normal
+  FROM docs
+), windows AS (
+  SELECT r, i, list_slice(words, i, i + 4) AS five FROM (SELECT r, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)
+), again AS (
+  SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, five) > 1
+), repeats AS (
+  SELECT r, count(DISTINCT pos) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + 5)) AS pos FROM again) GROUP BY r
+), lines AS (
+  SELECT host, text, line, min(context) AS context, len(string_split(line, ' ')) AS n
+  FROM (SELECT host, text, normal[i] AS line, coalesce(normal[i - 1], '') || chr(10) || coalesce(normal[i + 1], '') AS context
+        FROM (SELECT host, text, normal, unnest(range(1, len(normal) + 1)) AS i FROM w))
+  GROUP BY host, text, line
+), boilerplate AS (
+  SELECT host, line FROM lines GROUP BY host, line HAVING count(*) > 20 AND 2 * count(DISTINCT context) >= count(*)
+), shared AS (
+  SELECT host, text, sum(n)::BIGINT AS n FROM lines JOIN boilerplate USING (host, line) GROUP BY host, text
+), totals AS (
+  SELECT host, text, sum(n)::BIGINT AS n FROM lines GROUP BY host, text
+), measured AS (
+  SELECT w.doc_id, len(words) AS n_words,
+         length(regexp_replace(w.text, '[ \t\n\v\f\r]+', '', 'g')) AS word_chars,
+         length(w.text) - length(translate(w.text, '#*$%&|<>', '')) AS n_symbols,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words,
+         coalesce(shared.n, 0) AS shared_words, coalesce(totals.n, 0) AS line_words
+  FROM w LEFT JOIN repeats USING (r) LEFT JOIN shared ON shared.host = w.host AND shared.text = w.text
+         LEFT JOIN totals ON totals.host = w.host AND totals.text = w.text
+), failed AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM measured
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT (shared_words > 0 AND 100 * (line_words - shared_words) < 25 * line_words) AS kept, shared_words
+FROM failed
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup}
+    return {"op1_exact_dedup": op1_exact_dedup, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op10_quality_rules": OP10_SQL}
