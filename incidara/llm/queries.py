@@ -6,8 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from incidara.llm import exact_dedup, quality
-from incidara.llm.support import read_table
+from incidara.llm import exact_dedup, quality, token_files
+from incidara.llm.support import read_table, shared_path
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file, the same on every machine that has the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +31,12 @@ FROM documents
 """
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "token-files")
+    token_files.write_tokens(read_table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), end_id=1)
+    return token_files.token_digests(spark, path)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents"))
 
@@ -73,7 +86,11 @@ FROM failed
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op10_quality_rules": op10_quality_rules}
+    return {
+        "op1_exact_dedup": op1_exact_dedup,
+        "op4_token_files": op4_token_files,
+        "op10_quality_rules": op10_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
