@@ -1,8 +1,9 @@
 """Token ids by the tokenizers library, with each different word of a batch encoded once.
 
 A tokenizer that drops white space never looks across it, so the ids of a text are the ids of its
-words in turn.  A batch is split on ASCII white space and dictionary-encoded by Arrow; the library
-sees only the words that the worker has not met, and numpy lays the ids out by document.
+words in turn.  A byte-level one joins white space to what follows, so there the units are runs of
+white space with the word after them.  A batch is cut into units and dictionary-encoded by Arrow;
+the library sees only the units that the worker has not met, and numpy lays the ids out by document.
 """
 
 from __future__ import annotations
@@ -24,16 +25,19 @@ AT_ONCE = 4_000_000
 CALL = 20_000
 
 
-class WordEncoder:
-    """Encodes batches of texts; ``end_id`` is appended to each text."""
+def words(texts: pa.Array) -> pa.LargeListArray:
+    """The words of each text, white space dropped."""
+    return pc.ascii_split_whitespace(texts)
+
 
-    def __init__(self, path: str, end_id: int | None):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+class WordEncoder:
+    """Encodes batches of texts unit by unit; ``end_id``, if any, is appended to each text."""
 
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, tokenizer, end_id: int | None, units=words):
+        self.tokenizer = tokenizer
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.end_id = end_id
+        self.units = units
         self.known: dict[str, bytes] = {}
 
     def _ids(self, words: list[str]) -> list[bytes]:
@@ -52,7 +56,7 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of each text, and all ids in a row."""
-        lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        lists = self.units(pc.fill_null(texts.cast(pa.large_string()), ""))
         bounds = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.flatten().dictionary_encode()
         parts = self._ids(coded.dictionary.to_pylist())
@@ -80,7 +84,10 @@ class WordEncoder:
 @lru_cache(maxsize=4)
 def word_encoder(path: str, end_id: int | None) -> WordEncoder:
     """One encoder for each worker and vocabulary."""
-    return WordEncoder(path, end_id)
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    return WordEncoder(Tokenizer.from_file(path), end_id)
 
 
 def slices(texts: pa.Array, at_once: int = AT_ONCE):
