@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incidara.llm import byte_bpe, exact_dedup, quality, token_files
+from incidara.llm import byte_bpe, exact_dedup, licenses, quality, token_files, url_filter
 from incidara.llm.support import read_table, shared_path
 
 
@@ -38,6 +38,39 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(spark, path)
 
 
+#: Rules of the url query: action, host, path.
+URL_RULES = [
+    ("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"), ("block", "org", "/es/"),
+]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _op5_sql() -> str:
+    fits = lambda host, path: f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
+    ranked = sorted(URL_RULES, key=lambda r: (len(r[1]) + len(r[2]), len(r[1])), reverse=True)
+    pick = lambda what: "CASE " + " ".join(f"WHEN {fits(r[1], r[2])} THEN '{what(r)}'" for r in ranked) + " END"
+    has = lambda terms: f"regexp_matches(low, '(^|[^\\p{{L}}\\p{{N}}])({terms})([^\\p{{L}}\\p{{N}}]|$)')::INT"
+    return f"""
+WITH parts AS (
+  SELECT page_id, lower(coalesce(url, '')) AS low,
+         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages
+), judged AS (
+  SELECT *, {pick(lambda r: r[1] + r[2])} AS rule, {pick(lambda r: r[0])} AS action,
+         {has("|".join(url_filter.STRICT))} AS strict, {" + ".join(has(t) for t in url_filter.SOFT)} AS soft
+  FROM parts
+)
+SELECT page_id, host, path, rule,
+       coalesce(action, CASE WHEN strict > 0 OR soft >= {url_filter.SOFT_NEEDED} THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged
+"""
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,6 +81,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents"))
 
@@ -100,10 +137,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op4_token_files": op4_token_files,
+        "op5_url_filter": op5_url_filter,
         "op6_byte_bpe": op6_byte_bpe,
+        "op8_license_scan": op8_license_scan,
         "op10_quality_rules": op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op10_quality_rules": OP10_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op5_url_filter": _op5_sql(), "op10_quality_rules": OP10_SQL}
