@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incidara.llm import byte_bpe, exact_dedup, licenses, quality, token_files, url_filter
+from incidara.llm import byte_bpe, exact_dedup, html_text, language, licenses, quality, token_files, url_filter
 from incidara.llm.support import read_table, shared_path
 
 
@@ -32,6 +32,13 @@ FROM documents
 """
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    profiles = language.learn(docs.filter(~language.held_out()))
+    found = language.identify(docs.select("doc_id", language.held_out().alias("held_out"), "text"), profiles)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "token-files")
     token_files.write_tokens(read_table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), end_id=1)
@@ -81,6 +88,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
 
@@ -136,9 +147,11 @@ FROM failed
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op3_language_id": op3_language_id,
         "op4_token_files": op4_token_files,
         "op5_url_filter": op5_url_filter,
         "op6_byte_bpe": op6_byte_bpe,
+        "op7_html_text": op7_html_text,
         "op8_license_scan": op8_license_scan,
         "op10_quality_rules": op10_quality_rules,
     }
