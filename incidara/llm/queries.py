@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incidara.llm import byte_bpe, exact_dedup, html_text, language, licenses, quality, token_files, url_filter
+from incidara.llm import byte_bpe, exact_dedup, html_text, language, licenses, quality, simhash, token_files, url_filter
 from incidara.llm.support import read_table, shared_path
 
 
@@ -32,6 +32,10 @@ FROM documents
 """
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_components(read_table(spark, sf_dir, "documents"), width=3, radius=2)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     profiles = language.learn(docs.filter(~language.held_out()))
@@ -147,6 +151,7 @@ FROM failed
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_language_id": op3_language_id,
         "op4_token_files": op4_token_files,
         "op5_url_filter": op5_url_filter,
