@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incidara.llm import byte_bpe, exact_dedup, html_text, language, licenses, quality, simhash, token_files, url_filter
-from incidara.llm.support import read_table, shared_path
+from incidara.llm import byte_bpe, exact_dedup, html_text, language, licenses, packing, quality, simhash, token_files, url_filter
+from incidara.llm.support import read_table, settle, shared_path
 
 
 def vocabulary(name: str) -> str:
@@ -100,6 +100,11 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = settle(packing.cut(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1))
+    return packing.pack(pieces)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents"))
 
@@ -158,6 +163,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_byte_bpe": op6_byte_bpe,
         "op7_html_text": op7_html_text,
         "op8_license_scan": op8_license_scan,
+        "op9_best_fit_packing": op9_best_fit_packing,
         "op10_quality_rules": op10_quality_rules,
     }
 
