@@ -147,6 +147,18 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFIL
     return rows.mapInArrow(scan, f"{fields}, lang_pred string, score double")
 
 
+def known_only(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE) -> DataFrame:
+    """The rows of ``docs``, with their columns, whose text is in a language of ``profiles``.
+
+    Rows without a letter go.  Without any profile nothing can be told, and every row with a text stays.
+    """
+    if not profiles:
+        return docs.filter(F.col("text").isNotNull())
+    clash = {c: f"_incidara_{c}" for c in docs.columns if c in ("lang_pred", "score")}
+    marked = identify(docs.withColumnsRenamed(clash), profiles, size).filter(F.col("lang_pred") != UNKNOWN).drop("lang_pred", "score")
+    return marked.withColumnsRenamed({new: old for old, new in clash.items()}).select(*docs.columns)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Whether a document is kept from learning: a quarter of all, by its id's checksum."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))

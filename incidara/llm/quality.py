@@ -149,7 +149,9 @@ def judge(
 def clean(docs: DataFrame, host_col: str = "source", max_line_docs: int = MAX_LINE_DOCS, min_left_percent: int = MIN_LEFT_PERCENT) -> DataFrame:
     """The rows of ``docs`` that the rules keep, without their boilerplate lines.
 
-    All columns stay; ``text`` loses the lines and ``n_chars``, if there is one, is counted anew.
+    Repetition is judged on what stays of a text, so a line that a site puts at both ends of its pages
+    does not count against them; length and depletion are judged on the whole text.  All columns
+    stay; ``text`` loses the lines and ``n_chars``, if there is one, is counted anew.
     """
     columns = docs.columns
     text = text_or_empty()
@@ -160,15 +162,15 @@ def clean(docs: DataFrame, host_col: str = "source", max_line_docs: int = MAX_LI
         .groupBy(F.col("host").alias("_incidara_host"), F.col("text_hash").alias("_incidara_text"))
         .agg(F.sum("words").alias("_incidara_shared"), F.collect_set("line").alias("_incidara_lines"))
     )
-    found = measures(text)
-    n_words, repeats = found["counts"]["n_words"], found["counts"]["n_repeat_words"]
-    good = docs.filter((n_words >= 10) & (100 * repeats <= 20 * n_words)).withColumns({"_incidara_host": host, "_incidara_text": F.xxhash64(text)})
-    joined = good.join(shared, ["_incidara_host", "_incidara_text"], "left")
-    total = found["line_words"]
+    keyed = docs.withColumns({"_incidara_host": host, "_incidara_text": F.xxhash64(text)})
+    joined = keyed.join(shared, ["_incidara_host", "_incidara_text"], "left")
     whole = F.col("_incidara_lines").isNull()
-    stay = joined.filter(whole | (100 * (total - F.col("_incidara_shared")) >= min_left_percent * total))
+    total = measures(text)["line_words"]
+    left = joined.filter(whole | (100 * (total - F.col("_incidara_shared")) >= min_left_percent * total)).filter(F.size(words(text)) >= 10)
     without = F.array_join(F.filter(F.split(text, "\n"), lambda line: ~F.array_contains("_incidara_lines", F.xxhash64(normal_line(line)))), "\n")
-    stay = stay.withColumn("text", F.when(whole, F.col("text")).otherwise(without))
+    stripped = left.withColumn("text", F.when(whole, F.col("text")).otherwise(without))
+    counts = measures(text_or_empty())["counts"]
+    stay = stripped.filter(100 * counts["n_repeat_words"] <= 20 * counts["n_words"])
     if "n_chars" in columns:
         stay = stay.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return stay.select(*columns)
