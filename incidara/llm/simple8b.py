@@ -15,9 +15,13 @@ BLOCK = 1024
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1], np.int64)
 BITS = 60 // COUNTS
 
+_SMALL = np.array([k.bit_length() for k in range(1 << 16)], np.uint8)
+
 
 def _widths(ids: np.ndarray) -> np.ndarray:
     """Bits of each id."""
+    if ids.size and int(ids.max()) < len(_SMALL):
+        return _SMALL[ids]
     edges = np.uint64(1) << np.arange(64, dtype=np.uint64)
     return np.searchsorted(edges, ids.ravel(), side="right").astype(np.uint8).reshape(ids.shape)
 
@@ -27,17 +31,16 @@ def _selectors(widths: np.ndarray) -> np.ndarray:
     length = widths.shape[1]
     best = np.zeros(widths.shape, np.uint8)
     peak, span = widths, 1
-    peaks = {1: widths}
     for count in sorted(set(COUNTS[1:].tolist())):
         while span < count:  # the greatest width among the next `span` ids, one id further each time
             nxt = peak.copy()
             nxt[:, : length - span] = np.maximum(peak[:, : length - span], widths[:, span:])
             peak, span = nxt, span + 1
-            peaks[span] = peak
         selector = int(np.flatnonzero(COUNTS[1:] == count)[0]) + 1
-        np.putmask(best, peak <= BITS[selector], selector)
-        if not (peak <= BITS[selector]).any() and count > 1:
+        fits = peak <= BITS[selector]
+        if count > 1 and not fits.any():
             break
+        np.putmask(best, fits, selector)
     return best
 
 
@@ -52,7 +55,9 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     padded.reshape(-1)[:n] = ids
     held = np.full(blocks, BLOCK, np.int64)
     held[-1] = n - (blocks - 1) * BLOCK
-    selectors = _selectors(_widths(padded))
+    widths = _widths(padded)
+    widths.reshape(-1)[n:] = 64  # what fills the last block up is in no word
+    selectors = _selectors(widths)
     at, live = np.zeros(blocks, np.int64), np.arange(blocks)
     steps: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     while len(live):  # all blocks go forward together, a word at a time

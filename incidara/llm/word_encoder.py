@@ -8,6 +8,7 @@ the library sees only the units that the worker has not met, and numpy lays the
 
 from __future__ import annotations
 
+import json
 import os
 from array import array
 from functools import lru_cache
@@ -16,13 +17,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words that a worker remembers before it starts anew, and the longest of them.
-REMEMBERED = 400_000
-LONGEST = 48
+#: Units that a worker remembers, and characters in them, before the older half goes.
+REMEMBERED, REMEMBERED_CHARACTERS = 500_000, 32_000_000
 #: Characters handled at once: bounds a worker's memory whatever the batch.
-AT_ONCE = 4_000_000
+AT_ONCE = 2_000_000
 #: Words given to the library at once.
-CALL = 20_000
+CALL = 4_000
 
 
 def words(texts: pa.Array) -> pa.LargeListArray:
@@ -30,6 +30,24 @@ def words(texts: pa.Array) -> pa.LargeListArray:
     return pc.ascii_split_whitespace(texts)
 
 
+def lowered_words(texts: pa.Array) -> pa.LargeListArray:
+    """The words of each text for a tokenizer that lowers case and splits letters from marks.
+
+    A-Z are lowered here already, and marks that end a word stand apart, as the tokenizer would
+    have them: far fewer different units are left.
+    """
+    marks_apart = pc.replace_substring_regex(texts, r"([0-9A-Za-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~]+)(\s|$)", r"\1 \2\3")
+    return pc.ascii_split_whitespace(pc.ascii_lower(marks_apart))  # in this order: ascii_lower misreads slices
+
+
+def units_of(tokenizer):
+    """The coarsest cut into units that a tokenizer's own normalizer and split allow."""
+    parts = json.loads(tokenizer.to_str())
+    steps = [n["type"] for n in (parts["normalizer"] or {}).get("normalizers", [])]
+    splits = [p.get("pattern", {}).get("Regex", "") for p in (parts["pre_tokenizer"] or {}).get("pretokenizers", [])]
+    return lowered_words if "Lowercase" in steps and any(r"[\p{L}]+" in s and r"[^\s\p{L}\p{N}]+" in s for s in splits) else words
+
+
 class WordEncoder:
     """Encodes batches of texts unit by unit; ``end_id``, if any, is appended to each text."""
 
@@ -38,43 +56,46 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.end_id = end_id
         self.units = units
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, words: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known = self.known
-        new = [w for w in words if w not in known]
-        long: dict[str, bytes] = {}
-        for at in range(0, len(new), CALL):
-            some = new[at : at + CALL]
-            for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                (known if len(word) <= LONGEST else long)[word] = array("I", found.ids).tobytes()
-        if long:
-            return [known[w] if w in known else long[w] for w in words]
-        return [known[w] for w in words]
+        self.known = pa.array([], pa.large_string())
+        self.starts, self.pool = np.zeros(1, np.int32), np.zeros(0, np.uint32)  # ids of the known units
+
+    def _learn(self, new: pa.Array) -> None:
+        units, sizes, packed = new.to_pylist(), [self.starts[-1:]], [self.pool]
+        for at in range(0, len(units), CALL):
+            found = self.tokenizer.encode_batch_fast(units[at : at + CALL], add_special_tokens=False)
+            ids = [array("I", f.ids) for f in found]
+            sizes.append(np.fromiter(map(len, ids), np.int32, len(ids)))
+            packed.append(np.frombuffer(b"".join(ids), np.uint32))
+        self.known = pa.concat_arrays([self.known, new])
+        self.starts = np.concatenate([self.starts[:-1], np.cumsum(np.concatenate(sizes), dtype=np.int32)])
+        self.pool = np.concatenate(packed)
+
+    def _forget(self) -> None:
+        if len(self.known) > REMEMBERED or self.known.nbytes > REMEMBERED_CHARACTERS:
+            half = len(self.known) // 2
+            self.pool = self.pool[self.starts[half] :].copy()
+            self.starts = self.starts[half:] - self.starts[half]
+            self.known = pa.concat_arrays([self.known[half:], pa.array([], pa.large_string())])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of each text, and all ids in a row."""
         lists = self.units(pc.fill_null(texts.cast(pa.large_string()), ""))
         bounds = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.flatten().dictionary_encode()
-        parts = self._ids(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        pool = np.frombuffer(b"".join(parts), np.uint32)
-        begins = np.cumsum(sizes) - sizes
-        which = coded.indices.to_numpy(zero_copy_only=False)
-        size = sizes[which]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = pool[np.repeat(begins[which] - (ends - size), size) + np.arange(total)] if total else np.zeros(0, np.uint32)
-        upto = np.concatenate([np.zeros(1, np.int64), ends])
-        first = bounds[0]
-        counts = upto[bounds[1:] - first] - upto[bounds[:-1] - first]
+        self._forget()
+        places = pc.index_in(coded.dictionary, value_set=self.known)
+        if places.null_count:
+            before = len(self.known)
+            self._learn(coded.dictionary.filter(pc.is_null(places)))
+            places = pc.replace_with_mask(places, pc.is_null(places), pa.array(np.arange(before, len(self.known), dtype=np.int32)))
+        all_ids = pa.ListArray.from_arrays(pa.array(self.starts), pa.array(self.pool))
+        placed = all_ids.take(places.take(coded.indices))  # the ids of each unit in its place
+        ids, upto = placed.flatten().to_numpy(), placed.offsets.to_numpy().astype(np.int64)
+        counts = upto[bounds[1:] - bounds[0]] - upto[bounds[:-1] - bounds[0]]
         if self.end_id is None:
             return counts, ids
         counts = counts + 1
-        out = np.full(total + len(counts), self.end_id, np.uint32)
+        out = np.full(len(ids) + len(counts), self.end_id, np.uint32)
         inside = np.ones(len(out), bool)
         inside[np.cumsum(counts) - 1] = False
         out[inside] = ids
@@ -87,7 +108,8 @@ def word_encoder(path: str, end_id: int | None) -> WordEncoder:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    return WordEncoder(Tokenizer.from_file(path), end_id)
+    tokenizer = Tokenizer.from_file(path)
+    return WordEncoder(tokenizer, end_id, units_of(tokenizer))
 
 
 def slices(texts: pa.Array, at_once: int = AT_ONCE):
