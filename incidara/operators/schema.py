@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from incidara.functions.clean import clean_text, strip, to_number, to_time
+from incidara.functions.clean import clean_text, number_or_null, strip, to_number, to_time
 
 _KINDS = {"id": T.StringType(), "text": T.StringType(), "number": T.DoubleType(), "time": T.TimestampNTZType()}
 #: The feed's columns in order, and how each is read.
@@ -46,9 +46,18 @@ def require_columns(df: DataFrame, *columns: str) -> DataFrame:
 def conform(df: DataFrame, columns: dict[str, str] = CALL_COLUMNS) -> DataFrame:
     """``df`` with exactly the declared columns in their order: cleaned, coerced, null where absent."""
     read = {"id": strip, "text": clean_text, "number": to_number, "time": to_time}
-    return df.select(*[
-        (read[kind](F.col(name)) if name in df.columns else F.lit(None)).cast(_KINDS[kind]).alias(name) for name, kind in columns.items()
-    ])
+
+    def column(name: str, kind: str) -> Column:
+        if name not in df.columns:
+            return F.lit(None).cast(_KINDS[kind]).alias(name)
+        found = F.col(name)
+        if kind == "time" and isinstance(df.schema[name].dataType, T.TimestampNTZType):
+            return found  # as it is, so that filters still reach the source
+        if kind == "number" and isinstance(df.schema[name].dataType, T.NumericType):
+            return number_or_null(found).alias(name)
+        return read[kind](found).cast(_KINDS[kind]).alias(name)
+
+    return df.select(*[column(name, kind) for name, kind in columns.items()])
 
 
 def from_records(spark: SparkSession, records: list[dict], columns: dict[str, str] = CALL_COLUMNS) -> DataFrame:
