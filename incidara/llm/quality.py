@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from incidara.llm.support import WHITE, ascii_lower, let, text_or_empty
+from incidara.llm.support import WHITE, ascii_lower, let, settle, text_or_empty
 
 MAX_LINE_DOCS = 20
 MIN_LEFT_PERCENT = 25
@@ -61,26 +61,39 @@ def repeated_words(word_list: Column) -> Column:
 
 def measures(text: Column) -> dict[str, Column]:
     """The statistics of one text by name."""
-    bare = F.length(F.translate(text, WHITE, ""))
-    symbols = F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))
     lines = F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(WHITE)) != "")
-    counts = let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")))
+    counts = let(
+        words(text),
+        lambda w: F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            repeated_words(w).alias("n_repeat_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        ),
+    )
     return {
         "counts": counts,
-        "word_chars": bare.cast("long"),
-        "n_symbols": symbols.cast("long"),
+        "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         "line_words": F.aggregate(F.array_distinct(normal_lines(text)), F.lit(0).cast("long"), lambda n, line: n + line_length(line)),
     }
 
 
 def normal_line(line: Column) -> Column:
-    return ascii_lower(F.btrim(F.regexp_replace(line, _GAP, " "), F.lit(" ")))
+    return F.btrim(_one_space(ascii_lower(line)), F.lit(" "))
+
+
+def _one_space(text: Column) -> Column:
+    """Each run of white space but newlines as one space; most texts have no other and stay as they are."""
+    plain = ~F.contains(text, F.lit("  "))
+    for c in "\t\x0b\f\r":
+        plain = plain & ~F.contains(text, F.lit(c))
+    return F.when(plain, text).otherwise(F.regexp_replace(text, "[ \\t\\x0B\\f\\r]+", " "))
 
 
 def normal_lines(text: Column) -> Column:
     """The lines with a word, A-Z lower-cased and each run of white space made one space."""
-    return F.filter(F.transform(F.split(text, "\n"), normal_line), lambda line: line != "")
+    lines = F.transform(F.split(_one_space(ascii_lower(text)), "\n"), lambda line: F.btrim(line, F.lit(" ")))
+    return F.filter(lines, lambda line: line != "")
 
 
 def line_length(line: Column) -> Column:
@@ -126,7 +139,7 @@ def judge(
     the verdict of the first.  Columns other than id, text and host are ignored.
     """
     text = text_or_empty()
-    lines = document_lines(docs, host_col)
+    lines = settle(document_lines(docs, host_col))  # read twice
     removed = lines.join(boilerplate(lines, max_line_docs), ["host", "line"]).groupBy("host", "text_hash").agg(F.sum("words").alias("shared"))
     found = measures(text)
     rows = docs.select(
@@ -134,14 +147,14 @@ def judge(
         F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"),
         F.xxhash64(text).alias("text_hash"),
         found["counts"].alias("counts"),
-        *[found[name].alias(name) for name in ("word_chars", "n_symbols", "n_dup_lines", "line_words")],
+        *[found[name].alias(name) for name in ("n_symbols", "n_dup_lines", "line_words")],
     )
     n_words, repeats = F.col("counts.n_words"), F.col("counts.n_repeat_words")
     failed = (n_words < 10) | (100 * repeats > 20 * n_words)
     shared = F.coalesce("shared", F.lit(0).cast("long"))
     depleted = (shared > 0) & (100 * (F.col("line_words") - shared) < min_left_percent * F.col("line_words"))
     return rows.join(removed, ["host", "text_hash"], "left").select(
-        "doc_id", n_words.alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", repeats.alias("n_repeat_words"),
+        "doc_id", n_words.alias("n_words"), "counts.word_chars", "n_symbols", "n_dup_lines", repeats.alias("n_repeat_words"),
         failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), shared.alias("shared_words"),
     )
 
@@ -156,7 +169,7 @@ def clean(docs: DataFrame, host_col: str = "source", max_line_docs: int = MAX_LI
     columns = docs.columns
     text = text_or_empty()
     host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
-    lines = document_lines(docs, host_col)
+    lines = settle(document_lines(docs, host_col))  # read twice
     shared = (
         lines.join(boilerplate(lines, max_line_docs), ["host", "line"])
         .groupBy(F.col("host").alias("_incidara_host"), F.col("text_hash").alias("_incidara_text"))
