@@ -6,7 +6,8 @@ no lines.  What is left is a sequence of lines; the text length of each line, wi
 lines in a sliding window after it, is its block's size.  The text begins where block sizes surge
 over a threshold and stay, and ends where they dive to nothing; of several such runs the one with the
 most text is taken.  Lines in an ``article`` or ``main`` element are one run: the element's ends are its
-surge and dive points, so a short paragraph between long ones, or a short article, is kept whole.
+surge and dive points, so a short paragraph between long ones, or a short article, is kept whole; so
+are the ends of a container that names itself the article's body, where no such element is.
 """
 
 from __future__ import annotations
@@ -45,6 +46,14 @@ _NAMES = re.compile(
     r"comments?|disqus|replies|respond|related|recommend\w*|share|sharing|social|widget|contentinfo|complementary|search)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Outside an article also these whole names.
+_EDGE_NAMES = re.compile(r"(?:^|\s)(?:header|foot|top|bottom)(?:\s|$)", re.IGNORECASE)
+#: Names of a container that holds the article.
+_BODY_NAMES = re.compile(
+    r"(?:^|\s)(?:main|article|(?:article|post|entry|story|main|page)[_-]?(?:body|content|text)|content[_-]?(?:body|main)?)(?:\s|$)", re.IGNORECASE
+)
+#: How near a line is to the article: in such an element, in a container of such a name.
+IN_ARTICLE, IN_BODY = 2, 1
 _TAG = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
     r"|<(script|style|noscript|template|svg|iframe|object|canvas|textarea|title)\b[^>]*>.*?(?:</\1\s*>|$)"
@@ -63,33 +72,43 @@ def _is_outside(name: str, attributes: str, inside: bool) -> bool:
         return False
     if _HIDDEN.search(attributes):
         return True
-    return any(_NAMES.search(" ".join(found[1:])) for found in _NAMED.findall(attributes))
+    names = [" ".join(found[1:]).strip() for found in _NAMED.findall(attributes)]
+    return any(_NAMES.search(n) or (not inside and _EDGE_NAMES.search(n)) for n in names)
+
+
+def _level(name: str, attributes: str) -> int:
+    if name == "article":
+        return IN_ARTICLE
+    if name == "main" or (attributes and name in ("div", "section", "td") and any(_BODY_NAMES.search(" ".join(f[1:]).strip()) for f in _NAMED.findall(attributes))):
+        return IN_BODY
+    return 0
 
 
-def page_lines(page: str) -> list[tuple[str, bool]]:
-    """Lines of text outside the excluded containers, and whether each stands in an article."""
-    lines: list[tuple[str, bool]] = []
+def page_lines(page: str) -> list[tuple[str, int]]:
+    """Lines of text outside the excluded containers, and how near to the article each stands."""
+    lines: list[tuple[str, int]] = []
     parts: list[str] = []
-    open_tags: list[tuple[str, bool]] = []  # name, whether it is an excluded container
-    outside = article = 0
+    open_tags: list[tuple[str, bool, int]] = []  # name, whether it is an excluded container, its level
+    depth = [0, 0, 0]  # open containers: excluded, of bodies, of articles
+    met = False  # an article or its container has begun
 
     def end_line() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                lines.append((text, article > 0))
+                lines.append((text, IN_ARTICLE if depth[IN_ARTICLE] else IN_BODY if depth[IN_BODY] else 0))
             parts.clear()
 
     def close(count: int) -> None:
-        nonlocal outside, article
-        for name, excluded in reversed(open_tags[len(open_tags) - count :]):
-            outside -= excluded
-            article -= name in ("article", "main") and not excluded
+        for _, excluded, level in open_tags[len(open_tags) - count :]:
+            depth[0] -= excluded
+            if level:
+                depth[level] -= 1
         del open_tags[len(open_tags) - count :]
 
     at = 0
     for tag in _TAG.finditer(page):
-        if tag.start() > at and not outside:
+        if tag.start() > at and not depth[0]:
             parts.append(page[at : tag.start()])
         at = tag.end()
         if tag[3] is None:
@@ -109,6 +128,8 @@ def page_lines(page: str) -> list[tuple[str, bool]]:
             continue
         if attributes.endswith("/") and name not in _INLINE:
             continue
+        if name in ("article", "main") and depth[0] and not met:  # a container before it was never closed
+            close(len(open_tags) - next(k for k, t in enumerate(open_tags) if t[1]))
         if name in _LOOSE and open_tags:
             for back in range(len(open_tags) - 1, -1, -1):
                 if open_tags[back][0] == name:
@@ -116,22 +137,26 @@ def page_lines(page: str) -> list[tuple[str, bool]]:
                     break
                 if open_tags[back][0] not in _INLINE:
                     break
-        excluded = _is_outside(name, attributes, article > 0)
+        excluded = _is_outside(name, attributes, depth[IN_ARTICLE] > 0)
         if excluded:
             end_line()
-        outside += excluded
-        article += name in ("article", "main") and not excluded
-        open_tags.append((name, excluded))
-    if at < len(page) and not outside:
+        level = 0 if excluded or depth[0] else _level(name, attributes)
+        met |= level > 0
+        depth[0] += excluded
+        if level:
+            depth[level] += 1
+        open_tags.append((name, excluded, level))
+    if at < len(page) and not depth[0]:
         parts.append(page[at:])
     end_line()
     return lines
 
 
-def text_run(lines: list[tuple[str, bool]], window: int = WINDOW, surge: int = SURGE) -> tuple[int, int]:
+def text_run(lines: list[tuple[str, int]], window: int = WINDOW, surge: int = SURGE) -> tuple[int, int]:
     """First line of the text and the one after its last."""
-    inside = [i for i, (_, within) in enumerate(lines) if within]
-    if inside:
+    nearest = max((level for _, level in lines), default=0)
+    if nearest:
+        inside = [i for i, (_, level) in enumerate(lines) if level == nearest]
         return inside[0], inside[-1] + 1
     sizes = [len(text) for text, _ in lines]
     blocks = [sum(sizes[i : i + window]) for i in range(len(sizes))]
@@ -151,9 +176,8 @@ def extract(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
     lines = page_lines(page)
     begin, end = text_run(lines, window, surge)
     chosen = lines[begin:end]
-    if any(within for _, within in chosen):
-        chosen = [line for line in chosen if line[1]]
-    return "\n".join(text for text, _ in chosen)
+    nearest = max((level for _, level in chosen), default=0)
+    return "\n".join(text for text, level in chosen if level == nearest)
 
 
 def extract_pages(pages: DataFrame, window: int = WINDOW, surge: int = SURGE) -> DataFrame:

@@ -332,6 +332,20 @@ def test_article():
     assert html_text.extract(PAGE) == "The & title\nFirst paragraph with words.\nSh is.\nitem <1>\nitem 2\nLast paragraph"
 
 
+def test_other_page_structures():
+    text = "This is the text of the page, and it goes on."
+    parts = {
+        f'<div id="header">Top of the site</div><div class="post-content"><p>{text}</div><div>and more below</div>': text,
+        f'<main><div class="sidebar">x</div><article><p>{text}</article><p>Other</main>': text,
+        f'<main><p>{text}<div class="reader-comments"><article>I do not agree</article></div></main>': text,
+        f'<div class="ad">Never closed<article><p>{text}</p></article>': text,
+        f'<article><p>{text}</article><section class="comments"><article>A reply</article></section>': text,
+        f'<article class="post related"><header class="entry-header"><h1>T</h1></header>{text}<div hidden>no</div></article>': f"T\n{text}",
+        f'<article><table><tr><td>a<td>b</table><pre>x\n y</pre>{text}<br>z</article>': f"a\nb\nx y\n{text}\nz",
+    }
+    assert {page: html_text.extract(page) for page in parts} == parts
+
+
 def test_line_blocks_without_an_article():
     text = ["A paragraph with a good many words, so that the block is clearly over the threshold that begins a text."] * 3
     body = "".join(f"<div>{t}</div>" for t in ["Home", "About", *text, "Short.", *text, "More", "x"])
