@@ -38,11 +38,11 @@ def repeated_words(word_list: Column) -> Column:
         )
 
     def covered(found: Column) -> Column:
-        placed = F.array_sort(F.transform(found, lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
+        placed = F.sort_array(F.transform(found, lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
 
         def starts(placed: Column) -> Column:
             same = lambda x, i: F.coalesce(F.get(placed, i)["h"] == x["h"], F.lit(False))
-            return F.array_sort(F.transform(F.filter(placed, lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["at"]))
+            return F.sort_array(F.transform(F.filter(placed, lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["at"]))
 
         nothing = F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last"))
         return F.aggregate(
@@ -79,7 +79,7 @@ def measures(text: Column) -> dict[str, Column]:
 
 
 def normal_line(line: Column) -> Column:
-    return F.btrim(_one_space(ascii_lower(line)), F.lit(" "))
+    return F.btrim(let(ascii_lower(line), _one_space), F.lit(" "))
 
 
 def _one_space(text: Column) -> Column:
@@ -92,7 +92,7 @@ def _one_space(text: Column) -> Column:
 
 def normal_lines(text: Column) -> Column:
     """The lines with a word, A-Z lower-cased and each run of white space made one space."""
-    lines = F.transform(F.split(_one_space(ascii_lower(text)), "\n"), lambda line: F.btrim(line, F.lit(" ")))
+    lines = F.transform(F.split(let(ascii_lower(text), _one_space), "\n"), lambda line: F.btrim(line, F.lit(" ")))
     return F.filter(lines, lambda line: line != "")
 
 
