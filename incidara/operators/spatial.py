@@ -128,3 +128,20 @@ def crosswalk(raw: DataFrame, json_column: str = "value") -> DataFrame:
     pairs = raw.select(F.explode(F.from_json(json_column, "map<string,string>")).alias("label", "names"))
     names = F.when(F.col("names").startswith("["), F.from_json("names", "array<string>")).otherwise(F.array("names"))
     return pairs.select("label", F.explode(names).alias("boundary"))
+
+
+def crosswalk_accuracy(labelled: DataFrame, pairs: DataFrame, label: str, area: str) -> DataFrame:
+    """As ``assignment_accuracy``, where a label fits every boundary that the crosswalk has for it.
+
+    ``pairs`` is ``label, boundary``; names are compared cleaned.
+    """
+    named = pairs.select(clean_text(F.col("label")).alias("_incidara_label"), clean_text(F.col("boundary")).alias("_incidara_area")).distinct()
+    found = labelled.filter(F.col(label).isNotNull()).select(label, F.col(area).alias("_incidara_found"))
+    matched = found.join(
+        named.withColumn("_incidara_same", F.lit(True)),
+        (clean_text(F.col(label)) == F.col("_incidara_label")) & (clean_text(F.col("_incidara_found")) == F.col("_incidara_area")),
+        "left",
+    )
+    same = F.coalesce("_incidara_same", F.lit(False))
+    rows = matched.groupBy(label).agg(F.count(F.lit(1)).alias("evaluated_events"), F.count_if(same).alias("correctly_labeled"))
+    return rows.withColumn("pct_correctly_labeled", F.col("correctly_labeled") / F.col("evaluated_events") * F.lit(100)).orderBy("pct_correctly_labeled", label)

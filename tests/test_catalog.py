@@ -4,7 +4,7 @@ import pytest
 from oracle import SF, assert_same, connect
 from pyspark.sql import functions as F
 
-from incidara.plans import bindings, catalog
+from incidara.plans import bindings, catalog, flows  # noqa: F401
 
 
 @pytest.fixture(scope="module")
