@@ -18,7 +18,6 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +28,8 @@ from incidara.llm.support import settle, text_or_empty
 SEED = 42
 #: Fingerprints in a shard above which it is dealt again.
 SHARD = 4096
+#: Rows of shards that a task takes at about once.
+TASK_ROWS = 65_536
 #: Shingles handled at once.
 _AT_ONCE = 1 << 16
 
@@ -145,36 +146,49 @@ def links(prints: DataFrame, radius: int, bits: int = 64, shard: int = SHARD) ->
 
     A shard gives at most one link for each of its fingerprints, never its pairs.
     """
-    whole = (1 << 64) - 1 if bits == 64 else (1 << bits) - 1
+    whole = (1 << bits) - 1
     masks = shard_masks(bits, 0, radius)
     dealt = _keyed(prints, masks)
     sizes = dealt.groupBy("shape", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = settle(dealt.join(sizes, ["shape", "value"]).select("shape", "value", "fp", "n"))
-
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        values = rows["fp"].to_numpy().astype(np.int64).view(np.uint64)
-        values = np.sort(values)
-        stands = local_links(values, radius)
-        moved = stands != np.arange(len(values))
-        return pd.DataFrame({"a": values[moved].view(np.int64), "b": values[stands[moved]].view(np.int64)})
-
-    found = met.filter(F.col("n") <= shard).groupBy("shape", "value").applyInPandas(search, "a long, b long")
+    met = settle(dealt.join(sizes, ["shape", "value"]).select("fp", "shape", "n", F.xxhash64("shape", "value").alias("shard")))
     large = met.filter(F.col("n") > shard)
+    found = _search(met.filter(F.col("n") <= shard).select("fp", "shard"), radius)
     if not large.isEmpty():
         # the bits free in a shard are those its mask leaves out; they are cut into blocks again
         again: Column | None = None
         for k, mask in enumerate(masks):
             free = [b for b in range(bits) if not mask >> b & 1]
-            inner = []
-            for chosen in shard_masks(len(free), 0, radius):
-                inner.append(sum(1 << free[b] for b in range(len(free)) if chosen >> b & 1) | (mask & whole))
-            places = F.array(*[F.struct(F.lit(j).alias("inner"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("under")) for j, m in enumerate(inner)])
-            again = F.when(F.col("shape") == k, places) if again is None else again.when(F.col("shape") == k, places)
-        finer = large.select("shape", "fp", F.inline(again))
-        found = found.unionByName(finer.groupBy("shape", "inner", "under").applyInPandas(search, "a long, b long"))
+            inner = [sum(1 << free[b] for b in range(len(free)) if chosen >> b & 1) | (mask & whole) for chosen in shard_masks(len(free), 0, radius)]
+            keys = F.array(*[F.xxhash64(F.lit(j), "shard", F.col("fp").bitwiseAND(F.lit(_signed(m)))) for j, m in enumerate(inner)])
+            again = F.when(F.col("shape") == k, keys) if again is None else again.when(F.col("shape") == k, keys)
+        found = found.unionByName(_search(settle(large.select("fp", F.explode(again).alias("shard"))), radius))
     return found.distinct()
 
 
+def _search(dealt: DataFrame, radius: int) -> DataFrame:
+    """Links inside each ``shard`` of ``dealt``; a task takes whole shards, about ``TASK_ROWS`` rows of them."""
+
+    def search(table: pa.Table) -> pa.Table:
+        values, shards = table["fp"].to_numpy().view(np.uint64), table["shard"].to_numpy()
+        order = np.lexsort((values, shards))
+        values, shards = values[order], shards[order]
+        edges = np.flatnonzero(np.concatenate([[True], shards[1:] != shards[:-1], [True]]))
+        a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if end - begin < 2:
+                continue
+            some = values[begin:end]
+            stands = local_links(some, radius)
+            moved = stands != np.arange(len(some))
+            a.append(some[moved])
+            b.append(some[stands[moved]])
+        return pa.table({"a": np.concatenate(a).view(np.int64), "b": np.concatenate(b).view(np.int64)})
+
+    tasks = max(1, -(-dealt.count() // TASK_ROWS))
+    coarse = dealt.withColumn("task", F.pmod(F.xxhash64("shard", F.lit(7)), F.lit(tasks)))
+    return coarse.groupBy("task").applyInArrow(search, "a long, b long")
+
+
 def near_components(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of each row of ``docs``.
 
