@@ -23,6 +23,7 @@ from pyspark.sql.types import TimestampNTZType
 from incidara.functions.calendar import iso_date, time_literal
 from incidara.operators.schema import CALL_COLUMNS, conform
 from incidara.roles import Roles
+from incidara.shipping import ship
 
 
 def positive(value, name: str, kind: type | tuple = int):
@@ -132,6 +133,7 @@ class PagedRest(DataSource):
 
 def read_calls(spark: SparkSession, endpoint: str, start_date: str, end_date: str | None = None, **options) -> DataFrame:
     """The feed from ``start_date`` on, cleaned and typed.  Lets the session push filters to Python sources."""
+    ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PagedRest)
     settings = {"endpoint": endpoint, "start": iso_date(start_date)} | ({"end": iso_date(end_date)} if end_date else {})
