@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from incidara.shipping import shipped
 
 #: Lines in a window, and characters at which a block surges.
 WINDOW = 3
@@ -194,4 +195,4 @@ def extract_pages(pages: DataFrame, window: int = WINDOW, surge: int = SURGE) ->
 
     kind = pages.select("page_id").schema[0].dataType.simpleString()
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(scan, f"page_id {kind}, url string, text string, n_chars long")
+    return shipped(rows).mapInArrow(scan, f"page_id {kind}, url string, text string, n_chars long")

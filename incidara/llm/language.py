@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from incidara.llm.word_encoder import slices
+from incidara.shipping import shipped
 
 #: N-grams in a profile, and of a document that are compared.
 PROFILE = 300
@@ -93,7 +94,7 @@ def learn(docs: DataFrame, size: int = PROFILE) -> dict[str, list[int]]:
             yield rows(lang)
 
     labelled = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("text").cast("string"), F.col("lang").cast("string"))
-    counted = labelled.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = shipped(labelled).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     best = counted.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= size)
     profiles: dict[str, list[int]] = {}
@@ -144,7 +145,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFIL
 
     rows = docs.select(*kept)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(scan, f"{fields}, lang_pred string, score double")
+    return shipped(rows).mapInArrow(scan, f"{fields}, lang_pred string, score double")
 
 
 def known_only(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from incidara.llm.support import text_or_empty
+from incidara.shipping import shipped
 
 #: Fixed phrases and labels whose places are counted.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -185,4 +186,4 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *out], ["doc_id", *[name for name, _ in kinds]])
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(scan, f"doc_id {kind}, {SCHEMA}")
+    return shipped(docs.select("doc_id", text_or_empty().alias("text"))).mapInArrow(scan, f"doc_id {kind}, {SCHEMA}")

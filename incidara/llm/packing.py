@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from incidara.llm.support import settle, text_or_empty
 from incidara.llm.word_encoder import slices, word_encoder
+from incidara.shipping import shipped
 
 CAPACITY = 4096
 #: Tokens that a sequence may lack and still be final at once.
@@ -56,7 +57,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACI
                 yield pa.RecordBatch.from_arrays(columns, _NAMES)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(encode, PIECE)
+    return shipped(rows).mapInArrow(encode, PIECE)
 
 
 def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
@@ -106,7 +107,7 @@ def _pack_level(rows: DataFrame, level: int, capacity: int, slack: int) -> DataF
         out = out.append_column("final", pa.array(fill[which] >= capacity - slack))
         yield from out.combine_chunks().to_batches(max_chunksize=50_000)
 
-    return rows.mapInArrow(pack, f"{PIECE}, sequence_id long, offset long, final boolean")
+    return shipped(rows).mapInArrow(pack, f"{PIECE}, sequence_id long, offset long, final boolean")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, fan: int = FAN, node: int = NODE) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from incidara.llm.components import connect
 from incidara.llm.support import settle, text_or_empty
+from incidara.shipping import shipped
 
 SEED = 42
 #: Fingerprints in a shard above which it is dealt again.
@@ -70,7 +71,7 @@ def fingerprints(docs: DataFrame, width: int, *names: str) -> DataFrame:
 
     rows = docs.select(*names, text_or_empty().alias("_incidara_text"))
     fields = "".join(f"`{n}` {rows.schema[n].dataType.simpleString()}, " for n in names)
-    return rows.mapInArrow(scan, f"{fields}fp long")
+    return shipped(rows).mapInArrow(scan, f"{fields}fp long")
 
 
 class Tree:
@@ -186,7 +187,7 @@ def _search(dealt: DataFrame, radius: int) -> DataFrame:
 
     tasks = max(1, -(-dealt.count() // TASK_ROWS))
     coarse = dealt.withColumn("task", F.pmod(F.xxhash64("shard", F.lit(7)), F.lit(tasks)))
-    return coarse.groupBy("task").applyInArrow(search, "a long, b long")
+    return shipped(coarse).groupBy("task").applyInArrow(search, "a long, b long")
 
 
 def near_components(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from incidara.llm import simple8b
 from incidara.llm.support import text_or_empty
 from incidara.llm.word_encoder import slices, word_encoder
+from incidara.shipping import shipped
 
 FORMAT = "shard int, chunk int, first long, n_ids long, doc_ids array<long>, counts array<long>, words binary, blocks binary"
 
@@ -53,7 +54,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) ->
     order = F.col("doc_id").asc_nulls_first()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     rows = rows.repartitionByRange(order).sortWithinPartitions(order, "text")
-    rows.mapInArrow(encode, FORMAT).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    shipped(rows).mapInArrow(encode, FORMAT).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def shard_starts(files: DataFrame) -> DataFrame:
@@ -80,7 +81,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 })
 
     files = spark.read.schema(FORMAT).parquet(path)
-    return files.select("n_ids", "doc_ids", "counts", "words", "blocks").mapInArrow(decode, "doc_id long, tokens array<int>")
+    return shipped(files.select("n_ids", "doc_ids", "counts", "words", "blocks")).mapInArrow(decode, "doc_id long, tokens array<int>")
 
 
 def token_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -99,6 +100,6 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
                 })
 
     files = spark.read.schema(FORMAT).parquet(path)
-    found = files.mapInArrow(decode, "shard int, doc_id long, begin long, n_tokens long, ids_crc32 long")
+    found = shipped(files).mapInArrow(decode, "shard int, doc_id long, begin long, n_tokens long, ids_crc32 long")
     placed = found.join(F.broadcast(shard_starts(files)), "shard")  # bounded: a row for each write task
     return placed.select("doc_id", (F.col("shard_start") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32")

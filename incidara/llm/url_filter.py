@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from incidara.llm.support import ascii_lower
+from incidara.shipping import shipped
 
 #: Terms of which one is enough.
 STRICT = (
@@ -94,7 +95,7 @@ def judge_urls(
 
     kind = pages.select("page_id").schema[0].dataType.simpleString()
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"))
-    scanned = rows.mapInArrow(scan, f"page_id {kind}, url string, strict_hits int, soft_terms int")
+    scanned = shipped(rows).mapInArrow(scan, f"page_id {kind}, url string, strict_hits int, soft_terms int")
     host, path = url_parts(F.col("url"))
     parts = scanned.select("page_id", host.alias("host"), path.alias("path"), "strict_hits", "soft_terms")
     rule, action = rule_for(F.col("host"), F.col("path"), rules)
