@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from incidara.llm.support import text_or_empty
 from incidara.llm.word_encoder import WordEncoder, slices
+from incidara.shipping import shipped
 
 #: Unicode white space, as the split pattern's ``\\s`` has it.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -87,44 +88,55 @@ def char_starts(ids: np.ndarray, table: list[bytes]) -> np.ndarray:
     return character[begins].astype(np.int32) if len(ids) else np.zeros(0, np.int32)
 
 
+def _encode_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str, offsets: bool) -> Iterator[pa.RecordBatch]:
+    coder, table = encoder(path, pattern), byte_table(path)
+    for batch in batches:
+        names, texts = batch.column("doc_id"), batch.column("text")
+        for at, n in slices(texts):
+            counts, ids = coder.encode(texts.slice(at, n))
+            raw = np.ascontiguousarray(ids.astype("<u4")).tobytes()
+            ends = np.cumsum(counts).tolist()
+            spans = list(zip([0, *ends], ends, strict=False))
+            out = [names.slice(at, n), pa.array(counts), pa.array([raw[4 * a : 4 * b] for a, b in spans], pa.binary())]
+            if offsets:
+                out.append(pa.array([char_starts(ids[a:b], table) for a, b in spans], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_tokens", "ids", "char_starts"][: len(out)])
+
+
+def _decode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    table = byte_table(path)
+    for batch in batches:
+        packed = batch.column(batch.schema.get_field_index("ids")).to_pylist()
+        content = [b"".join(map(table.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in packed]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(content, pa.binary())], [*batch.schema.names, "content"])
+
+
+def _texts(docs: DataFrame) -> tuple[DataFrame, str]:
+    """Ids and texts, and the fields of encoded rows."""
+    kind = docs.select("doc_id").schema[0].dataType.simpleString()
+    return docs.select("doc_id", text_or_empty().alias("text")), f"doc_id {kind}, n_tokens long, ids binary"
+
+
 def encode_texts(docs: DataFrame, path: str, pattern: str, offsets: bool = False) -> DataFrame:
     """``doc_id, n_tokens, ids`` (little-endian unsigned 32-bit) of every text.
 
     With ``offsets`` also ``char_starts array<int>``.  Null text counts as empty and has no ids;
     special tokens' strings are ordinary text.  Columns other than id and text are ignored.
     """
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, table = encoder(path, pattern), byte_table(path)
-        for batch in batches:
-            names, texts = batch.column("doc_id"), batch.column("text")
-            for at, n in slices(texts):
-                counts, ids = coder.encode(texts.slice(at, n))
-                raw = np.ascontiguousarray(ids.astype("<u4")).tobytes()
-                ends = np.cumsum(counts).tolist()
-                spans = list(zip([0, *ends], ends, strict=False))
-                out = [names.slice(at, n), pa.array(counts), pa.array([raw[4 * a : 4 * b] for a, b in spans], pa.binary())]
-                if offsets:
-                    out.append(pa.array([char_starts(ids[a:b], table) for a, b in spans], pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_tokens", "ids", "char_starts"][: len(out)])
-
-    kind = docs.select("doc_id").schema[0].dataType.simpleString()
-    rows = docs.select("doc_id", text_or_empty().alias("text"))
-    return rows.mapInArrow(encode, f"doc_id {kind}, n_tokens long, ids binary" + ", char_starts array<int>" * offsets)
+    rows, fields = _texts(docs)
+    return shipped(rows).mapInArrow(lambda batches: _encode_batches(batches, path, pattern, offsets), fields + ", char_starts array<int>" * offsets)
 
 
 def decode_ids(coded: DataFrame, path: str) -> DataFrame:
     """``coded`` and ``content``, the bytes that its ``ids`` stand for; null ids have no bytes."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema)
+    return shipped(coded).mapInArrow(lambda batches: _decode_batches(batches, path), f"{fields}, content binary")
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = byte_table(path)
-        for batch in batches:
-            packed = batch.column("ids").to_pylist()
-            content = [b"".join(map(table.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in packed]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(content, pa.binary())], [*batch.schema.names, "content"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema)
-    return coded.mapInArrow(decode, f"{fields}, content binary")
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``encode_texts`` and ``decode_ids`` of its ids in one pass of the tasks."""
+    rows, fields = _texts(docs)
+    return shipped(rows).mapInArrow(lambda batches: _decode_batches(_encode_batches(batches, path, pattern, False), path), f"{fields}, content binary")
 
 
 def as_text(content: Column) -> Column:

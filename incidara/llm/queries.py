@@ -86,8 +86,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = vocabulary("byte_bpe_50k.tiktoken")
-    coded = byte_bpe.encode_texts(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    return byte_bpe.decode_ids(coded, path).select(
+    return byte_bpe.round_trip(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("content", 256).alias("decoded_sha256")
     )
 

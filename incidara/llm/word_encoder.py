@@ -92,6 +92,7 @@ class WordEncoder:
         placed = all_ids.take(places.take(coded.indices))  # the ids of each unit in its place
         ids, upto = placed.flatten().to_numpy(), placed.offsets.to_numpy().astype(np.int64)
         counts = upto[bounds[1:] - bounds[0]] - upto[bounds[:-1] - bounds[0]]
+        pa.default_memory_pool().release_unused()  # else a worker keeps several slices' worth
         if self.end_id is None:
             return counts, ids
         counts = counts + 1
