@@ -26,6 +26,8 @@ from incidara.shipping import shipped
 PROFILE = 300
 #: Different n-grams that a task holds for a language before it passes their counts on.
 HELD = 2_000_000
+#: Characters of a text whose n-grams are held at once; a longer text is cut between words.
+AT_ONCE = 1 << 20
 UNKNOWN = "und"
 _EDGE = np.int64(0x20)
 
@@ -55,6 +57,24 @@ def grams(text: str) -> np.ndarray:
     return np.concatenate([points[inner], two, three])
 
 
+def _merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different codes and the sums of their counts."""
+    found, inverse = np.unique(np.concatenate(codes), return_inverse=True)
+    return found, np.bincount(inverse, np.concatenate(counts), len(found)).astype(np.int64)
+
+
+def gram_counts(text: str, at_once: int = AT_ONCE) -> tuple[np.ndarray, np.ndarray]:
+    """Different n-grams of one text and their counts; no n-gram crosses the spaces where it is cut."""
+    at, codes, counts = 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    while at < len(text):
+        cut = text.find(" ", at + at_once)
+        end = cut if cut >= 0 else len(text)
+        some, n = np.unique(grams(text[at:end]), return_counts=True)
+        codes, counts = _merged([codes, some], [counts, n]) if len(codes) else (some, n)
+        at = end
+    return codes, counts
+
+
 def gram_text(code: int) -> str:
     """The n-gram of a code, word ends as spaces."""
     return "".join(chr(code >> s & 0x1FFFFF) for s in (42, 21, 0) if code >> s)
@@ -68,25 +88,21 @@ def learn(docs: DataFrame, size: int = PROFILE) -> dict[str, list[int]]:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[np.ndarray]] = {}
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
         def rows(lang: str) -> pa.RecordBatch:
-            codes, inverse = np.unique(held[lang][0], return_inverse=True)
-            return pa.RecordBatch.from_pydict({
-                "lang": pa.array([lang] * len(codes)), "gram": pa.array(codes), "n": pa.array(np.bincount(inverse, held[lang][1]).astype(np.int64)),
-            })
+            codes, counts = held[lang]
+            return pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(codes), pa.string()), "gram": pa.array(codes), "n": pa.array(counts)})
 
         for batch in batches:
             for at, n in slices(batch.column("text")):
                 names = batch.column("lang").slice(at, n).to_pylist()
                 texts = batch.column("text").slice(at, n).to_pylist()
                 for lang in dict.fromkeys(names):
-                    codes, counts = np.unique(grams("\n".join(t for t, name in zip(texts, names, strict=True) if name == lang)), return_counts=True)
+                    codes, counts = gram_counts("\n".join(t for t, name in zip(texts, names, strict=True) if name == lang))
                     if lang in held:
-                        codes, counts = np.concatenate([held[lang][0], codes]), np.concatenate([held[lang][1], counts])
-                        codes, inverse = np.unique(codes, return_inverse=True)
-                        counts = np.bincount(inverse, counts, len(codes)).astype(np.int64)
-                    held[lang] = [codes, counts]
+                        codes, counts = _merged([held[lang][0], codes], [held[lang][1], counts])
+                    held[lang] = codes, counts
                     if len(codes) > HELD:
                         yield rows(lang)
                         del held[lang]
@@ -114,10 +130,9 @@ class Ranker:
             self.ranks[np.searchsorted(self.codes, profiles[name]), k] = np.arange(len(profiles[name]))
 
     def guess(self, text: str | None) -> tuple[str, float]:
-        found = grams(text or "")
-        if not len(found) or not self.names:
+        codes, counts = gram_counts(text or "")
+        if not len(codes) or not self.names:
             return UNKNOWN, 0.0
-        codes, counts = np.unique(found, return_counts=True)
         top = codes[np.argsort(-counts, kind="stable")[: self.size]]
         at = np.searchsorted(self.codes, top)
         at[self.codes[np.minimum(at, len(self.codes) - 1)] != top] = len(self.codes)
