@@ -34,10 +34,13 @@ def lowered_words(texts: pa.Array) -> pa.LargeListArray:
     """The words of each text for a tokenizer that lowers case and splits letters from marks.
 
     A-Z are lowered here already, and marks that end a word stand apart, as the tokenizer would
-    have them: far fewer different units are left.
+    have them: far fewer different units are left.  A text with a combining mark on one of A-Z keeps its
+    case, as the tokenizer composes characters before it lowers them.
     """
     marks_apart = pc.replace_substring_regex(texts, r"([0-9A-Za-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~]+)(\s|$)", r"\1 \2\3")
-    return pc.ascii_split_whitespace(pc.ascii_lower(marks_apart))  # in this order: ascii_lower misreads slices
+    lowered = pc.ascii_lower(marks_apart)  # in this order: ascii_lower misreads slices
+    composed = pc.match_substring_regex(texts, r"[A-Z]\p{M}")
+    return pc.ascii_split_whitespace(pc.if_else(composed, marks_apart, lowered) if pc.any(composed).as_py() else lowered)
 
 
 def units_of(tokenizer):

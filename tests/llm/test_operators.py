@@ -187,6 +187,14 @@ def test_language_edges(spark):
     assert language.identify(empty(spark), profiles).count() == 0
 
 
+def test_long_texts_are_counted_in_pieces():
+    text = "  The cat, dér Hund 12 x\n\nund " * 50 + "end"
+    whole = [x.tolist() for x in np.unique(language.grams(text), return_counts=True)]
+    for at_once in (1, 7, 100, 10**6):
+        assert [x.tolist() for x in language.gram_counts(text, at_once)] == whole
+    assert [len(x) for x in language.gram_counts("")] == [0, 0] == [len(x) for x in language.gram_counts("12 34 !", 2)]
+
+
 def test_rank_distance_is_out_of_place():
     ranker = language.Ranker({"a": [1, 2, 3], "b": [3, 2, 1]}, 3)
     assert ranker.ranks[np.searchsorted(ranker.codes, 3)].tolist() == [2, 0]
@@ -234,6 +242,7 @@ def test_words_are_encoded_as_in_their_text(tokenizer):
     encoder = word_encoder.WordEncoder(tokenizer, 1, word_encoder.units_of(tokenizer))
     assert encoder.units is word_encoder.lowered_words
     texts = [t or "" for _, t in TEXTS] + ["don't STOP!! 'twas É, é. ñ?! İ! a\u0307, ﬁx… x'!! 'S"] * 3
+    texts += ["H\u0331 T\u0308, W\u030a!", "<|endoftext|>, e\u0301. E\u0301.", "A\u0323\u0302? =\u0338"]
     for slice_from in (0, 3):
         array = pa.array(texts).slice(slice_from)
         counts, ids = encoder.encode(array)
