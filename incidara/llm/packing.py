@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from incidara.llm.support import settle, text_or_empty
-from incidara.llm.word_encoder import slices, word_encoder
+from incidara.llm.word_encoder import CODED_AT_ONCE, slices, word_encoder
 from incidara.shipping import shipped
 
 CAPACITY = 4096
@@ -43,7 +43,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACI
         encoder = word_encoder(tokenizer, end_id)
         for batch in batches:
             names, texts = batch.column("doc_id"), batch.column("text")
-            for at, n in slices(texts):
+            for at, n in slices(texts, CODED_AT_ONCE):
                 counts, ids = encoder.encode(texts.slice(at, n))
                 many = -(-counts // capacity)
                 doc = np.repeat(np.arange(n), many)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from incidara.llm import simple8b
 from incidara.llm.support import text_or_empty
-from incidara.llm.word_encoder import slices, word_encoder
+from incidara.llm.word_encoder import CODED_AT_ONCE, slices, word_encoder
 from incidara.shipping import shipped
 
 FORMAT = "shard int, chunk int, first long, n_ids long, doc_ids array<long>, counts array<long>, words binary, blocks binary"
@@ -39,7 +39,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) ->
         encoder = word_encoder(tokenizer, end_id)
         for batch in batches:
             names, texts = batch.column("doc_id"), batch.column("text")
-            for at, n in slices(texts):
+            for at, n in slices(texts, CODED_AT_ONCE):
                 counts, ids = encoder.encode(texts.slice(at, n))
                 words, blocks = simple8b.encode(ids)
                 yield pa.RecordBatch.from_pydict({

@@ -21,8 +21,10 @@ import pyarrow.compute as pc
 REMEMBERED, REMEMBERED_CHARACTERS = 500_000, 32_000_000
 #: Characters handled at once: bounds a worker's memory whatever the batch.
 AT_ONCE = 2_000_000
-#: Words given to the library at once.
-CALL = 4_000
+#: The same where numpy alone handles the ids: each slice looks its units up in all that are known.
+CODED_AT_ONCE = 2 * AT_ONCE
+#: Words given to the library at once, and words of plain letters in one text.
+CALL, TOGETHER = 4_000, 500
 
 
 def words(texts: pa.Array) -> pa.LargeListArray:
@@ -51,6 +53,17 @@ def units_of(tokenizer):
     return lowered_words if "Lowercase" in steps and any(r"[\p{L}]+" in s and r"[^\s\p{L}\p{N}]+" in s for s in splits) else words
 
 
+def word_ends(tokenizer) -> np.ndarray | None:
+    """For each id whether its token ends a word, where the vocabulary tells; else None."""
+    suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+    if not suffix:
+        return None
+    vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+    return ends
+
+
 class WordEncoder:
     """Encodes batches of texts unit by unit; ``end_id``, if any, is appended to each text."""
 
@@ -59,19 +72,45 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.end_id = end_id
         self.units = units
+        self.word_ends = word_ends(tokenizer) if units is lowered_words else None
         self.known = pa.array([], pa.large_string())
         self.starts, self.pool = np.zeros(1, np.int32), np.zeros(0, np.uint32)  # ids of the known units
 
-    def _learn(self, new: pa.Array) -> None:
-        units, sizes, packed = new.to_pylist(), [self.starts[-1:]], [self.pool]
-        for at in range(0, len(units), CALL):
-            found = self.tokenizer.encode_batch_fast(units[at : at + CALL], add_special_tokens=False)
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each text, and all ids in a row."""
+        sizes, packed = [np.zeros(0, np.int32)], [np.zeros(0, np.uint32)]
+        for at in range(0, len(texts), CALL):
+            found = self.tokenizer.encode_batch_fast(texts[at : at + CALL], add_special_tokens=False)
             ids = [array("I", f.ids) for f in found]
             sizes.append(np.fromiter(map(len, ids), np.int32, len(ids)))
             packed.append(np.frombuffer(b"".join(ids), np.uint32))
+        return np.concatenate(sizes), np.concatenate(packed)
+
+    def _ids_together(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for units of plain letters, many in one text: each is one word, and ends with the token that ends a word."""
+        _, ids = self._ids([" ".join(units[at : at + TOGETHER]) for at in range(0, len(units), TOGETHER)])
+        ends = np.flatnonzero(self.word_ends[ids])
+        if len(ends) != len(units):
+            return self._ids(units)
+        return np.diff(ends, prepend=-1).astype(np.int32), ids
+
+    def _learn(self, new: pa.Array) -> np.ndarray:
+        """Remember units; their places among the known."""
+        before = len(self.known)
+        plain = np.zeros(len(new), bool)
+        if self.word_ends is not None:
+            plain = pc.match_substring_regex(new, "^[a-z]+$").to_numpy(zero_copy_only=False)
+        order = np.argsort(~plain, kind="stable")
+        new = new.take(pa.array(order))
+        units, many = new.to_pylist(), int(plain.sum())
+        some, ids = self._ids_together(units[:many]) if many else self._ids([])
+        others, other_ids = self._ids(units[many:])
         self.known = pa.concat_arrays([self.known, new])
-        self.starts = np.concatenate([self.starts[:-1], np.cumsum(np.concatenate(sizes), dtype=np.int32)])
-        self.pool = np.concatenate(packed)
+        self.starts = np.cumsum(np.concatenate([[0], np.diff(self.starts), some, others]), dtype=np.int32)
+        self.pool = np.concatenate([self.pool, ids, other_ids])
+        places = np.empty(len(new), np.int32)
+        places[order] = np.arange(before, len(self.known), dtype=np.int32)
+        return places
 
     def _forget(self) -> None:
         if len(self.known) > REMEMBERED or self.known.nbytes > REMEMBERED_CHARACTERS:
@@ -88,9 +127,8 @@ class WordEncoder:
         self._forget()
         places = pc.index_in(coded.dictionary, value_set=self.known)
         if places.null_count:
-            before = len(self.known)
-            self._learn(coded.dictionary.filter(pc.is_null(places)))
-            places = pc.replace_with_mask(places, pc.is_null(places), pa.array(np.arange(before, len(self.known), dtype=np.int32)))
+            learned = self._learn(coded.dictionary.filter(pc.is_null(places)))
+            places = pc.replace_with_mask(places, pc.is_null(places), pa.array(learned))
         all_ids = pa.ListArray.from_arrays(pa.array(self.starts), pa.array(self.pool))
         placed = all_ids.take(places.take(coded.indices))  # the ids of each unit in its place
         ids, upto = placed.flatten().to_numpy(), placed.offsets.to_numpy().astype(np.int64)
