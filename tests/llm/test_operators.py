@@ -251,6 +251,16 @@ def test_words_are_encoded_as_in_their_text(tokenizer):
     assert list(word_encoder.slices(pa.array(["aa", None, "b" * 9, "c"]), 4)) == [(0, 2), (2, 1), (3, 1)]
 
 
+def test_plain_words_are_encoded_together(tokenizer, monkeypatch):
+    monkeypatch.setattr(word_encoder, "TOGETHER", 3)
+    encoder = word_encoder.WordEncoder(tokenizer, None, word_encoder.units_of(tokenizer))
+    text = "the qzx It's grüße 42 antidisestablishmentarianism s ll " + "z" * 300 + " end. Über x1 plain words follow here"
+    for part in (text, text[::-1], "", text + " more"):
+        assert encoder.encode(pa.array([part]))[1].tolist() == ids_of(tokenizer, part)[:-1]
+    encoder.word_ends[:] = False  # a vocabulary that does not tell: each unit by itself
+    assert encoder.encode(pa.array(["other plain units"]))[1].tolist() == ids_of(tokenizer, "other plain units")[:-1]
+
+
 def test_memory_of_units_is_bounded(tokenizer, monkeypatch):
     monkeypatch.setattr(word_encoder, "REMEMBERED", 50)
     encoder = word_encoder.WordEncoder(tokenizer, None)
