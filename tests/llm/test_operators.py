@@ -570,6 +570,14 @@ def test_near_copies_equal_brute_force(spark, block, monkeypatch):
     assert got == brute_roots(jaccard_links(texts))
 
 
+def test_rows_of_two_groups_are_compared():
+    wide = np.zeros((4, near_copies.WORDS), np.uint64)  # w0, x, y, z: 60 bits w0-y and x-z, 20 bits y-z, over 64 else
+    bits = lambda *spans: [int(any(a <= k < b for a, b in spans)) for k in range(320)]
+    for k, spans in enumerate([[], [(0, 140)], [(0, 60)], [(0, 80)]]):
+        wide[k] = np.packbits(bits(*spans), bitorder="little").view("<u8")
+    assert near_copies._shard_links(np.zeros(4, np.uint64), wide, 64).tolist() == [0, 0, 0, 0]
+
+
 def test_near_copy_edges(spark):
     kept = near_copies.drop_near_copies(docs(spark))
     assert kept.columns == docs(spark).columns
