@@ -570,6 +570,36 @@ def test_near_copies_equal_brute_force(spark, block, monkeypatch):
     assert got == brute_roots(jaccard_links(texts))
 
 
+def edited_texts(seed, groups, template=()):
+    """Groups of a text and five copies with one edit each: cut, appended, prepended, a block replaced, words scattered."""
+    rng = np.random.default_rng(seed)
+    new = lambda n: [f"v{rng.integers(0, 10**9)}" for _ in range(n)]
+    texts = []
+    for _ in range(groups):
+        n = int(rng.integers(30, 600))
+        base, some = new(n), int(rng.uniform(0.08, 0.18) * n)
+        at = int(rng.integers(0, n - some))
+        scattered = list(base)
+        for k in rng.choice(n, max(1, n // 60), replace=False):
+            scattered[k] = new(1)[0]
+        for words in (base, base[: n - some], base + new(some), new(some) + base, base[:at] + new(some // 2 + 1) + base[at + some // 2 + 1 :], scattered):
+            texts.append((len(texts), " ".join([*template, *words])))
+    return texts
+
+
+@pytest.mark.parametrize("block,template", [(4096, 0), (16, 40)])
+def test_contiguous_edits_equal_brute_force(spark, block, template, monkeypatch):
+    monkeypatch.setattr(near_copies, "TEXT_BLOCK", block)
+    monkeypatch.setattr(near_copies, "SHARD_BLOCK", block)
+    texts = edited_texts(5, 40, [f"t{k}" for k in range(template)])
+    links = jaccard_links(texts)
+    assert len(links) > 150
+    found = {r["node"]: r["root"] for r in rows(components.connect(near_copies.shared_links(docs(spark, texts).selectExpr("doc_id AS id", "text"), 5, 0.8)))}
+    assert all(found[a] == found[b] for a, b in links)
+    got = {r["node"]: r["root"] for r in rows(near_copies.near_groups(docs(spark, texts)))}
+    assert got == brute_roots(links)
+
+
 def test_rows_of_two_groups_are_compared():
     wide = np.zeros((4, near_copies.WORDS), np.uint64)  # w0, x, y, z: 60 bits w0-y and x-z, 20 bits y-z, over 64 else
     bits = lambda *spans: [int(any(a <= k < b for a, b in spans)) for k in range(320)]
