@@ -7,11 +7,15 @@ where more than ``max_line_docs`` texts of a host have it and at least half of t
 between different neighbouring lines (the lines of near copies keep their neighbours).  Boilerplate
 is removed; a document is depleted, and rejected, if of the words in its different lines (each line
 counted once) under ``min_left_percent`` stay.
+
+``judge`` stops there, as its SQL does.  ``clean`` also removes blocks of several lines: their lines have one
+another as neighbours, so the context that counts is the nearest line on each side that is not itself
+above the limit, in texts that would not be depleted without all such lines (near copies would be).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from incidara.llm.support import WHITE, ascii_lower, let, settle, text_or_empty
@@ -130,6 +134,27 @@ def boilerplate(lines: DataFrame, max_line_docs: int = MAX_LINE_DOCS) -> DataFra
     return counted.filter((F.col("texts") > max_line_docs) & (2 * F.col("contexts") >= F.col("texts"))).select("host", "line")
 
 
+def block_boilerplate(docs: DataFrame, lines: DataFrame, host_col: str, max_line_docs: int, min_left_percent: int) -> DataFrame:
+    """``host, line`` of the lines above the limit in blocks that stand between different lines in at least half of the texts."""
+    over = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") > max_line_docs)
+    hits = lines.join(over, ["host", "line"]).groupBy("host", "text_hash").agg(F.collect_set("line").alias("over"))
+    text = text_or_empty()
+    placed = let(normal_lines(text), lambda x: F.transform(x, lambda line: F.struct(F.xxhash64(line).alias("line"), line_length(line).alias("words"))))
+    rows = docs.select(F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.xxhash64(text).alias("text_hash"), placed.alias("lines"))
+    found = rows.join(hits, ["host", "text_hash"]).dropDuplicates(["host", "text_hash"])
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda n, line: n + line["words"])
+    own = F.filter("lines", lambda line: ~F.array_contains("over", line["line"]))
+    solid = found.filter(100 * total(own) >= min_left_percent * total(F.col("lines")))
+    flagged = F.transform("lines", lambda line, i: F.struct(i.alias("at"), line["line"].alias("line"), (~F.array_contains("over", line["line"])).alias("own")))
+    spread = solid.select("host", "text_hash", F.inline(flagged))
+    text_rows = Window.partitionBy("host", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
+    nearest = lambda order: F.coalesce(F.last(F.when(F.col("own"), F.col("line")), ignorenulls=True).over(text_rows.orderBy(order)), F.lit(0).cast("long"))
+    edges = spread.withColumns({"before": nearest(F.asc("at")), "after": nearest(F.desc("at"))}).filter(~F.col("own"))
+    contexts = edges.groupBy("host", "text_hash", "line").agg(F.min(F.xxhash64("before", "after")).alias("context"))
+    counted = contexts.groupBy("host", "line").agg(F.countDistinct("context").alias("contexts"))
+    return counted.join(over, ["host", "line"]).filter(2 * F.col("contexts") >= F.col("texts")).select("host", "line")
+
+
 def judge(
     docs: DataFrame, host_col: str = "source", max_line_docs: int = MAX_LINE_DOCS, min_left_percent: int = MIN_LEFT_PERCENT
 ) -> DataFrame:
@@ -170,8 +195,9 @@ def clean(docs: DataFrame, host_col: str = "source", max_line_docs: int = MAX_LI
     text = text_or_empty()
     host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
     lines = settle(document_lines(docs, host_col))  # read twice
+    blocks = block_boilerplate(docs, lines, host_col, max_line_docs, min_left_percent)
     shared = (
-        lines.join(boilerplate(lines, max_line_docs), ["host", "line"])
+        lines.join(boilerplate(lines, max_line_docs).unionByName(blocks).distinct(), ["host", "line"])
         .groupBy(F.col("host").alias("_incidara_host"), F.col("text_hash").alias("_incidara_text"))
         .agg(F.sum("words").alias("_incidara_shared"), F.collect_set("line").alias("_incidara_lines"))
     )

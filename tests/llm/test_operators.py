@@ -524,6 +524,19 @@ def test_boilerplate_goes_and_near_copies_stay(spark):
     assert cleaned[101]["text"] == body(101) and cleaned[300]["text"].startswith("only")
 
 
+@pytest.mark.parametrize("size", [2, 4, 10])
+def test_blocks_of_boilerplate_go(spark, size):
+    body = lambda k: "\n".join(" ".join(f"b{k}l{i}n{j}" for j in range(25)) for i in range(2))
+    head, foot = ("\n".join(f"{name} {j} of the site" for j in range(size)) for name in ("Header", "footer"))
+    pages = [(k, f"{head}\n{body(k)}\n{foot}") for k in range(30)]
+    pages += [(100, f"{head}\nthe only words of this page, and not many\n{foot}\n{foot}")] if size == 10 else []
+    copies = [(200 + k, "\n".join(f"line {j} {body(900 + j)}" for j in range(20)) + f"\nown words {k}") for k in range(40)]
+    cleaned = {r["doc_id"]: r["text"] for r in rows(quality.clean(docs(spark, pages + copies)))}
+    assert {i: t for i, t in cleaned.items() if i < 200} == {k: body(k) for k in range(30)}
+    # near copies lose at most the line that touches their own words
+    assert all(len(cleaned[i].split("\n")) >= len(t.split("\n")) - 1 for i, t in copies)
+
+
 # near copies and the pipeline
 
 
