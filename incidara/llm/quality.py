@@ -188,7 +188,8 @@ def clean(docs: DataFrame, host_col: str = "source", max_line_docs: int = MAX_LI
     """The rows of ``docs`` that the rules keep, without their boilerplate lines.
 
     Repetition is judged on what stays of a text, so a line that a site puts at both ends of its pages
-    does not count against them; length and depletion are judged on the whole text.  All columns
+    does not count against them; length on the whole text and on what stays.  A text is depleted if under
+    ``min_left_percent`` of its words stay, each line counted as often as it stands there.  All columns
     stay; ``text`` loses the lines and ``n_chars``, if there is one, is counted anew.
     """
     columns = docs.columns
@@ -199,17 +200,18 @@ def clean(docs: DataFrame, host_col: str = "source", max_line_docs: int = MAX_LI
     shared = (
         lines.join(boilerplate(lines, max_line_docs).unionByName(blocks).distinct(), ["host", "line"])
         .groupBy(F.col("host").alias("_incidara_host"), F.col("text_hash").alias("_incidara_text"))
-        .agg(F.sum("words").alias("_incidara_shared"), F.collect_set("line").alias("_incidara_lines"))
+        .agg(F.collect_set("line").alias("_incidara_lines"))
     )
     keyed = docs.withColumns({"_incidara_host": host, "_incidara_text": F.xxhash64(text)})
     joined = keyed.join(shared, ["_incidara_host", "_incidara_text"], "left")
     whole = F.col("_incidara_lines").isNull()
-    total = measures(text)["line_words"]
-    left = joined.filter(whole | (100 * (total - F.col("_incidara_shared")) >= min_left_percent * total)).filter(F.size(words(text)) >= 10)
+    long_enough = joined.filter(F.size(words(text)) >= 10)
     without = F.array_join(F.filter(F.split(text, "\n"), lambda line: ~F.array_contains("_incidara_lines", F.xxhash64(normal_line(line)))), "\n")
-    stripped = left.withColumn("text", F.when(whole, F.col("text")).otherwise(without))
-    counts = measures(text_or_empty())["counts"]
-    stay = stripped.filter(100 * counts["n_repeat_words"] <= 20 * counts["n_words"])
+    stripped = long_enough.withColumns({"text": F.when(whole, F.col("text")).otherwise(without), "_incidara_words": F.when(~whole, F.size(words(text)))})
+    left = F.size(words(text_or_empty()))
+    enough = whole | ((left >= 10) & (100 * left >= min_left_percent * F.col("_incidara_words")))
+    varied = let(measures(text_or_empty())["counts"], lambda c: 100 * c["n_repeat_words"] <= 20 * c["n_words"])
+    stay = stripped.filter(enough & varied)
     if "n_chars" in columns:
         stay = stay.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return stay.select(*columns)

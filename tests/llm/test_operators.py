@@ -524,6 +524,15 @@ def test_boilerplate_goes_and_near_copies_stay(spark):
     assert cleaned[101]["text"] == body(101) and cleaned[300]["text"].startswith("only")
 
 
+def test_what_stays_is_judged(spark):
+    body = lambda k, n=12: " ".join(f"w{k}n{j}" for j in range(n))
+    menu = "Home About CONTACT Imprint Privacy Terms Help Search Login Cart"
+    texts = [(k, f"{menu}\n{body(k)}") for k in range(30)]
+    texts += [(100, f"{menu}\n{body(100, 5)}"), (101, "\n".join([menu, menu, body(101), menu, menu])), (102, f"{menu}\n{body(102)}\n{menu}")]
+    cleaned = {r["doc_id"]: r["text"] for r in rows(quality.clean(docs(spark, texts)))}
+    assert cleaned == {k: body(k) for k in [*range(30), 102]}  # five words of 15 stay in 100, 12 of 52 in 101
+
+
 @pytest.mark.parametrize("size", [2, 4, 10])
 def test_blocks_of_boilerplate_go(spark, size):
     body = lambda k: "\n".join(" ".join(f"b{k}l{i}n{j}" for j in range(25)) for i in range(2))
