@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from incidara.llm.components import connect
+from incidara.llm.components import connect, smallest_reached
 from incidara.llm.support import settle, text_or_empty
 from incidara.shipping import shipped
 
@@ -111,14 +111,10 @@ class Tree:
 
 def local_links(values: np.ndarray, radius: int) -> np.ndarray:
     """For each fingerprint of a shard, one fingerprint that stands for all it is linked to in the shard."""
-    stands = np.arange(len(values))
     if len(values) == 2:
-        return np.zeros(2, np.int64) if int(np.bitwise_count(values[0] ^ values[1])) <= radius else stands
-    for _, near in Tree(values).search(values, radius):
-        groups = np.unique(stands[near])
-        if len(groups) > 1:
-            stands[np.isin(stands, groups[1:])] = groups[0]
-    return stands
+        return np.zeros(2, np.int64) if int(np.bitwise_count(values[0] ^ values[1])) <= radius else np.arange(2)
+    found = [(np.full(len(near), node, np.int32), near.astype(np.int32)) for node, near in Tree(values).search(values, radius)]
+    return smallest_reached(len(values), *(np.concatenate(side) for side in zip(*found, strict=True)))
 
 
 def shard_masks(bits: int, start: int, radius: int) -> list[int]:
@@ -150,7 +146,7 @@ def links(prints: DataFrame, radius: int, bits: int = 64, shard: int = SHARD) ->
     whole = (1 << bits) - 1
     masks = shard_masks(bits, 0, radius)
     dealt = _keyed(prints, masks)
-    sizes = dealt.groupBy("shape", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    sizes = settle(dealt.groupBy("shape", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))  # a large shard's join can then be split
     met = settle(dealt.join(sizes, ["shape", "value"]).select("fp", "shape", "n", F.xxhash64("shape", "value").alias("shard")))
     large = met.filter(F.col("n") > shard)
     found = _search(met.filter(F.col("n") <= shard).select("fp", "shard"), radius)
@@ -201,6 +197,6 @@ def near_components(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = connect(links(nodes.select("fp"), radius))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    names = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    names = settle(placed.groupBy("root").agg(F.min("first_id").alias("component_id")))  # so that a large component's join can be split
     named = placed.join(names, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

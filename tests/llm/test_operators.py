@@ -585,8 +585,7 @@ def near_texts(seed, groups, copies, words=120):
 
 @pytest.mark.parametrize("block", [4096, 16])
 def test_near_copies_equal_brute_force(spark, block, monkeypatch):
-    monkeypatch.setattr(near_copies, "TEXT_BLOCK", block)
-    monkeypatch.setattr(near_copies, "SHARD_BLOCK", block)
+    monkeypatch.setattr(near_copies, "BLOCK", block)
     texts = near_texts(3, 25, 3) + [(k + 1000, t) for k, t in near_texts(4, 1, 60)]
     got = {r["node"]: r["root"] for r in rows(near_copies.near_groups(docs(spark, texts)))}
     assert got == brute_roots(jaccard_links(texts))
@@ -611,23 +610,62 @@ def edited_texts(seed, groups, template=()):
 
 @pytest.mark.parametrize("block,template", [(4096, 0), (16, 40)])
 def test_contiguous_edits_equal_brute_force(spark, block, template, monkeypatch):
-    monkeypatch.setattr(near_copies, "TEXT_BLOCK", block)
-    monkeypatch.setattr(near_copies, "SHARD_BLOCK", block)
+    monkeypatch.setattr(near_copies, "BLOCK", block)
     texts = edited_texts(5, 40, [f"t{k}" for k in range(template)])
     links = jaccard_links(texts)
     assert len(links) > 150
-    found = {r["node"]: r["root"] for r in rows(components.connect(near_copies.shared_links(docs(spark, texts).selectExpr("doc_id AS id", "text"), 5, 0.8)))}
-    assert all(found[a] == found[b] for a, b in links)
     got = {r["node"]: r["root"] for r in rows(near_copies.near_groups(docs(spark, texts)))}
     assert got == brute_roots(links)
 
 
-def test_rows_of_two_groups_are_compared():
-    wide = np.zeros((4, near_copies.WORDS), np.uint64)  # w0, x, y, z: 60 bits w0-y and x-z, 20 bits y-z, over 64 else
-    bits = lambda *spans: [int(any(a <= k < b for a, b in spans)) for k in range(320)]
-    for k, spans in enumerate([[], [(0, 140)], [(0, 60)], [(0, 80)]]):
-        wide[k] = np.packbits(bits(*spans), bitorder="little").view("<u8")
-    assert near_copies._shard_links(np.zeros(4, np.uint64), wide, 64).tolist() == [0, 0, 0, 0]
+def test_rows_that_no_lead_connects_are_compared(spark):
+    """Texts 1 and 2 share keys with 0 and are too far from it, but near each other; so are many more pairs."""
+    rng = np.random.default_rng(11)
+    new = lambda n: [f"u{rng.integers(0, 10**9)}" for _ in range(n)]
+    texts = []
+    for _ in range(30):
+        base, other = new(100), new(24)
+        for words in (base, base[:76] + other, base[:70] + new(6) + other):
+            texts.append((len(texts), " ".join(words)))
+    links = jaccard_links(texts)
+    assert len(links) > 20 and not any(a % 3 == 0 for a, _ in links)
+    assert {r["node"]: r["root"] for r in rows(near_copies.near_groups(docs(spark, texts)))} == brute_roots(links)
+
+
+def grid_texts(seed, copies=3):
+    """Texts of 10 to 2,000 words over 10 to 2,000 different words, each with copies of one edit near the limit: cell, text."""
+    rng = np.random.default_rng(seed)
+    texts = []
+    for words in (10, 30, 60, 120, 500, 2000):
+        for length in (10, 20, 60, 300, 2000):
+            for base in range(6 if length < 2000 else 2):
+                base = rng.integers(0, words, length)
+                texts.append(((words, length), base))
+                for k in range(copies):
+                    some = max(1, int(length * rng.uniform(0.01, 0.17)))
+                    at = int(rng.integers(0, length - some))
+                    new = rng.integers(0, words, some)
+                    edit = [np.concatenate([base[:at], new, base[at + some :]]), base[some:], np.concatenate([base, new])][k % 3]
+                    texts.append(((words, length), edit))
+    return [(cell, " ".join(f"w{k}" for k in text)) for cell, text in texts]
+
+
+def test_no_pair_is_lost_at_any_length_and_variety(spark):
+    """Recall is 1 in every cell: all pairs at 0.8 are in one group, and the groups are those of brute force."""
+    cells = grid_texts(12)
+    texts = [(k, text) for k, (_, text) in enumerate(cells)]
+    links = jaccard_links(texts)
+    assert {cells[a][0] for a, _ in links} == {cell for cell, _ in cells}  # every cell has such pairs
+    assert {r["node"]: r["root"] for r in rows(near_copies.near_groups(docs(spark, texts)))} == brute_roots(links)
+
+
+@given(st.integers(1, 40).flatmap(lambda n: st.tuples(st.just(n), st.lists(st.tuples(st.integers(0, n - 1), st.integers(0, n - 1)), max_size=60))))
+@settings(max_examples=60, deadline=None)
+def test_smallest_reached(case):
+    n, links = case
+    got = components.smallest_reached(n, np.array([a for a, _ in links], np.int64), np.array([b for _, b in links], np.int64))
+    known = brute_roots({tuple(sorted(x)) for x in links})
+    assert got.tolist() == [known.get(k, k) for k in range(n)]
 
 
 def test_near_copy_edges(spark):
