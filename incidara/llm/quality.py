@@ -2,15 +2,12 @@
 
 Everything is a DataFrame expression.  Per document, words, repeated five-word windows and
 repeated lines are measured inside the row.  Across documents, each normalised line is hashed and
-counted once for each different text of a host, so exact copies count once.  A line is boilerplate
-where more than ``max_line_docs`` texts of a host have it and at least half of these have it
-between different neighbouring lines (the lines of near copies keep their neighbours).  Boilerplate
-is removed; a document is depleted, and rejected, if of the words in its different lines (each line
-counted once) under ``min_left_percent`` stay.
-
-``judge`` stops there, as its SQL does.  ``clean`` also removes blocks of several lines: their lines have one
-another as neighbours, so the context that counts is the nearest line on each side that is not itself
-above the limit, in texts that would not be depleted without all such lines (near copies would be).
+counted once for each different text of a host, so exact copies count once.  A line is boilerplate where
+more than ``max_line_docs`` texts of a host have it and what surrounds it differs in at least half of them,
+as the lines of near copies keep their surroundings.  That is judged twice: by the lines next to it; and,
+for blocks of several lines, which are one another's neighbours, by the nearest line on each side that is not
+itself above the limit, in texts that would not be depleted without all such lines (near copies would be).
+Boilerplate is removed; a document is depleted, and rejected, if of its words under ``min_left_percent`` stay.
 """
 
 from __future__ import annotations
@@ -22,6 +19,8 @@ from incidara.llm.support import WHITE, ascii_lower, let, settle, text_or_empty
 
 MAX_LINE_DOCS = 20
 MIN_LEFT_PERCENT = 25
+#: Rows of a table of lines up to which it is broadcast (under 10 MB); a larger one is joined by shuffle.
+BROADCAST_ROWS = 100_000
 WINDOW = 5
 _GAP = "[ \\t-\\r]+"
 
@@ -78,7 +77,6 @@ def measures(text: Column) -> dict[str, Column]:
         "counts": counts,
         "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "line_words": F.aggregate(F.array_distinct(normal_lines(text)), F.lit(0).cast("long"), lambda n, line: n + line_length(line)),
     }
 
 
@@ -105,8 +103,16 @@ def line_length(line: Column) -> Column:
     return (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
+def _host(host_col: str) -> Column:
+    return F.coalesce(F.col(host_col).cast("string"), F.lit(""))
+
+
 def document_lines(docs: DataFrame, host_col: str = "source") -> DataFrame:
-    """``host, text_hash, line, context, words``: one row for each different line of each different text."""
+    """One row for each different line of each different text of a host: ``host, text_hash, line`` and
+
+    the place ``at`` and the neighbours' ``context`` where it first stands, its ``words``, and ``times``, how often
+    it stands in all the copies of the text together.
+    """
 
     def placed(lines: Column) -> Column:
         def rows(hashes: Column) -> Column:
@@ -114,6 +120,7 @@ def document_lines(docs: DataFrame, host_col: str = "source") -> DataFrame:
             return F.transform(
                 lines,
                 lambda line, i: F.struct(
+                    i.alias("at"),
                     F.get(hashes, i).alias("line"),
                     F.xxhash64(beside(i - 1), beside(i + 1)).alias("context"),
                     line_length(line).alias("words"),
@@ -123,36 +130,48 @@ def document_lines(docs: DataFrame, host_col: str = "source") -> DataFrame:
         return let(F.transform(lines, lambda line: F.xxhash64(line)), rows)
 
     text = text_or_empty()
-    host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
-    found = docs.select(host.alias("host"), F.xxhash64(text).alias("text_hash"), F.inline(let(normal_lines(text), placed)))
-    return found.groupBy("host", "text_hash", "line").agg(F.min("context").alias("context"), F.max("words").alias("words"))
+    found = docs.select(_host(host_col).alias("host"), F.xxhash64(text).alias("text_hash"), F.inline(let(normal_lines(text), placed)))
+    first = F.min_by("context", "at").alias("context")
+    return found.groupBy("host", "text_hash", "line").agg(F.min("at").alias("at"), first, F.max("words").alias("words"), F.count(F.lit(1)).alias("times"))
 
 
-def boilerplate(lines: DataFrame, max_line_docs: int = MAX_LINE_DOCS) -> DataFrame:
-    """``host, line`` of the lines above the limit."""
-    counted = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("texts"), F.countDistinct("context").alias("contexts"))
-    return counted.filter((F.col("texts") > max_line_docs) & (2 * F.col("contexts") >= F.col("texts"))).select("host", "line")
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` written, and broadcast if it has at most ``BROADCAST_ROWS`` rows; a plain join with it can be split."""
+    df = settle(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def block_boilerplate(docs: DataFrame, lines: DataFrame, host_col: str, max_line_docs: int, min_left_percent: int) -> DataFrame:
-    """``host, line`` of the lines above the limit in blocks that stand between different lines in at least half of the texts."""
-    over = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") > max_line_docs)
-    hits = lines.join(over, ["host", "line"]).groupBy("host", "text_hash").agg(F.collect_set("line").alias("over"))
-    text = text_or_empty()
-    placed = let(normal_lines(text), lambda x: F.transform(x, lambda line: F.struct(F.xxhash64(line).alias("line"), line_length(line).alias("words"))))
-    rows = docs.select(F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.xxhash64(text).alias("text_hash"), placed.alias("lines"))
-    found = rows.join(hits, ["host", "text_hash"]).dropDuplicates(["host", "text_hash"])
-    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda n, line: n + line["words"])
-    own = F.filter("lines", lambda line: ~F.array_contains("over", line["line"]))
-    solid = found.filter(100 * total(own) >= min_left_percent * total(F.col("lines")))
-    flagged = F.transform("lines", lambda line, i: F.struct(i.alias("at"), line["line"].alias("line"), (~F.array_contains("over", line["line"])).alias("own")))
-    spread = solid.select("host", "text_hash", F.inline(flagged))
-    text_rows = Window.partitionBy("host", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
-    nearest = lambda order: F.coalesce(F.last(F.when(F.col("own"), F.col("line")), ignorenulls=True).over(text_rows.orderBy(order)), F.lit(0).cast("long"))
-    edges = spread.withColumns({"before": nearest(F.asc("at")), "after": nearest(F.desc("at"))}).filter(~F.col("own"))
-    contexts = edges.groupBy("host", "text_hash", "line").agg(F.min(F.xxhash64("before", "after")).alias("context"))
-    counted = contexts.groupBy("host", "line").agg(F.countDistinct("context").alias("contexts"))
-    return counted.join(over, ["host", "line"]).filter(2 * F.col("contexts") >= F.col("texts")).select("host", "line")
+def block_boilerplate(lines: DataFrame, min_left_percent: int) -> DataFrame:
+    """``host, line`` of the lines above the limit (``texts`` is not null) whose nearest lines below it differ in half of their texts."""
+    of_text = Window.partitionBy("host", "text_hash")
+    own = F.col("texts").isNull()
+    upto = of_text.rowsBetween(Window.unboundedPreceding, 0)
+    nearest = lambda order: F.coalesce(F.last(F.when(own, F.col("line")), ignorenulls=True).over(upto.orderBy(order)), F.lit(0).cast("long"))
+    size = F.col("words") * F.col("times")
+    solid = 100 * F.sum(F.when(own, size).otherwise(0)).over(of_text) >= min_left_percent * F.sum(size).over(of_text)
+    edges = lines.withColumns({"before": nearest(F.asc("at")), "after": nearest(F.desc("at")), "solid": solid}).filter(~own & F.col("solid"))
+    counted = edges.groupBy("host", "line").agg(F.countDistinct(F.xxhash64("before", "after")).alias("edges"), F.max("texts").alias("texts"))
+    return counted.filter(2 * F.col("edges") >= F.col("texts")).select("host", "line")
+
+
+def shared_lines(docs: DataFrame, host_col: str, max_line_docs: int, min_left_percent: int) -> DataFrame:
+    """The texts that have boilerplate: ``host, text_hash``, its ``lines``, their words ``shared`` (each line once), and whether ``depleted``."""
+    lines = settle(document_lines(docs, host_col))  # read three times
+    counted = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("texts"), F.countDistinct("context").alias("contexts"))
+    over = _small(counted.filter(F.col("texts") > max_line_docs))
+    texts = lines.join(over, ["host", "line"]).select("host", "text_hash").distinct()
+    some = settle(lines.join(texts, ["host", "text_hash"], "left_semi").join(over, ["host", "line"], "left").drop("context"))
+    alone = over.filter(2 * F.col("contexts") >= F.col("texts")).select("host", "line")
+    known = _small(alone.unionByName(block_boilerplate(some, min_left_percent)).distinct().withColumn("known", F.lit(True)))
+    marked = some.join(known, ["host", "line"], "left")
+    gone = lambda what: F.sum(F.when(F.col("known"), what))
+    size = F.col("words") * F.col("times")
+    found = marked.groupBy("host", "text_hash").agg(
+        gone(F.col("words")).alias("shared"),
+        (100 * (F.sum(size) - gone(size)) < min_left_percent * F.sum(size)).alias("depleted"),
+        F.collect_set(F.when(F.col("known"), F.col("line"))).alias("lines"),
+    )
+    return settle(found.filter("shared > 0"))  # written, so that the join of a text with many copies can be split
 
 
 def judge(
@@ -160,27 +179,25 @@ def judge(
 ) -> DataFrame:
     """Measures and verdict of each row of ``docs``.
 
-    Null text counts as no text (it fails), a null host as a host named ''.  A repeated row gets
-    the verdict of the first.  Columns other than id, text and host are ignored.
+    Null text counts as no text (it fails), a null host as a host named ''.  Each repeated row gets the same
+    verdict; rows that share an id are judged one by one.  Columns other than id, text and host are ignored.
     """
     text = text_or_empty()
-    lines = settle(document_lines(docs, host_col))  # read twice
-    removed = lines.join(boilerplate(lines, max_line_docs), ["host", "line"]).groupBy("host", "text_hash").agg(F.sum("words").alias("shared"))
+    removed = shared_lines(docs, host_col, max_line_docs, min_left_percent).select("host", "text_hash", "shared", "depleted")
     found = measures(text)
     rows = docs.select(
         "doc_id",
-        F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"),
+        _host(host_col).alias("host"),
         F.xxhash64(text).alias("text_hash"),
         found["counts"].alias("counts"),
-        *[found[name].alias(name) for name in ("n_symbols", "n_dup_lines", "line_words")],
+        *[found[name].alias(name) for name in ("n_symbols", "n_dup_lines")],
     )
     n_words, repeats = F.col("counts.n_words"), F.col("counts.n_repeat_words")
     failed = (n_words < 10) | (100 * repeats > 20 * n_words)
-    shared = F.coalesce("shared", F.lit(0).cast("long"))
-    depleted = (shared > 0) & (100 * (F.col("line_words") - shared) < min_left_percent * F.col("line_words"))
+    depleted = F.coalesce("depleted", F.lit(False))
     return rows.join(removed, ["host", "text_hash"], "left").select(
         "doc_id", n_words.alias("n_words"), "counts.word_chars", "n_symbols", "n_dup_lines", repeats.alias("n_repeat_words"),
-        failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), shared.alias("shared_words"),
+        failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), F.coalesce("shared", F.lit(0).cast("long")).alias("shared_words"),
     )
 
 
@@ -194,22 +211,16 @@ def clean(docs: DataFrame, host_col: str = "source", max_line_docs: int = MAX_LI
     """
     columns = docs.columns
     text = text_or_empty()
-    host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
-    lines = settle(document_lines(docs, host_col))  # read twice
-    blocks = block_boilerplate(docs, lines, host_col, max_line_docs, min_left_percent)
-    shared = (
-        lines.join(boilerplate(lines, max_line_docs).unionByName(blocks).distinct(), ["host", "line"])
-        .groupBy(F.col("host").alias("_incidara_host"), F.col("text_hash").alias("_incidara_text"))
-        .agg(F.collect_set("line").alias("_incidara_lines"))
+    shared = shared_lines(docs, host_col, max_line_docs, min_left_percent).select(
+        F.col("host").alias("_incidara_host"), F.col("text_hash").alias("_incidara_text"), F.col("lines").alias("_incidara_lines"), F.col("depleted").alias("_incidara_depleted")
     )
-    keyed = docs.withColumns({"_incidara_host": host, "_incidara_text": F.xxhash64(text)})
+    keyed = docs.withColumns({"_incidara_host": _host(host_col), "_incidara_text": F.xxhash64(text)})
     joined = keyed.join(shared, ["_incidara_host", "_incidara_text"], "left")
     whole = F.col("_incidara_lines").isNull()
-    long_enough = joined.filter(F.size(words(text)) >= 10)
+    long_enough = joined.filter((F.size(words(text)) >= 10) & (whole | ~F.col("_incidara_depleted")))
     without = F.array_join(F.filter(F.split(text, "\n"), lambda line: ~F.array_contains("_incidara_lines", F.xxhash64(normal_line(line)))), "\n")
-    stripped = long_enough.withColumns({"text": F.when(whole, F.col("text")).otherwise(without), "_incidara_words": F.when(~whole, F.size(words(text)))})
-    left = F.size(words(text_or_empty()))
-    enough = whole | ((left >= 10) & (100 * left >= min_left_percent * F.col("_incidara_words")))
+    stripped = long_enough.withColumn("text", F.when(whole, F.col("text")).otherwise(without))
+    enough = whole | (F.size(words(text_or_empty())) >= 10)
     varied = let(measures(text_or_empty())["counts"], lambda c: 100 * c["n_repeat_words"] <= 20 * c["n_words"])
     stay = stripped.filter(enough & varied)
     if "n_chars" in columns:

@@ -124,30 +124,38 @@ WITH docs AS (
 ), repeats AS (
   SELECT r, count(DISTINCT pos) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + 5)) AS pos FROM again) GROUP BY r
 ), lines AS (
-  SELECT host, text, line, min(context) AS context, len(string_split(line, ' ')) AS n
-  FROM (SELECT host, text, normal[i] AS line, coalesce(normal[i - 1], '') || chr(10) || coalesce(normal[i + 1], '') AS context
+  SELECT host, text, line, min(i) AS place, arg_min(context, i) AS context, count(*) AS times, len(string_split(line, ' ')) AS n
+  FROM (SELECT host, text, i, normal[i] AS line, coalesce(normal[i - 1], '') || chr(10) || coalesce(normal[i + 1], '') AS context
         FROM (SELECT host, text, normal, unnest(range(1, len(normal) + 1)) AS i FROM w))
   GROUP BY host, text, line
+), over_limit AS (
+  SELECT host, line, count(*) AS texts, count(DISTINCT context) AS contexts FROM lines GROUP BY host, line HAVING count(*) > 20
+), flagged AS (
+  SELECT l.*, o.texts, o.line IS NULL AS own, sum(l.n * l.times) OVER part AS whole, sum(CASE WHEN o.line IS NULL THEN l.n * l.times ELSE 0 END) OVER part AS own_words,
+         last_value(CASE WHEN o.line IS NULL THEN l.line END IGNORE NULLS) OVER (PARTITION BY l.host, l.text ORDER BY place) AS before,
+         last_value(CASE WHEN o.line IS NULL THEN l.line END IGNORE NULLS) OVER (PARTITION BY l.host, l.text ORDER BY place DESC) AS after
+  FROM lines l LEFT JOIN over_limit o USING (host, line)
+  WINDOW part AS (PARTITION BY l.host, l.text)
 ), boilerplate AS (
-  SELECT host, line FROM lines GROUP BY host, line HAVING count(*) > 20 AND 2 * count(DISTINCT context) >= count(*)
+  SELECT host, line FROM over_limit WHERE 2 * contexts >= texts
+  UNION
+  SELECT host, line FROM flagged WHERE NOT own AND 100 * own_words >= 25 * whole
+  GROUP BY host, line, texts HAVING 2 * count(DISTINCT coalesce(before, '') || chr(10) || coalesce(after, '')) >= texts
 ), shared AS (
-  SELECT host, text, sum(n)::BIGINT AS n FROM lines JOIN boilerplate USING (host, line) GROUP BY host, text
-), totals AS (
-  SELECT host, text, sum(n)::BIGINT AS n FROM lines GROUP BY host, text
+  SELECT host, text, sum(n)::BIGINT AS n, sum(n * times) AS gone, max(whole) AS whole FROM flagged JOIN boilerplate USING (host, line) GROUP BY host, text
 ), measured AS (
   SELECT w.doc_id, len(words) AS n_words,
          length(regexp_replace(w.text, '[ \t\n\v\f\r]+', '', 'g')) AS word_chars,
          length(w.text) - length(translate(w.text, '#*$%&|<>', '')) AS n_symbols,
          len(lines) - len(list_distinct(lines)) AS n_dup_lines,
          coalesce(n_repeat_words, 0) AS n_repeat_words,
-         coalesce(shared.n, 0) AS shared_words, coalesce(totals.n, 0) AS line_words
+         coalesce(shared.n, 0) AS shared_words, coalesce(100 * (whole - gone) < 25 * whole, false) AS depleted
   FROM w LEFT JOIN repeats USING (r) LEFT JOIN shared ON shared.host = w.host AND shared.text = w.text
-         LEFT JOIN totals ON totals.host = w.host AND totals.text = w.text
 ), failed AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM measured
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT (shared_words > 0 AND 100 * (line_words - shared_words) < 25 * line_words) AS kept, shared_words
+       NOT base_failed AND NOT depleted AS kept, shared_words
 FROM failed
 """
 
