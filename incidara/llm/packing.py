@@ -36,7 +36,9 @@ _NAMES = ["doc_id", "piece", "start", "length", "ids_crc32"]
 def cut(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of every document: its ids and the end id, cut only where they exceed ``capacity``.
 
-    Null text counts as empty and gives the end id alone.  Columns other than id and text are ignored.
+    Null text counts as empty and gives the end id alone; the string of a special token in a text becomes that
+    token's id, as in the library.  Repeated rows and rows that share an id are cut each for itself; a null id
+    stays null.  Columns other than id and text are ignored.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

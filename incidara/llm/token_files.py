@@ -30,7 +30,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) ->
     """Encode every text of ``docs`` and write the files to ``path``.
 
     ``tokenizer`` is the path of a vocabulary file on every machine.  Null text counts as empty and
-    gives the end id alone.  Rows with equal ids stand by text; rows without an id come first.
+    gives the end id alone; the string of a special token in a text becomes that token's id, as in the library.
+    Rows with equal ids stand by text, repeated rows each for itself; rows without an id come first.
     Columns other than id and text are ignored.
     """
 

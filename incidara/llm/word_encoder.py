@@ -4,6 +4,7 @@ A tokenizer that drops white space never looks across it, so the ids of a text a
 words in turn.  A byte-level one joins white space to what follows, so there the units are runs of
 white space with the word after them.  A batch is cut into units and dictionary-encoded by Arrow;
 the library sees only the units that the worker has not met, and numpy lays the ids out by document.
+A text that holds the string of a special token is given to the library whole, as it finds these in raw text.
 """
 
 from __future__ import annotations
@@ -69,7 +70,7 @@ class WordEncoder:
 
     def __init__(self, tokenizer, end_id: int | None, units=words):
         self.tokenizer = tokenizer
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.end_id = end_id
         self.units = units
         self.word_ends = word_ends(tokenizer) if units is lowered_words else None
@@ -119,9 +120,9 @@ class WordEncoder:
             self.starts = self.starts[half:] - self.starts[half]
             self.known = pa.concat_arrays([self.known[half:], pa.array([], pa.large_string())])
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of each text, and all ids in a row."""
-        lists = self.units(pc.fill_null(texts.cast(pa.large_string()), ""))
+    def _unit_ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of each text, and all ids in a row, by way of its units."""
+        lists = self.units(texts)
         bounds = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.flatten().dictionary_encode()
         self._forget()
@@ -132,7 +133,29 @@ class WordEncoder:
         all_ids = pa.ListArray.from_arrays(pa.array(self.starts), pa.array(self.pool))
         placed = all_ids.take(places.take(coded.indices))  # the ids of each unit in its place
         ids, upto = placed.flatten().to_numpy(), placed.offsets.to_numpy().astype(np.int64)
-        counts = upto[bounds[1:] - bounds[0]] - upto[bounds[:-1] - bounds[0]]
+        return upto[bounds[1:] - bounds[0]] - upto[bounds[:-1] - bounds[0]], ids
+
+    def _with_special(self, texts: pa.Array) -> np.ndarray:
+        """Which texts hold the string of a special token."""
+        found = np.zeros(len(texts), bool)
+        for content in self.special:
+            found |= pc.match_substring(texts, content, ignore_case=True).to_numpy(zero_copy_only=False)
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of each text, and all ids in a row."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        special = self._with_special(texts)
+        if special.any():
+            counts, plain = self._unit_ids(pc.if_else(pa.array(special), "", texts))
+            sizes, whole = self._ids(texts.filter(pa.array(special)).to_pylist())
+            counts = counts.copy()
+            counts[special] = sizes
+            of_special = np.repeat(special, counts)
+            ids = np.empty(len(of_special), np.uint32)
+            ids[of_special], ids[~of_special] = whole, plain
+        else:
+            counts, ids = self._unit_ids(texts)
         pa.default_memory_pool().release_unused()  # else a worker keeps several slices' worth
         if self.end_id is None:
             return counts, ids
