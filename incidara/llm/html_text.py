@@ -1,29 +1,37 @@
 """HTML extraction by line-block distribution.
 
-A page is cut at its tags into lines, one for each block element.  Containers that never hold the
-article (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles) give
-no lines.  What is left is a sequence of lines; the text length of each line, with the lengths of the
-lines in a sliding window after it, is its block's size.  The text begins where block sizes surge
-over a threshold and stay, and ends where they dive to nothing; of several such runs the one with the
-most text is taken.  Lines in an ``article`` or ``main`` element are one run: the element's ends are its
-surge and dive points, so a short paragraph between long ones, or a short article, is kept whole; so
-are the ends of a container that names itself the article's body, where no such element is.
+A page is cut at its tags (``br`` too) into lines, one for each block element.  Containers that never hold the
+article (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles) are stripped
+with all they hold.  What is left is a sequence of lines, each with a weight: its length, and what its
+element says of it.  A line's block is the sum of weights in the window that begins at it.  Text begins at
+surge points, where a block reaches a threshold with a line that is no mere fragment or is a heading, and ends at dive points,
+where the block falls below half the threshold or a line has no weight.  All such runs are kept; runs with at
+most a window of lines between them are one, with these lines.
+
+Element names are evidence for the points: on a page with an ``article`` (else a ``main``, else a container that
+names itself the article's body), lines inside gain the threshold, so that short paragraphs and short
+articles stay whole, and lines outside lose ``OUTSIDE``.  A page none of whose blocks surges is one run.
 """
 
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
 from incidara.shipping import shipped
 
 #: Lines in a window, and characters at which a block surges.
 WINDOW = 3
 SURGE = 80
+#: Characters that a line outside of the page's article has less.
+OUTSIDE = 4 * SURGE
 
 #: Elements whose content is never text.
 _RAW = ("script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "textarea", "title")
@@ -57,7 +65,7 @@ _BODY_NAMES = re.compile(
 IN_ARTICLE, IN_BODY = 2, 1
 _TAG = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
-    r"|<(script|style|noscript|template|svg|iframe|object|canvas|textarea|title)\b[^>]*>.*?(?:</\1\s*>|$)"
+    r"|<(script|style|noscript|template|svg|iframe|object|canvas|textarea|title)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)"
     r"|</?[a-zA-Z][^<>]*>",
     re.IGNORECASE | re.DOTALL,
@@ -85,31 +93,74 @@ def _level(name: str, attributes: str) -> int:
     return 0
 
 
-def page_lines(page: str) -> list[tuple[str, int]]:
-    """Lines of text outside the excluded containers, and how near to the article each stands."""
-    lines: list[tuple[str, int]] = []
+class Line(NamedTuple):
+    """A line of text, how near to the article it stands, and whether it is a heading."""
+
+    text: str
+    level: int
+    heading: bool
+
+
+class _Open:
+    """The open elements of a page.  Opening is constant work and so, for each element opened, is closing."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, bool, int]] = []  # name, whether it is an excluded container, its level
+        self.places: dict[str, list[int]] = {}  # of the open elements of a name
+        self.excluded: list[int] = []  # places of excluded containers
+        self.blocks: list[int] = []  # places of elements that end a line
+        self.levels = [0, 0, 0]  # open containers of bodies (1) and of articles (2)
+
+    def push(self, name: str, excluded: bool, level: int) -> None:
+        at = len(self.stack)
+        self.stack.append((name, excluded, level))
+        self.places.setdefault(name, []).append(at)
+        if excluded:
+            self.excluded.append(at)
+        if name not in _INLINE:
+            self.blocks.append(at)
+        self.levels[level] += 1
+
+    def close_from(self, at: int) -> None:
+        while len(self.stack) > at:
+            name, excluded, level = self.stack.pop()
+            self.places[name].pop()
+            if excluded:
+                self.excluded.pop()
+            if name not in _INLINE:
+                self.blocks.pop()
+            self.levels[level] -= 1
+
+    def end(self, name: str) -> None:
+        """Close the nearest element of a name and what it left open; not from inside an excluded container."""
+        places = self.places.get(name)
+        if places and (name in ("body", "html") or not self.excluded or places[-1] >= self.excluded[-1]):
+            self.close_from(places[-1])
+
+    @property
+    def level(self) -> int:
+        return IN_ARTICLE if self.levels[IN_ARTICLE] else IN_BODY if self.levels[IN_BODY] else 0
+
+
+def page_lines(page: str) -> list[Line]:
+    """Lines of text outside the excluded containers; time is in proportion to the page, whatever its tags."""
+    lines: list[Line] = []
     parts: list[str] = []
-    open_tags: list[tuple[str, bool, int]] = []  # name, whether it is an excluded container, its level
-    depth = [0, 0, 0]  # open containers: excluded, of bodies, of articles
-    met = False  # an article or its container has begun
+    tags = _Open()
+    met = heading = False  # an article or its container has begun; the line is in a heading
 
     def end_line() -> None:
+        nonlocal heading
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                lines.append((text, IN_ARTICLE if depth[IN_ARTICLE] else IN_BODY if depth[IN_BODY] else 0))
+                lines.append(Line(text, tags.level, heading))
             parts.clear()
-
-    def close(count: int) -> None:
-        for _, excluded, level in open_tags[len(open_tags) - count :]:
-            depth[0] -= excluded
-            if level:
-                depth[level] -= 1
-        del open_tags[len(open_tags) - count :]
+        heading = False
 
     at = 0
     for tag in _TAG.finditer(page):
-        if tag.start() > at and not depth[0]:
+        if tag.start() > at and not tags.excluded:
             parts.append(page[at : tag.start()])
         at = tag.end()
         if tag[3] is None:
@@ -119,72 +170,67 @@ def page_lines(page: str) -> list[tuple[str, int]]:
             end_line()
         if name in _VOID:
             continue
-        if tag[2]:  # an end tag closes the nearest such element and what it left open
-            for back in range(len(open_tags) - 1, -1, -1):
-                if open_tags[back][0] == name:
-                    close(len(open_tags) - back)
-                    break
-                if open_tags[back][1] and name not in ("body", "html"):
-                    break  # it does not reach out of an excluded container
+        if tag[2]:
+            tags.end(name)
             continue
         if attributes.endswith("/") and name not in _INLINE:
             continue
-        if name in ("article", "main") and depth[0] and not met:  # a container before it was never closed
-            close(len(open_tags) - next(k for k, t in enumerate(open_tags) if t[1]))
-        if name in _LOOSE and open_tags:
-            for back in range(len(open_tags) - 1, -1, -1):
-                if open_tags[back][0] == name:
-                    close(len(open_tags) - back)
-                    break
-                if open_tags[back][0] not in _INLINE:
-                    break
-        excluded = _is_outside(name, attributes, depth[IN_ARTICLE] > 0)
+        if name in ("article", "main") and tags.excluded and not met:  # a container before it was never closed
+            tags.close_from(tags.excluded[0])
+        if name in _LOOSE and tags.blocks and tags.stack[tags.blocks[-1]][0] == name:
+            tags.close_from(tags.blocks[-1])
+        excluded = _is_outside(name, attributes, tags.levels[IN_ARTICLE] > 0)
         if excluded:
             end_line()
-        level = 0 if excluded or depth[0] else _level(name, attributes)
+        level = 0 if excluded or tags.excluded else _level(name, attributes)
         met |= level > 0
-        depth[0] += excluded
-        if level:
-            depth[level] += 1
-        open_tags.append((name, excluded, level))
-    if at < len(page) and not depth[0]:
+        heading = heading or name in _HEADINGS
+        tags.push(name, excluded, level)
+    if at < len(page) and not tags.excluded:
         parts.append(page[at:])
     end_line()
     return lines
 
 
-def text_run(lines: list[tuple[str, int]], window: int = WINDOW, surge: int = SURGE) -> tuple[int, int]:
-    """First line of the text and the one after its last."""
-    nearest = max((level for _, level in lines), default=0)
-    if nearest:
-        inside = [i for i, (_, level) in enumerate(lines) if level == nearest]
-        return inside[0], inside[-1] + 1
-    sizes = [len(text) for text, _ in lines]
-    blocks = [sum(sizes[i : i + window]) for i in range(len(sizes))]
-    best, begin = (0, 0, 0), None
-    for i, size in enumerate([*blocks, 0]):
+def weights(lines: list[Line], surge: int = SURGE, outside: int = OUTSIDE) -> list[int]:
+    """Length of each line, and on a page with a container of the article what the line's place adds or takes."""
+    nearest = max((line.level for line in lines), default=0)
+    if not nearest:
+        return [len(line.text) for line in lines]
+    return [len(line.text) + surge if line.level == nearest else max(0, len(line.text) - outside) for line in lines]
+
+
+def text_runs(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
+    """Surge and dive points of the text: first lines, and the ones after the last."""
+    own = weights(lines, surge)
+    sums = [0, *itertools.accumulate(own)]
+    blocks = [sums[min(i + window, len(own))] - sums[i] for i in range(len(own))]
+    runs: list[tuple[int, int]] = []
+    begin = None
+    for i, block in enumerate([*blocks, 0]):
         if begin is None:
-            if i < len(sizes) and size >= surge and sizes[i] and (i + 1 == len(sizes) or blocks[i + 1] > 0):
+            if i < len(own) and block >= surge and (own[i] >= surge // 4 or (lines[i].heading and own[i])):
                 begin = i
-        elif i == len(sizes) or size == 0 or (size < surge // 2 and sizes[i] < surge // 4):
-            best, begin = max(best, (sum(sizes[begin:i]), -begin, i)), None
-    total, start, end = best
-    return (-start, end) if total else (0, len(lines))
+        elif i == len(own) or not own[i] or (block < surge // 2 and own[i] < surge // 4):
+            if runs and begin - runs[-1][1] <= window and all(own[runs[-1][1] : begin]):
+                begin = runs.pop()[0]
+            runs.append((begin, i))
+            begin = None
+    return runs
 
 
 def extract(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
     """Main text of one page: its lines joined by newlines."""
     lines = page_lines(page)
-    begin, end = text_run(lines, window, surge)
-    chosen = lines[begin:end]
-    nearest = max((level for _, level in chosen), default=0)
-    return "\n".join(text for text, level in chosen if level == nearest)
+    runs = text_runs(lines, window, surge) or [(0, len(lines))]
+    return "\n".join(line.text for begin, end in runs for line in lines[begin:end])
 
 
 def extract_pages(pages: DataFrame, window: int = WINDOW, surge: int = SURGE) -> DataFrame:
     """``page_id, url, text, n_chars`` of each row of ``pages``.
 
-    Null html counts as empty and gives empty text.  Other columns are ignored.
+    Null html counts as empty and gives empty text; null ids and urls stay null.  Each repeated row is extracted
+    for itself.  Other columns are ignored.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -378,7 +379,55 @@ def test_line_blocks_without_an_article():
     text = ["A paragraph with a good many words, so that the block is clearly over the threshold that begins a text."] * 3
     body = "".join(f"<div>{t}</div>" for t in ["Home", "About", *text, "Short.", *text, "More", "x"])
     got = html_text.extract(f"<body><div>Home</div>{body}</body>").split("\n")
-    assert set(text) <= set(got) and "Short." in got and len([g for g in got if g == text[0]]) == 6
+    assert got == [*text, "Short.", *text]
+    page = lambda lengths: "".join(f"<div>{chr(97 + k) * n}</div>" for k, n in enumerate(lengths))
+    kept = lambda lengths: [t[0] for t in html_text.extract(page(lengths)).split("\n")]
+    assert kept([300, 4, 3, 4, 200, 250, 3]) == list("abcdef")  # a gap of a window is bridged
+    assert kept([300, 4, 3, 4, 5, 6, 200, 250, 3, 4]) == list("agh")  # a longer one is not; both runs stay
+    assert html_text.extract(f"<div>x</div><h2>Title</h2><div>{'t' * 200}</div><div>end</div>") == "Title\n" + "t" * 200
+
+
+def brute_runs(lines):
+    """Surge and dive points, written out line by line."""
+    nearest = max(line.level for line in lines)
+    own = [len(x.text) if not nearest else len(x.text) + 80 if x.level == nearest else max(0, len(x.text) - 320) for x in lines]
+    block = lambda i: sum(own[i : i + 3])
+    inside, state = [], False
+    for i, line in enumerate(lines):
+        if not state:
+            state = block(i) >= 80 and (own[i] >= 20 or (line.heading and own[i] > 0))
+        elif own[i] == 0 or (block(i) < 40 and own[i] < 20):
+            state = False
+        inside.append(state)
+    for i in range(len(lines)):
+        for k in range(i + 2, min(i + 5, len(lines))):
+            if inside[i] and inside[k] and not any(inside[i + 1 : k]) and all(own[i + 1 : k]):
+                inside[i + 1 : k] = [True] * (k - i - 1)
+    return [i for i, x in enumerate(inside) if x]
+
+
+@given(st.lists(st.tuples(st.integers(1, 400), st.sampled_from([0, 0, 1, 2]), st.booleans()), min_size=1, max_size=20))
+def test_surge_and_dive_points_equal_brute_force(parts):
+    lines = [html_text.Line("x" * n, level, heading) for n, level, heading in parts]
+    assert [i for begin, end in html_text.text_runs(lines) for i in range(begin, end)] == brute_runs(lines)
+
+
+def test_surge_and_dive_points_decide_every_page(con):
+    pages = [r[0] for r in con.sql("SELECT html FROM pages WHERE html IS NOT NULL").fetchall()]
+    assert len(pages) > 20
+    for page in pages:
+        lines = html_text.page_lines(page)
+        runs = html_text.text_runs(lines)
+        assert runs and html_text.extract(page) == "\n".join(line.text for begin, end in runs for line in lines[begin:end])
+
+
+@pytest.mark.parametrize("unit", ["<div>", "<x>", "</x>", "<b>", "<script ", "<a '", '<a "b', "<li></li>", "<b><p>", "<!-", "&amp", "<", "</script ", "<nav>x", "<p class='ad"])
+def test_hostile_pages_take_linear_time(unit):
+    for before, after in (("", ""), ("<div>" * 20_000, "</x>"), ("<b>" * 20_000, "<li></li>"), ("<nav>", "</div>")):
+        page = before + unit * (400_000 // len(unit)) + after * 20_000
+        begun = time.process_time()
+        assert isinstance(html_text.extract(page), str)
+        assert time.process_time() - begun < 4  # about one; minutes if it were quadratic
 
 
 def test_pages(spark, con):
