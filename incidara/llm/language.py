@@ -26,7 +26,7 @@ from incidara.shipping import shipped
 PROFILE = 300
 #: Different n-grams that a task holds for a language before it passes their counts on.
 HELD = 2_000_000
-#: Characters of a text whose n-grams are held at once; a longer text is cut between words.
+#: Characters of a text whose n-grams are held at once.
 AT_ONCE = 1 << 20
 UNKNOWN = "und"
 _EDGE = np.int64(0x20)
@@ -38,12 +38,15 @@ def _letters() -> np.ndarray:
     return np.fromiter(({"L": 2, "M": 1}.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)), np.uint8, 0x110000)
 
 
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+
+
 def grams(text: str) -> np.ndarray:
-    """Codes of all n-grams of one text, repeats included; none if it has no letter."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
-    kinds = _letters()[points]
-    letter = kinds > 0
-    if not (kinds == 2).any():
+    """Codes of all n-grams of a text in lower case, repeats included."""
+    points = _points(text)
+    letter = _letters()[points] > 0
+    if not letter.any():
         return np.zeros(0, np.int64)
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # the first other character behind a word stands for its end
@@ -63,16 +66,47 @@ def _merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
     return found, np.bincount(inverse, np.concatenate(counts), len(found)).astype(np.int64)
 
 
+def _pieces(text: str, at_once: int) -> Iterator[tuple[int, int, bool]]:
+    """Bounds of pieces of about ``at_once`` characters, and whether the piece ends inside a word.
+
+    A piece ends before the first character that is no letter, or where none comes for as long as the piece.
+    """
+    begin = 0
+    while begin < len(text):
+        end = begin + at_once
+        other = np.flatnonzero(_letters()[_points(text[end : end + at_once])] == 0)
+        inside = not len(other) and end < len(text)
+        end = min(end + int(other[0]), len(text)) if len(other) else end if end + at_once < len(text) else len(text)
+        yield begin, end, inside and end < len(text) and bool(_letters()[ord(text[end - 1])])
+        begin = end
+
+
+def _across(text: str, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a cut inside a word at ``at`` changes: n-grams that it makes (counted -1) and parts (1)."""
+    y, z, a, b = (int(p) if letter else int(_EDGE) for p, letter in _around(text, at))
+    codes = [z << 21 | _EDGE, y << 42 | z << 21 | _EDGE, _EDGE << 21 | a, _EDGE << 42 | a << 21 | b, z << 21 | a, y << 42 | z << 21 | a, z << 42 | a << 21 | b]
+    return np.array(codes, np.int64), np.array([-1, -1, -1, -1, 1, 1, 1], np.int64)
+
+
+def _around(text: str, at: int) -> Iterator[tuple[int, bool]]:
+    """The two characters on each side of ``at``, and whether each is a letter."""
+    for k in range(at - 2, at + 2):
+        point = ord(text[k]) if 0 <= k < len(text) else 0x20
+        yield point, bool(_letters()[point])
+
+
 def gram_counts(text: str, at_once: int = AT_ONCE) -> tuple[np.ndarray, np.ndarray]:
-    """Different n-grams of one text and their counts; no n-gram crosses the spaces where it is cut."""
-    at, codes, counts = 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    while at < len(text):
-        cut = text.find(" ", at + at_once)
-        end = cut if cut >= 0 else len(text)
-        some, n = np.unique(grams(text[at:end]), return_counts=True)
-        codes, counts = _merged([codes, some], [counts, n]) if len(codes) else (some, n)
-        at = end
-    return codes, counts
+    """Different n-grams of one text and their counts; none if it has no letter.  A long text is counted in pieces."""
+    text = text.lower()
+    codes, counts, letters = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+    for begin, end, inside in _pieces(text, max(2, at_once)):
+        letters = letters or bool((_letters()[_points(text[begin:end])] == 2).any())
+        some, n = np.unique(grams(text[begin:end]), return_counts=True)
+        more, m = _across(text, end) if inside else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        codes, counts = _merged([codes, some, more], [counts, n, m]) if len(codes) or inside else (some, n)
+    if not letters:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return codes[counts > 0], counts[counts > 0]
 
 
 def gram_text(code: int) -> str:
@@ -147,7 +181,8 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFIL
     """``docs`` with ``lang_pred`` and ``score`` (0 to 1: nearness to the profile).
 
     Text that is null or has no letter is ``und`` with score 0, as is everything without profiles.
-    Two languages at one distance: the first by name.  Only ``text`` is looked at.
+    Two languages at one distance: the first by name; two n-grams as frequent: the shorter, then by code points.
+    Each repeated row is judged for itself.  Only ``text`` is looked at.
     """
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
 

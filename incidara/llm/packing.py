@@ -9,6 +9,7 @@ token of each of its pieces, so a bin with its pieces is a row of bounded size,
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -86,17 +87,12 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
     return bins
 
 
-def _pack_level(rows: DataFrame, level: int, capacity: int, slack: int) -> DataFrame:
-    """One best-fit round over each partition of pieces: bins with their pieces in order."""
+def _pack_level(rows: DataFrame, level: int, capacity: int, slack: int, node: int) -> DataFrame:
+    """One best-fit round over each partition of pieces, ``node`` of them at once: bins with their pieces in order."""
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
-            return
-        items = pa.Table.from_batches(held)
+    def packed(items: pa.Table, first: int) -> pa.Table:
         lengths = items["length"].to_numpy()
         bins = best_fit(lengths, capacity)
-        node = level << 56 | TaskContext.get().partitionId() << 28
         order = np.fromiter((p for b in bins for p in b), np.int64, len(lengths))
         sizes = np.array([len(b) for b in bins], np.int64)
         which = np.repeat(np.arange(len(bins)), sizes)
@@ -104,10 +100,20 @@ def _pack_level(rows: DataFrame, level: int, capacity: int, slack: int) -> DataF
         begins = ends - lengths[order]
         fill = np.bincount(which, lengths[order]).astype(np.int64)
         out = items.take(pa.array(order))
-        out = out.append_column("sequence_id", pa.array(node + which))
+        out = out.append_column("sequence_id", pa.array(first + which))
         out = out.append_column("offset", pa.array(begins - begins[np.cumsum(sizes) - sizes][which]))
-        out = out.append_column("final", pa.array(fill[which] >= capacity - slack))
-        yield from out.combine_chunks().to_batches(max_chunksize=50_000)
+        return out.append_column("final", pa.array(fill[which] >= capacity - slack)).combine_chunks()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, held, size = level << 56 | TaskContext.get().partitionId() << 28, [], 0
+        for batch in itertools.chain(batches, [None]):
+            if held and (batch is None or size + batch.num_rows > node):
+                out = packed(pa.Table.from_batches(held), first)
+                yield from out.to_batches(max_chunksize=50_000)
+                first, held, size = out["sequence_id"][-1].as_py() + 1, [], 0
+            if batch is not None and batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
 
     return shipped(rows).mapInArrow(pack, f"{PIECE}, sequence_id long, offset long, final boolean")
 
@@ -115,10 +121,12 @@ def _pack_level(rows: DataFrame, level: int, capacity: int, slack: int) -> DataF
 def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, fan: int = FAN, node: int = NODE) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``: every piece once, no sequence over ``capacity``.
 
-    Nothing is dropped or cut here; a piece longer than ``capacity`` is an error of its maker.
+    Nothing is dropped or cut here; a piece longer than ``capacity`` is an error of its maker.  Pieces of one
+    length are placed in the order in which they come, so which of them share a sequence can differ between
+    runs; repeated rows each have a place.  No pieces give no rows.
     """
     level, nodes = 0, max(1, pieces.rdd.getNumPartitions())
-    packed = settle(_pack_level(pieces, level, capacity, slack))
+    packed = settle(_pack_level(pieces, level, capacity, slack, node))
     done = packed.filter("final")
     while nodes > 1:
         left = packed.filter("NOT final")
@@ -129,6 +137,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, fan: i
         level, nodes = level + 1, fewer
         # bins go to their node whole; the node opens them
         dealt = left.select(*_NAMES, "sequence_id").repartition(nodes, "sequence_id") if nodes > 1 else left.select(*_NAMES).coalesce(1)
-        packed = settle(_pack_level(dealt.select(*_NAMES), level, capacity, slack))
+        packed = settle(_pack_level(dealt.select(*_NAMES), level, capacity, slack, 2 * node))
         done = done.unionByName(packed.filter("final"))
     return done.unionByName(packed.filter("NOT final")).drop("final")

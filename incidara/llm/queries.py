@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -96,7 +97,48 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents")).drop("permissive")
+
+
+def _op8_sql() -> str:
+    """Phrases by joins on words; of tags, those whose expression has no parentheses, exceptions or references (no table has others)."""
+    rows = lambda kind, pairs: [f"('{p}', '{kind}', '{label}')" for p, label in pairs]
+    phrases = rows("base", licenses.BASE) + rows("notice", (*licenses.NOTICES, *licenses.VERSIONED)) + rows("grant", ((p, "") for p in licenses.GRANTS))
+    one = "(?:" + "|".join(re.escape(i) for i in sorted(licenses.IDENTIFIERS, key=len, reverse=True)) + ")(?:\\+|-only|-or-later)?"
+    ends = "(?:" + "|".join(map(re.escape, licenses.COMMENT_ENDS)).replace("'", "''") + ")?"
+    return rf"""
+WITH phrases AS (
+  SELECT phrase, kind, label, string_split(phrase, ' ') AS parts FROM (VALUES {", ".join(phrases)}) AS t(phrase, kind, label)
+), docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), places AS (
+  SELECT r, i, words, words[i] AS word FROM (SELECT r, words, unnest(range(1, len(words) + 1)) AS i FROM docs)
+), found AS (
+  SELECT r, i, kind, label, phrase FROM places JOIN phrases ON word = parts[1] AND array_to_string(list_slice(words, i, i + len(parts) - 1), ' ') = phrase
+), base AS (
+  SELECT r, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, list(DISTINCT label) AS labels FROM found WHERE kind = 'base' GROUP BY r
+), notices AS (
+  SELECT r, list(DISTINCT label) AS labels FROM (SELECT r, arg_max(label, length(phrase)) AS label FROM found WHERE kind = 'notice' GROUP BY r, i) GROUP BY r
+), tags AS (
+  SELECT r, lower(tag) AS tag FROM (SELECT r, unnest(regexp_extract_all(text, '(?i)spdx-license-identifier:([^\n\r]*)', 1)) AS tag FROM docs)
+  WHERE regexp_full_match(lower(tag), '[ \t]*{one}(?:[ \t]+(?:and|or)[ \t]+{one})*[ \t]*{ends}[ \t]*')
+), tagged AS (
+  SELECT r, list(DISTINCT label) AS labels FROM (
+    SELECT r, unnest(list_transform(regexp_extract_all(tag, '{one}'), lambda x: regexp_replace(x, '(\+|-only|-or-later)$', ''))) AS label FROM tags) GROUP BY r
+), all_labels AS (
+  SELECT docs.*, base.n_base, base.first_word, base.last_word, base.labels AS base_list, tagged.r IS NOT NULL AS parsed,
+         list_distinct(list_concat(coalesce(base.labels, []), coalesce(notices.labels, []), coalesce(tagged.labels, []))) AS all_list,
+         EXISTS (SELECT 1 FROM found WHERE found.r = docs.r AND kind = 'grant') AS granted
+  FROM docs LEFT JOIN base USING (r) LEFT JOIN notices USING (r) LEFT JOIN tagged USING (r)
+)
+SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(array_to_string(list_sort(base_list), ','), '') AS base_labels, coalesce(array_to_string(list_sort(all_list), ','), '') AS labels,
+       (CASE WHEN parsed THEN {licenses.SCORE_EXPRESSION} WHEN granted AND len(all_list) > 0 THEN {licenses.SCORE_GRANT}
+             WHEN len(all_list) > 0 THEN {licenses.SCORE_PHRASE} ELSE 0 END)::DOUBLE AS score
+FROM all_labels
+"""
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,4 +225,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op5_url_filter": _op5_sql(), "op10_quality_rules": OP10_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op5_url_filter": _op5_sql(), "op8_license_scan": _op8_sql(), "op10_quality_rules": OP10_SQL}
