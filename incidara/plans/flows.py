@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,8 +18,12 @@ from incidara.streaming import refresh
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; on one machine without it, a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    """A fresh folder below ``spark.checkpoint.dir``; on one machine (master ``local``) without it, a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{tempfile.gettempdir()}"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

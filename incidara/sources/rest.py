@@ -2,8 +2,8 @@
 
 ``spark.read.format("paged_rest").option("endpoint", url).schema(...).load()``.  The endpoint takes
 ``$select, $where, $order, $limit, $offset`` and gives a JSON list of objects.  Projection is the schema;
-comparisons of the time column are pushed to the endpoint; and the time range is cut into windows, one for
-each partition, so pages of different windows are fetched by different tasks and a window that is lost
+comparisons of the time column are pushed to the endpoint; and the time range, whose open ends are asked of the
+endpoint, is cut into windows, one for each partition, so pages of different windows are fetched by different tasks and a window that is lost
 is fetched again alone.  Pages are in the order of time and row id, so none is met twice.
 """
 
@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import TimestampNTZType
 
@@ -51,6 +52,14 @@ def fetch_page(endpoint: str, parameters: dict[str, str], timeout: float = 10.0)
     return records
 
 
+def fetch_bounds(endpoint: str, time: str, event: str | None = None, where: list[str] | None = None, timeout: float = 10.0) -> tuple[datetime | None, datetime | None]:
+    """First and last time of the endpoint's rows that have one (and an event), by one request; it aggregates them itself."""
+    needed = [f"{c} IS NOT NULL" for c in (time, event) if c] + (where or [])
+    records = fetch_page(endpoint, {"$select": f"min({time}) AS min_time,max({time}) AS max_time", "$where": " AND ".join(needed)}, timeout)
+    found = [(records[0].get(name) if records else None) for name in ("min_time", "max_time")]
+    return tuple(datetime.fromisoformat(str(v)).replace(tzinfo=None) if v else None for v in found)
+
+
 @dataclass
 class Window(InputPartition):
     start: str | None
@@ -70,6 +79,7 @@ class PagedReader(DataSourceReader):
         self.timeout = positive(float(options.get("timeout", 20)), "timeout", float)
         self.days = positive(int(options.get("windowDays", 31)), "windowDays")
         self.start, self.end = options.get("start"), options.get("end")
+        self.distinct = options.get("distinct", "false").lower() == "true"
         self.where: list[str] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
@@ -80,11 +90,18 @@ class PagedReader(DataSourceReader):
                 self.where.append(f"{self.time} {signs[type(f)]} '{f.value.isoformat(timespec='milliseconds')}'")
                 if isinstance(f, (GreaterThan, GreaterThanOrEqual)):
                     self.start = max(filter(None, (self.start, f.value.date().isoformat())))
+                else:
+                    after = (f.value + timedelta(days=1)).date().isoformat()
+                    self.end = min(filter(None, (self.end, after)))
             yield f
 
     def partitions(self) -> list[InputPartition]:
-        if self.start is None or self.end is None:
-            return [Window(self.start, self.end)]
+        if self.start is None or self.end is None:  # one request finds what is missing
+            first, last = fetch_bounds(self.endpoint, self.time, where=self.where, timeout=self.timeout)
+            if first is None:
+                return [Window(self.start, self.end)]
+            self.start = self.start or first.date().isoformat()
+            self.end = self.end or (last + timedelta(days=1)).date().isoformat()
         at, last, found = datetime.fromisoformat(self.start), datetime.fromisoformat(self.end), []
         while at < last:
             after = min(at + timedelta(days=self.days), last)
@@ -109,6 +126,8 @@ class PagedReader(DataSourceReader):
         page = 0
         while self.max_pages is None or page < self.max_pages:
             parameters = page_parameters(self.columns, self.time, self.row_id, where, self.page_size, page * self.page_size)
+            if self.distinct:  # the endpoint folds equal rows, each page in the order of all columns
+                parameters |= {"$select": f"DISTINCT {parameters['$select']}", "$order": ",".join(self.columns)}
             records = fetch_page(self.endpoint, parameters, self.timeout)
             for record in records:
                 yield tuple(self._value(c, record.get(c)) for c in self.columns)
@@ -140,6 +159,16 @@ def read_calls(spark: SparkSession, endpoint: str, start_date: str, end_date: st
     return conform(spark.read.format("paged_rest").options(**settings, **{k: str(v) for k, v in options.items()}).load())
 
 
+def read_distinct(spark: SparkSession, endpoint: str, start_date: str, end_date: str | None = None, group_by: str | None = None, event: str = Roles().event_id, **options) -> DataFrame:
+    """Different events (and groups) of ``[start_date, end_date)``: the endpoint folds them window by window, Spark across windows."""
+    ship(spark)
+    spark.dataSource.register(PagedRest)
+    columns = [event] + ([group_by] if group_by else [])
+    settings = {"endpoint": endpoint, "start": iso_date(start_date), "distinct": "true"} | ({"end": iso_date(end_date)} if end_date else {})
+    rows = spark.read.format("paged_rest").schema(", ".join(f"{c} string" for c in columns)).options(**settings, **{k: str(v) for k, v in options.items()}).load()
+    return rows.filter(F.col(event).isNotNull()).distinct()
+
+
 def sample(spark: SparkSession, endpoint: str, limit: int = 25, timeout: float = 10.0) -> DataFrame:
     """A few records as they are, one JSON object in each row."""
     records = fetch_page(endpoint, {"$limit": str(positive(limit, "limit"))}, timeout)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import urllib.request
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,8 +46,30 @@ def read_geojson(spark: SparkSession, *paths: str) -> DataFrame:
     return features.select(*[F.col("properties")[n].alias(n) for n in names], rings.alias("rings"))
 
 
-def read_boundaries(spark: SparkSession, *paths: str, name: str = "mcpp_neighborhood", group: str = "mcpp_precinct") -> DataFrame:
-    return normalise_polygons(read_geojson(spark, *paths), name, group)
+def require_degrees(polygons: DataFrame) -> DataFrame:
+    """``polygons``, or an error if a point of their ``rings`` is no longitude and latitude in degrees."""
+    point = F.explode(F.flatten("rings")).alias("p")
+    outside = polygons.select(point).filter((F.abs("p.x") > 180) | (F.abs("p.y") > 90))
+    if not outside.isEmpty():
+        raise ValueError("coordinates are not in degrees; give boundaries as longitude and latitude (EPSG:4326)")
+    return polygons
+
+
+def read_boundaries(
+    spark: SparkSession, *paths: str, name: str = "mcpp_neighborhood", group: str = "mcpp_precinct", url: str | None = None, timeout: float = 30.0
+) -> DataFrame:
+    """The first of ``paths`` that can be read, else the GeoJSON at ``url``, which is then written to all of ``paths``."""
+    try:
+        found = read_geojson(spark, *paths)
+    except FileNotFoundError:
+        if url is None:
+            raise
+        with urllib.request.urlopen(url, timeout=timeout) as answer:  # noqa: S310
+            text = answer.read().decode("utf-8")
+        for path in paths:
+            spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        found = read_geojson(spark, *paths)
+    return normalise_polygons(require_degrees(found), name, group)
 
 
 def read_crosswalk(spark: SparkSession, path: str) -> DataFrame:

@@ -35,11 +35,20 @@ def endpoint():
             asked.append(given)
             rows = RECORDS
             for part in given.get("$where", "").split(" AND ") if "$where" in given else []:
+                if part.endswith(" IS NOT NULL"):
+                    rows = [r for r in rows if r.get(part.split(" ")[0]) is not None]
+                    continue
                 column, sign, value = part.split(" ", 2)
                 value = value.strip("'")
                 test = {">=": lambda a, v=value: a >= v, "<": lambda a, v=value: a < v, ">": lambda a, v=value: a > v, "<=": lambda a, v=value: a <= v}[sign]
                 rows = [r for r in rows if test(r[column])]
             rows = sorted(rows, key=lambda r: (r["cad_event_original_time_queued"], r["call_sign_dispatch_id"]), reverse=True)
+            if given.get("$select", "").startswith("min("):
+                times = [r["cad_event_original_time_queued"] for r in rows]
+                rows, given["$limit"] = [{"min_time": min(times), "max_time": max(times)} if times else {}], 1
+            if given.get("$select", "").startswith("DISTINCT "):
+                columns = given["$select"].removeprefix("DISTINCT ").split(",")
+                rows = [dict(zip(columns, r, strict=True)) for r in sorted({tuple(r[c] for c in columns) for r in rows})]
             at, n = int(given.get("$offset", 0)), int(given["$limit"])
             body = json.dumps({"error": 1} if "bad" in self.path else rows[at : at + n]).encode()
             self.send_response(200)
@@ -69,6 +78,26 @@ def test_paged_source(spark, endpoint):
     assert rest.sample(spark, url, 3).count() == 3
 
 
+def test_open_ended_feed_is_cut_into_windows(spark, endpoint):
+    url, asked = endpoint
+    time = "cad_event_original_time_queued"
+    times = [datetime.fromisoformat(r[time]) for r in RECORDS]
+    assert rest.fetch_bounds(url, time, "cad_event_number") == (min(times), max(times))
+    assert rest.fetch_bounds(url, time, where=[f"{time} > '2030-01-01'"]) == (None, None)
+    df = rest.read_calls(spark, url, "2025-01-01", windowDays=7)
+    assert df.rdd.getNumPartitions() == 4 and df.count() == len(RECORDS)
+    reader = rest.PagedReader(df.select(time).schema, {"endpoint": url, "start": "2025-01-01", "windowDays": "7"})
+    list(reader.pushFilters([rest.LessThan((time,), datetime(2025, 1, 10))]))
+    assert [w.end for w in reader.partitions()] == ["2025-01-08T00:00:00.000", "2025-01-11T00:00:00.000"]  # the filter's bound, rounded up
+
+
+def test_distinct_events_of_the_endpoint(spark, endpoint):
+    url, asked = endpoint
+    found = rest.read_distinct(spark, url, "2025-01-01", group_by="event_group", windowDays=7, pageSize=3)
+    assert sorted(map(tuple, found.collect())) == sorted({(r["cad_event_number"], r["event_group"]) for r in RECORDS})
+    assert any(a.get("$select") == "DISTINCT cad_event_number,event_group" and a["$offset"] == "3" for a in asked)
+
+
 def test_page_guards(endpoint):
     url, _ = endpoint
     for limit, offset in ((0, 0), (True, 0), (5, -1), (5, True)):
@@ -128,6 +157,13 @@ def test_dimension_files(spark, tmp_path):
     assert [len(r["rings"]) for r in rows] == [1, 2]
     with pytest.raises(FileNotFoundError):
         tables.read_geojson(spark, str(tmp_path / "none"))
+    caches = [str(tmp_path / "cache1"), str(tmp_path / "cache2")]
+    tables.write_geojson(areas, str(tmp_path / "served"), "mcpp_neighborhood")
+    served = next((tmp_path / "served").glob("part-*"))
+    assert tables.read_boundaries(spark, *caches, url=served.as_uri(), group="mcpp_neighborhood").count() == 2
+    assert all(tables.read_geojson(spark, c).count() == 2 for c in caches)  # written through to both
+    with pytest.raises(ValueError, match="degrees"):
+        tables.require_degrees(areas.select(F.transform("rings", lambda r: F.transform(r, lambda p: F.struct((p["x"] * 1000).alias("x"), p["y"].alias("y")))).alias("rings")))
     tables.write_geojson(areas, str(tmp_path / "out"), "mcpp_neighborhood")
     again = tables.read_geojson(spark, str(tmp_path / "out"))
     assert again.count() == 2 and tables.feature_collection(areas, "objectid")["features"][0]["properties"] == {"objectid": 1}
@@ -148,6 +184,19 @@ def test_dimension_files(spark, tmp_path):
     assert scores.count() == 3 and charts.scatter_chart(scores, "dispatch_neighborhood", bins)["data"]
     assert charts.scatter_chart(scores.limit(0), "dispatch_neighborhood", bins)["data"] == []
     assert len(charts.daily_chart(context.daily(bins), bins)["data"]) == 2
+    from incidara.operators.scatter import guide_lines
+
+    chart = charts.scatter_chart(scores, "dispatch_neighborhood", bins, guide_lines(scores))
+    assert [s["line"]["dash"] for s in chart["layout"]["shapes"]] == ["dash"] * 2 and len(chart["layout"]["annotations"]) == 2
+    assert all(len(t["hovertext"]) == len(t["x"]) and " minutes" in t["hovertext"][0] for t in chart["data"])
+    assert charts.scatter_chart(scores, "dispatch_neighborhood", bins, guide_lines(scores.limit(0)))["layout"]["shapes"] == []
+    chart = charts.map_chart(context.choropleth(bins), context.points(bins), ROLES, "mcpp_neighborhood", bins)
+    assert chart["data"][0]["type"] == "choroplethmapbox" and chart["data"][0]["z"] == [300.0] and len(chart["data"][0]["geojson"]["features"]) == 2
+    assert charts.count_points(chart) == context.points(bins).count() == 30 and {t["type"] for t in chart["data"][1:]} == {"scattermapbox"}
+    nothing = charts.map_chart(context.choropleth(bins).limit(0), context.points(bins).limit(0), ROLES, "mcpp_neighborhood", bins)
+    assert nothing == charts.empty_map() and charts.count_points(nothing) == 0
+    with pytest.raises(ValueError, match="more than 3 points"):
+        charts.map_chart(context.choropleth(bins), context.points(bins), ROLES, "mcpp_neighborhood", bins, most=3)
     assert ranges.default_range(context.valid_time, ROLES) == ("2024-12-30", "2025-01-28")
     context.close()
 
