@@ -136,7 +136,7 @@ class WordEncoder:
         return upto[bounds[1:] - bounds[0]] - upto[bounds[:-1] - bounds[0]], ids
 
     def _with_special(self, texts: pa.Array) -> np.ndarray:
-        """Which texts hold the string of a special token."""
+        """Which texts hold the string of a special token, in any case as units are lowered before the library sees them."""
         found = np.zeros(len(texts), bool)
         for content in self.special:
             found |= pc.match_substring(texts, content, ignore_case=True).to_numpy(zero_copy_only=False)
