@@ -1,4 +1,4 @@
-"""One-pass summaries and simple counts of a call table."""
+"""Summaries and simple counts of a call table."""
 
 from __future__ import annotations
 
@@ -14,17 +14,24 @@ def summary(df: DataFrame, roles: Roles) -> DataFrame:
     """One row: sizes, time range, medians; null where a column has no value."""
     r = roles
     require_columns(df, r.event_id, r.event_time, r.category, r.place, r.priority, r.staff, r.lat, r.lon)
-    return df.agg(
-        F.count(F.lit(1)).alias("total_calls"),
-        F.countDistinct(r.event_id).alias("unique_events"),
-        F.min(r.event_time).alias("date_min"),
-        F.max(r.event_time).alias("date_max"),
-        F.countDistinct(r.category).alias("unique_event_groups"),
-        F.countDistinct(r.place).alias("unique_neighborhoods"),
-        F.median(r.priority).alias("median_priority"),
-        F.median(r.staff).alias("median_officers"),
-        F.count_if(F.col(r.lat).isNotNull() & F.col(r.lon).isNotNull()).alias("mappable_records"),
+    located = F.count_if(F.col(r.lat).isNotNull() & F.col(r.lon).isNotNull())
+    sizes = [F.count(F.lit(1)).alias("n"), F.min(r.event_time).alias("first"), F.max(r.event_time).alias("last"), located.alias("located")]
+    # few rows are left for the counts and medians: one for each combination of values
+    values = [F.col(c).alias(f"v{k}") for k, c in enumerate((r.category, r.place, r.priority, r.staff))]
+    combinations = df.groupBy(*values).agg(*sizes)
+    figures = combinations.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_calls"),
+        F.min("first").alias("date_min"),
+        F.max("last").alias("date_max"),
+        F.countDistinct("v0").alias("unique_event_groups"),
+        F.countDistinct("v1").alias("unique_neighborhoods"),
+        F.percentile("v2", 0.5, F.col("n")).alias("median_priority"),
+        F.percentile("v3", 0.5, F.col("n")).alias("median_officers"),
+        F.coalesce(F.sum("located"), F.lit(0)).alias("mappable_records"),
     )
+    events = df.agg(F.countDistinct(r.event_id).alias("unique_events"))
+    names = ["total_calls", "unique_events", "date_min", "date_max", "unique_event_groups", "unique_neighborhoods", "median_priority", "median_officers", "mappable_records"]
+    return figures.crossJoin(events).select(*names)  # one row each
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
