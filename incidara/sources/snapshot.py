@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,11 +18,13 @@ DATA, METADATA = "calls", "calls_metadata"
 _KEYS = ("refreshed_at_utc", "source_start_date", "row_count", "columns", "version")
 
 
-def save_snapshot(df: DataFrame, directory: str, source_start_date: str) -> tuple[str, str]:
+def save_snapshot(df: DataFrame, directory: str, source_start_date: str | Callable[[DataFrame], str]) -> tuple[str, str]:
     """Write a new version of the snapshot and then its metadata; readers see one or the other whole.
 
     The metadata goes last and names the version, so a write that is lost on the way leaves the
     previous snapshot in place.  ``directory`` is on any file system that Spark writes to.
+    ``source_start_date`` is a date, or a function that gives it from the rows as written; an error
+    of that function leaves the previous snapshot in place as well.
     """
     spark, version = df.sparkSession, uuid.uuid4().hex
     data = f"{directory}/{DATA}/{version}"
@@ -29,7 +32,7 @@ def save_snapshot(df: DataFrame, directory: str, source_start_date: str) -> tupl
     written = spark.read.parquet(data)
     metadata = {
         "refreshed_at_utc": datetime.now(UTC).isoformat(),
-        "source_start_date": source_start_date,
+        "source_start_date": source_start_date(written) if callable(source_start_date) else source_start_date,
         "row_count": written.count(),
         "columns": written.columns,
         "version": version,
@@ -58,6 +61,18 @@ def load_snapshot(spark: SparkSession, directory: str) -> tuple[DataFrame, dict]
     return df, metadata
 
 
+def remove_old_versions(spark: SparkSession, directory: str) -> int:
+    """Delete all versions but the one that the metadata names; the number deleted.
+
+    Call it when no write is under way and nothing reads an older version any more.
+    """
+    current = read_metadata(spark, directory)["version"]
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{directory}/{DATA}")
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = [found.getPath() for found in files.listStatus(folder) if found.getPath().getName() != current]
+    return sum(bool(files.delete(path, True)) for path in old)
+
+
 def merged(existing: DataFrame, fresh: DataFrame, roles: Roles, days: int = RETENTION_DAYS) -> DataFrame:
     """Both tables with the fresh row of each row id, not older than ``days``, in order of time."""
     require_columns(existing, roles.row_id, roles.event_time)
@@ -75,11 +90,14 @@ def incremental_refresh(spark: SparkSession, directory: str, fetch, roles: Roles
     start = existing.agg(F.date_sub(F.max(roles.event_time).cast("date"), overlap_days).alias("start")).first()["start"]
     if start is None:
         raise ValueError("no row of the snapshot has a time")
-    rows = merged(existing, fetch(start.isoformat()), roles, days)
-    latest = rows.agg((F.max(roles.event_time) - F.expr(f"INTERVAL {int(days)} DAYS")).cast("date").alias("cutoff")).first()["cutoff"]
-    if latest is None:
-        raise ValueError("no row has a time")
-    return save_snapshot(rows, directory, latest.isoformat())
+
+    def cutoff(written: DataFrame) -> str:
+        first = written.agg((F.max(roles.event_time) - F.expr(f"INTERVAL {int(days)} DAYS")).cast("date").alias("cutoff")).first()["cutoff"]
+        if first is None:
+            raise ValueError("no row has a time")
+        return first.isoformat()
+
+    return save_snapshot(merged(existing, fetch(start.isoformat()), roles, days), directory, cutoff)
 
 
 def full_refresh(directory: str, fetch, start_date: str, roles: Roles | None = None) -> tuple[str, str]:

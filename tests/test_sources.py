@@ -130,6 +130,7 @@ def test_snapshot_round_trip_refresh_and_stream(spark, tmp_path):
     with pytest.raises(ValueError, match="keys"):
         snapshot.load_snapshot(spark, where)
     snapshot.save_snapshot(df, where, "2025-01-01")
+    assert snapshot.remove_old_versions(spark, where) == 2 and snapshot.remove_old_versions(spark, where) == 0
     arriving = str(tmp_path / "arriving")
     from_records(spark, [RECORDS[0] | {"priority": "7"}]).write.parquet(arriving)
     stream = spark.readStream.schema(df.schema).parquet(arriving)
