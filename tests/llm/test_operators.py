@@ -23,7 +23,7 @@ from incidara.llm import (
     byte_bpe, components, exact_dedup, html_text, language, licenses, near_copies, packing, quality, queries, simhash, simple8b,
     token_files, url_filter, word_encoder,
 )
-from incidara.llm.support import shared_path
+from incidara.llm.support import read_table, shared_path
 
 WORD_BPE, BYTE_BPE = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.tiktoken")
 
@@ -186,6 +186,18 @@ def test_language_edges(spark):
     assert language.identify(empty(spark), profiles).count() == 0
 
 
+def test_texts_far_from_all_profiles_go(spark):
+    table = read_table(spark, SF, "documents").select("doc_id", "text", "lang")
+    profiles = language.learn(table)
+    assert language.known_only(table, profiles).count() == table.filter(F.regexp_like("text", F.lit(r"\p{L}"))).count()  # the clean ones, short and long
+    rng = np.random.default_rng(3)
+    letters = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(3000)]
+    far = [" ".join(letters[:12]), " ".join(letters[:100]), " ".join(letters), "これは日本語の文章です " * 20, "Это предложение на русском языке " * 20]
+    near = ["the and of that", "der Hund und die Katze sind in dem Haus", "Les enfants et la mère de Paul dans le jardin"]
+    got = language.known_only(docs(spark, list(enumerate(far + near))), profiles)
+    assert sorted(r["doc_id"] for r in rows(got)) == [5, 6, 7]
+
+
 def test_long_texts_are_counted_in_pieces():
     text = "  The cat, dér Hund 12 x\n\nund " * 50 + "end"
     whole = [x.tolist() for x in np.unique(language.grams(text.lower()), return_counts=True)]
