@@ -30,7 +30,7 @@ HELD = 2_000_000
 AT_ONCE = 1 << 20
 UNKNOWN = "und"
 #: Nearness to the best profile below which a text is in no known language.  Words of random letters come to
-#: 0.14 to 0.26; the furthest of the labelled texts to 0.46, among texts of under 30 words.
+#: 0.14 to 0.26; the furthest of 256,410 texts in learned languages to 0.35 (one word over and over).
 MIN_NEARNESS = 0.25
 _EDGE = np.int64(0x20)
 
