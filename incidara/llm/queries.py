@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incidara.llm import byte_bpe, exact_dedup, html_text, language, licenses, packing, quality, simhash, token_files, url_filter
+from incidara.llm import byte_bpe, exact_dedup, fill_middle, filter_audit, html_text, language, licenses, packing, pieces, quality, simhash, token_files, url_filter
 from incidara.llm.support import read_table, settle, shared_path
 
 
@@ -202,6 +202,88 @@ FROM failed
 """
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.round_trip(read_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", "n_tokens", F.sha2(listed, 256).alias("ids_sha256"), F.sha2("content", 256).alias("decoded_sha256"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fill_middle.restore(fill_middle.fill_in_middle(read_table(spark, sf_dir, "documents"), seed=7, rate=100, spm=50))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256")
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+OP12_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^
+]*
+|[^
+]+') AS units,
+         sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS seed
+  FROM documents
+), seeded AS (
+  SELECT doc_id, text, units, len(units) AS n, ('0x' || seed[1:8])::BIGINT AS h1, ('0x' || seed[9:16])::BIGINT AS h2,
+         ('0x' || seed[17:24])::BIGINT AS h3, ('0x' || seed[25:32])::BIGINT AS h4
+  FROM docs
+), cut AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+              WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM seeded
+), parts AS (
+  SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:], '') AS suffix FROM cut
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.replay(filter_audit.failures(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")))
+
+
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	
+]+'), lambda x: x <> '') AS words
+  FROM documents
+), known AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), firsts AS (
+  SELECT text, min(doc_id) AS doc_id FROM docs GROUP BY text
+), failed AS (
+  SELECT d.part, coalesce(k.good, false) AS good, coalesce(k.toxic, false) AS toxic,
+         MAP {'A': len(d.words) < 200, 'B': 100 * len(list_distinct(d.words)) < 50 * len(d.words),
+              'C': 100 * (length(d.text) - length(regexp_replace(d.text, '[A-Z]', '', 'g'))) > 2 * length(d.text),
+              'D': regexp_matches(d.text, '[#$%&*|]'), 'E': coalesce(f.doc_id < d.doc_id, false)} AS fails
+  FROM docs d JOIN firsts f USING (text) LEFT JOIN known k ON k.doc_id = d.doc_id
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l
+), orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order
+  FROM letters a JOIN letters b ON b.l <> a.l JOIN letters c ON c.l NOT IN (a.l, b.l) JOIN letters d ON d.l NOT IN (a.l, b.l, c.l)
+  JOIN letters e ON e.l NOT IN (a.l, b.l, c.l, d.l)
+), replayed AS (
+  SELECT *, list_position(list_transform(string_split(filter_order, ''), lambda x: fails[x]), true) AS hit,
+         len(list_filter(map_values(fails), lambda x: x)) AS n_fails
+  FROM failed CROSS JOIN orders
+), steps AS (
+  SELECT *, coalesce(nullif(hit, 0), 6) AS first, filter_order[step] AS letter FROM replayed CROSS JOIN (SELECT unnest(range(1, 6)) AS step)
+), counted AS (
+  SELECT part, filter_order, step::INT AS step, letter, count(*) FILTER (first > step) AS kept, count(*) FILTER (first = step) AS removed,
+         count(*) FILTER (fails[letter] AND first < step) AS redundant, count(*) FILTER (fails[letter] AND n_fails = 1) AS unique_fails,
+         count(*) FILTER (first = step AND good) AS good_lost, count(*) FILTER (first = step AND toxic) AS toxic_lost
+  FROM steps GROUP BY part, filter_order, step, letter
+)
+SELECT * EXCLUDE (letter), sum(removed) OVER (PARTITION BY part, letter)::BIGINT AS shapley FROM counted
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -220,9 +302,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": op8_license_scan,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_quality_rules": op10_quality_rules,
+        "op11_sentencepiece": op11_sentencepiece,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_filter_audit": op13_filter_audit,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op5_url_filter": _op5_sql(), "op8_license_scan": _op8_sql(), "op10_quality_rules": OP10_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op5_url_filter": _op5_sql(), "op8_license_scan": _op8_sql(), "op10_quality_rules": OP10_SQL, "op12_fill_in_middle": OP12_SQL, "op13_filter_audit": OP13_SQL}

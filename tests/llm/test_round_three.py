@@ -1,0 +1,280 @@
+"""SentencePiece ids, fill-in-the-middle and the filter audit against libraries, brute force and SQL."""
+
+import collections
+import hashlib
+import itertools
+import random
+import re
+
+import numpy as np
+import public_tokenizers as P
+import pyarrow as pa
+import pytest
+import sentencepiece
+from data import LONG, TEXTS, docs, empty, nulls, rows
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from oracle import SF
+from pyspark.sql import functions as F
+
+from incidara.llm import elias_fano, fill_middle, filter_audit, pieces, queries
+from incidara.llm.support import read_table
+
+MODEL = P.path("piece_bpe_32k.model")
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+# 11
+
+
+@pytest.fixture(scope="module")
+def library():
+    return sentencepiece.SentencePieceProcessor(model_file=MODEL)
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return pieces.PieceEncoder(pieces.MergeTable(pieces.library(MODEL)))
+
+
+def encoded(encoder, texts):
+    counts, ids = encoder.encode(pa.array(texts))
+    return [part.tolist() for part in np.split(ids, np.cumsum(counts)[:-1])]
+
+
+def test_piece_ids_equal_the_library_on_random_texts(encoder, library):
+    rng = random.Random(11)
+    spelt = [library.id_to_piece(i) for i in range(259, library.get_piece_size())]
+    kinds = [
+        lambda: "".join(rng.choice(spelt) for _ in range(rng.randrange(1, 12))).replace("▁", rng.choice([" ", "▁", ""])),
+        lambda: "".join(rng.choice(" ▁ab\n\t\r\x00 é́中1²½.") for _ in range(rng.randrange(0, 40))),
+        lambda: " " * rng.randrange(0, 60) + "x" * rng.randrange(0, 50) + " " * rng.randrange(0, 40),
+        lambda: "".join(chr(rng.choice([rng.randrange(0, 0x250), rng.randrange(0x250, 0xD7FF), rng.randrange(0xE000, 0x20000)])) for _ in range(30)),
+        lambda: "".join(rng.choice("etaoinshrdlu ") for _ in range(rng.randrange(0, 80))),
+    ]
+    texts = [rng.choice(kinds)() for _ in range(20_000)]
+    assert encoded(encoder, texts) == library.encode(texts, num_threads=1)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text())
+def test_piece_ids_equal_the_library(text):
+    table = pieces.piece_encoder(MODEL)
+    assert encoded(table, [text])[0] == pieces.library(MODEL).encode(text)
+
+
+def test_compatible_pairs_are_those_that_merging_leaves(encoder, library):
+    """Pairs of pieces: compatible exactly if the library's ids of their text are the two."""
+    rng, table = random.Random(5), encoder.table
+    usual = [i for i in table.ids.values() if table.lengths[i] <= 3]
+    for left, right in [(rng.choice(usual), rng.choice(usual)) for _ in range(4000)]:
+        text = library.id_to_piece(left) + library.id_to_piece(right)
+        if not text.startswith("▁") or text.startswith("▁▁"):
+            continue  # the library puts a space in front itself
+        assert table.compatible(left, right) == (library.encode(text[1:]) == [left, right])
+
+
+def test_every_piece_ends_in_one_table_entry(encoder, library):
+    for text in ("an ordinary line, of words", "a" * 5000, " " * 300 + "b", "́" * 50, LONG[:20_000]):
+        assert encoded(encoder, [text])[0] == library.encode(text)
+
+
+def test_forgetting_units_changes_nothing(monkeypatch, library):
+    from incidara.llm import word_encoder
+
+    monkeypatch.setattr(word_encoder, "REMEMBERED", 20)
+    monkeypatch.setattr(pieces, "PAIRS", 50)
+    small = pieces.PieceEncoder(pieces.MergeTable(library))
+    for k in range(20):
+        texts = [f"word{k} number{j} and {j * k} more" for j in range(30)]
+        assert encoded(small, texts) == library.encode(texts, num_threads=1)
+
+
+def test_sentencepiece_on_awkward_rows(spark, library):
+    got = rows(pieces.round_trip(docs(spark), MODEL))
+    assert len(got) == len(TEXTS)
+    texts = collections.defaultdict(list)
+    for i, t in TEXTS:
+        texts[i].append(t or "")
+    for r in got:
+        ids = library.encode(texts[r["doc_id"]][0])
+        assert (r["ids"], r["n_tokens"], r["content"]) == (ids, len(ids), library.decode(ids))
+    assert pieces.round_trip(empty(spark), MODEL).count() == 0
+    assert sorted(r["n_tokens"] for r in rows(pieces.encode_pieces(nulls(spark), MODEL)))[0] == 0
+    split = pieces.decode_pieces(pieces.encode_pieces(docs(spark), MODEL), MODEL)
+    assert sorted(map(str, rows(split))) == sorted(map(str, got))
+
+
+def test_sentencepiece_query_equals_the_library(spark, library):
+    got = {r["doc_id"]: r for r in rows(queries.op11_sentencepiece(spark, SF))}
+    table = rows(read_table(spark, SF, "documents").select("doc_id", "text"))
+    assert len(got) == len(table)
+    for r in table:
+        ids = library.encode(r["text"] or "")
+        want = (len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids) if ids else ""))
+        assert tuple(got[r["doc_id"]][c] for c in ("n_tokens", "ids_sha256", "decoded_sha256")) == want
+
+
+# 12
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 10_000), min_size=1, max_size=200), st.integers(0, 5000))
+def test_elias_fano_gives_back_every_number(numbers, above):
+    numbers = sorted(numbers)
+    most = numbers[-1] + above
+    listed = elias_fano.encode(np.array(numbers), most)
+    assert [elias_fano.select(listed, len(numbers), most, k) for k in range(len(numbers))] == numbers
+    assert len(listed) <= 2 + len(numbers) * (3 + elias_fano.low_bits(len(numbers), most)) / 8
+
+
+def test_elias_fano_bounds():
+    assert elias_fano.encode(np.zeros(0, int), 9) == b""
+    with pytest.raises(IndexError):
+        elias_fano.select(elias_fano.encode(np.array([1]), 1), 1, 1, 1)
+
+
+def brute_cut(doc_id, text, seed=7, rate=100, spm=50):
+    text = text or ""
+    units = re.findall(r"[^\n]*\n|[^\n]+", text)
+    digest = hashlib.sha256(f"{seed}:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h = [int(digest[8 * k : 8 * k + 8], 16) for k in range(4)]
+    a, b = sorted(x % (len(units) + 1) for x in h[:2])
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h[2] % 100 >= rate:
+        return doc_id, len(units), "plain", None, None, text, text
+    prefix, middle, suffix = ("".join(u) for u in (units[:a], units[a:b], units[b:]))
+    if h[3] % 100 < spm:
+        return doc_id, len(units), "spm", len(prefix), len(middle), f"<S>{suffix}<P>{prefix}<M>{middle}", text
+    return doc_id, len(units), "psm", len(prefix), len(middle), f"<P>{prefix}<S>{suffix}<M>{middle}", text
+
+
+CUT_TEXTS = [
+    *TEXTS,
+    *((100 + k, "one line\ntwo lines\n\nfour 😀\nend") for k in range(40)),  # copies: a hot text
+    (200, "\n"), (201, "\n\n\n"), (202, "no line end"), (203, "has <P> in it\nand more"), (204, "a<\nS>b\n<\nM>"), (205, "<S\n<P\nP>\n"),
+    (206, "<M>"), (207, "x\r\ny z\n"), (208, "\n".join(f"line {k}" for k in range(5000))),
+]
+
+
+@pytest.mark.parametrize("share", [1000, 3, 1])
+def test_fill_in_middle_equals_brute_force(spark, share):
+    for seed, rate, spm in ((7, 100, 50), (8, 60, 0)):
+        done = fill_middle.restore(fill_middle.fill_in_middle(docs(spark, CUT_TEXTS), seed, rate, spm, share))
+        got = [tuple(r) for r in done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output", "restored").collect()]
+        want = [brute_cut(i, t, seed, rate, spm) for i, t in CUT_TEXTS]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_fill_in_middle_on_empty_and_null_tables(spark):
+    assert fill_middle.fill_in_middle(empty(spark)).count() == 0
+    got = rows(fill_middle.fill_in_middle(nulls(spark)))
+    assert sorted(r["n"] for r in got) == [0, 1] and all(r["doc_id"] is None for r in got)
+
+
+def test_each_text_is_listed_once(spark):
+    texts = spark.range(500).select(F.concat(F.lit("text "), (F.col("id") % 7).cast("string"), F.lit("\nx")).alias("text"))
+    texts = texts.withColumn("digest", F.unhex(F.sha2("text", 256)))
+    index = rows(fill_middle.line_index(fill_middle.distinct_texts(texts)))
+    assert len(index) == 7 and all(elias_fano.select(r["ends"], r["n"], r["chars"], 0) == 7 for r in index)
+
+
+def test_two_texts_of_one_digest_are_an_error(spark):
+    clash = spark.createDataFrame([(b"k", "a"), (b"k", "b")], "digest binary, text string")
+    with pytest.raises(Exception, match="share a SHA-256"):
+        fill_middle.distinct_texts(clash).collect()
+
+
+def test_texts_move_once(spark):
+    """The text's shuffle, made for grouping, serves the last join as well."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        many = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("unique line "), F.col("id").cast("string"), F.lit("\nsecond")).alias("text"))
+        done = fill_middle.fill_in_middle(many)
+        assert done.count() == 3000
+        done.collect()
+        plan = done._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ReusedExchange" in plan
+
+
+# 13
+
+
+def brute_audit(table, labels):
+    firsts = {}
+    for i, text, _ in table:
+        if i is not None:
+            firsts[text or ""] = min(firsts.get(text or "", i), i)
+    counted = collections.Counter()
+    parts = {source or "" for _, _, source in table}
+    shapley = collections.Counter()
+    for i, text, source in table:
+        text, part = text or "", source or ""
+        words = re.findall("[^\x20\x09-\x0d]+", text)
+        fails = {
+            "A": len(words) < 200, "B": 100 * len(set(words)) < 50 * len(words), "C": 100 * len(re.findall("[A-Z]", text)) > 2 * len(text),
+            "D": bool(re.search("[#$%&*|]", text)), "E": i is not None and firsts[text] < i,
+        }
+        good, toxic = labels.get(i, (False, False))
+        for order in map("".join, itertools.permutations("ABCDE")):
+            gone = False
+            for step, letter in enumerate(order, 1):
+                key = part, order, step
+                counted[key, "redundant"] += fails[letter] and gone
+                counted[key, "unique_fails"] += fails[letter] and sum(fails.values()) == 1
+                if fails[letter] and not gone:
+                    gone = True
+                    counted[key, "removed"] += 1
+                    counted[key, "good_lost"] += good
+                    counted[key, "toxic_lost"] += toxic
+                    shapley[part, letter] += 1
+                counted[key, "kept"] += not gone
+    names = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost")
+    return {
+        (part, order, step): (*(counted[(part, order, step), n] for n in names), shapley[part, order[step - 1]])
+        for part in parts for order in map("".join, itertools.permutations("ABCDE")) for step in range(1, 6)
+    }
+
+
+AUDIT_COLUMNS = ["kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
+
+
+def audited(df):
+    got = df.collect()
+    found = {(r["part"], r["filter_order"], r["step"]): tuple(r[c] for c in AUDIT_COLUMNS) for r in got}
+    assert len(found) == len(got)
+    return found
+
+
+def test_filter_audit_equals_brute_force(spark):
+    body = " ".join(f"word{k}" for k in range(250))
+    texts = [
+        *TEXTS, (20, body), (21, body), (19, body), (None, body), (22, body + " $"), (23, body.upper()), (24, "same " * 300), (25, "A" * 3 + "b" * 147),
+        (26, "A" * 3 + "b" * 146), (27, " ".join(f"w{k % 125}" for k in range(250))), (28, " ".join(f"w{k % 124}" for k in range(250))), (28, "again"),
+    ]
+    marked = {20: (True, False), 21: (True, True), 22: (False, True), 1: (True, True), 99: (True, True)}
+    labels = spark.createDataFrame(
+        [(i, int(g), int(t)) for i, (g, t) in marked.items()] + [(21, 0, 0), (None, 1, 1), (2, None, None)], "doc_id long, quality int, toxic int"
+    )
+    table = docs(spark, texts).withColumn("source", F.when(F.col("doc_id") % 3 == 0, "hot").when(F.col("doc_id") % 3 == 1, ""))
+    plain = [(r["doc_id"], r["text"], r["source"]) for r in rows(table)]
+    assert audited(filter_audit.replay(filter_audit.failures(table, labels))) == brute_audit(plain, marked)
+    assert audited(filter_audit.replay(filter_audit.failures(table))) == brute_audit(plain, {})
+
+
+def test_filter_audit_of_empty_and_null_tables(spark):
+    assert filter_audit.replay(filter_audit.failures(empty(spark))).count() == 0
+    assert set(audited(filter_audit.replay(filter_audit.failures(nulls(spark))))) == {(p, "".join(o), s) for p in [""] for o in itertools.permutations("ABCDE") for s in range(1, 6)}
+
+
+def test_audit_folds_before_it_shuffles(spark):
+    """No task sends more than the rows of its parts' orders and steps, whatever its documents."""
+    failed = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("p").alias("part"), (F.col("id") % 32).cast("int").alias("failed"), F.lit(True).alias("good"), F.lit(False).alias("toxic"))
+    plan = filter_audit.replay(failed)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("partial_count_if") > plan.index("Exchange hashpartitioning(part") if "partial_count_if" in plan else "partial_count" in plan
+    got = audited(filter_audit.replay(failed))
+    assert len(got) == 600 and all(sum(got["p", o, s][1] for s in range(1, 6)) + got["p", o, 5][0] == 4000 for _, o, _ in list(got)[:50])
