@@ -12,6 +12,7 @@ worker fills the table once for each different unit.  Characters outside the voc
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 from collections.abc import Iterator
@@ -20,6 +21,7 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from incidara.llm.support import text_or_empty
@@ -205,6 +207,15 @@ def _decode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(content, pa.string())], [*batch.schema.names, "content"])
 
 
+def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of each row's decimal ids, joined by commas, and of its decoded text."""
+    sha = lambda column: pa.array([hashlib.sha256(value or b"").hexdigest() for value in column.cast(pa.binary()).to_pylist()], pa.string())
+    for batch in batches:
+        names, counts, ids, content = batch.columns
+        decimal = pc.binary_join(ids.cast(pa.list_(pa.string())), ",")
+        yield pa.RecordBatch.from_arrays([names, counts, sha(decimal), sha(content)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
 def _texts(docs: DataFrame) -> tuple[DataFrame, str]:
     """Ids and texts, and the fields of encoded rows."""
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
@@ -232,3 +243,10 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """``encode_pieces`` and ``decode_pieces`` of its ids in one pass of the tasks."""
     rows, fields = _texts(docs)
     return shipped(rows).mapInArrow(lambda batches: _decode_batches(_encode_batches(batches, path), path), f"{fields}, content string")
+
+
+def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: digests of what ``round_trip`` returns, taken where it is made, so ids and texts stay there."""
+    rows, fields = _texts(docs)
+    made = lambda batches: _digest_batches(_decode_batches(_encode_batches(batches, path), path))
+    return shipped(rows).mapInArrow(made, fields.replace("ids array<int>", "ids_sha256 string, decoded_sha256 string"))

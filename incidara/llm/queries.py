@@ -203,9 +203,7 @@ FROM failed
 
 
 def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = pieces.round_trip(read_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
-    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return coded.select("doc_id", "n_tokens", F.sha2(listed, 256).alias("ids_sha256"), F.sha2("content", 256).alias("decoded_sha256"))
+    return pieces.round_trip_digests(read_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,7 +248,8 @@ OP13_SQL = r"""
 WITH docs AS (
   SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
          list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	
-]+'), lambda x: x <> '') AS words
+
+]+'), lambda x: x <> '') AS words
   FROM documents
 ), known AS (
   SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id

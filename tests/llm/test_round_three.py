@@ -108,6 +108,13 @@ def test_sentencepiece_on_awkward_rows(spark, library):
     assert sorted(map(str, rows(split))) == sorted(map(str, got))
 
 
+def test_digests_are_those_of_the_round_trip(spark):
+    got = sorted(map(tuple, pieces.round_trip_digests(docs(spark), MODEL).collect()), key=str)
+    made = pieces.round_trip(docs(spark), MODEL)
+    want = made.select("doc_id", "n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256), F.sha2("content", 256))
+    assert got == sorted(map(tuple, want.collect()), key=str)
+
+
 def test_sentencepiece_query_equals_the_library(spark, library):
     got = {r["doc_id"]: r for r in rows(queries.op11_sentencepiece(spark, SF))}
     table = rows(read_table(spark, SF, "documents").select("doc_id", "text"))
