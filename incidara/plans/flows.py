@@ -66,6 +66,31 @@ def incremental_refresh(spark, sf_dir):
     return snapshot.load_snapshot(spark, where)[0].select("row_id", "queued", "staff")
 
 
+@query(f"""WITH {catalog._CALLS}, one AS (
+  SELECT * FROM calls QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY queued DESC, supplier, staff, price) = 1
+), last AS (SELECT max(CAST(queued AS DATE)) AS day FROM one), moved AS (
+  SELECT row_id FROM one, last WHERE CAST(queued AS DATE) = day - 7 AND staff >= 25
+), now AS (
+  SELECT row_id, CASE WHEN row_id IN (SELECT row_id FROM moved) THEN queued + INTERVAL 2 DAY ELSE queued END AS queued FROM one
+)
+SELECT CAST(CAST(queued AS DATE) AS VARCHAR) AS day, count(*) AS n_rows, CAST(queued AS DATE) IN (SELECT CAST(queued AS DATE) + k FROM one SEMI JOIN moved USING (row_id), unnest([0, 2]) t(k)) AS written
+FROM now WHERE queued >= (SELECT max(queued) FROM now) - INTERVAL 365 DAY GROUP BY ALL""")
+def refresh_touched_days(spark, sf_dir):
+    """Rows of one day move two days on; which days of the snapshot the refresh writes, and what they have."""
+    where = shared_folder(spark, "snapshot")
+    rows = b.calls(spark, sf_dir).select(*_COLUMNS)
+    snapshot.full_refresh(where, lambda start: rows, "1995-01-01", b.CALL_ROLES)
+    snapshot.merge(spark, where, rows.limit(0), b.CALL_ROLES)  # the retention
+    now, before = snapshot.load_snapshot(spark, where)
+    day = F.col("queued").cast("date")
+    last = now.agg(F.max(day).alias("last"))
+    moved = now.join(F.broadcast(last), (day == F.date_sub("last", 7)) & (F.col("staff") >= 25)).drop("last")
+    snapshot.merge(spark, where, moved.withColumn("queued", F.col("queued") + F.expr("INTERVAL 2 DAYS")), b.CALL_ROLES)
+    now, after = snapshot.load_snapshot(spark, where)
+    written = [p["day"] for p in after["parts"] if p not in before["parts"]]
+    return now.groupBy(day.cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n_rows")).withColumn("written", F.col("day").isin(written))
+
+
 @query(f"WITH {_REFRESHED} SELECT row_id, queued, staff FROM kept WHERE queued >= (SELECT max(queued) FROM kept) - INTERVAL 365 DAY")
 def stream_upsert(spark, sf_dir):
     where, arriving = shared_folder(spark, "snapshot"), shared_folder(spark, "arriving")

@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from incidara.roles import RETENTION_DAYS, Roles
-from incidara.sources.snapshot import load_snapshot, merged, save_snapshot
+from incidara.sources.snapshot import merge, read_metadata
 
 
 def upsert_stream(stream: DataFrame, directory: str, checkpoint: str, roles: Roles, days: int = RETENTION_DAYS, **trigger) -> StreamingQuery:
-    """Keep the snapshot of ``directory`` up to date with ``stream``.
+    """Keep the snapshot of ``directory`` up to date with ``stream``; a batch writes the days that it touches.
 
     A batch that is run again after a failure gives the same snapshot: its rows replace themselves.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        existing, metadata = load_snapshot(batch.sparkSession, directory)
-        save_snapshot(merged(existing, batch, roles, days), directory, metadata["source_start_date"])
+        spark = batch.sparkSession
+        merge(spark, directory, batch, roles, days, read_metadata(spark, directory)["source_start_date"])
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -129,7 +129,7 @@ def test_snapshot_round_trip_refresh_and_stream(spark, tmp_path):
     spark.createDataFrame([(json.dumps(broken),)], "value string").write.mode("overwrite").text(target)
     with pytest.raises(ValueError, match="keys"):
         snapshot.load_snapshot(spark, where)
-    snapshot.save_snapshot(df, where, "2025-01-01")
+    snapshot.save_snapshot(df, where, "2025-01-01", ROLES.event_time, ROLES.row_id, unique=True)
     assert snapshot.remove_old_versions(spark, where) == 2 and snapshot.remove_old_versions(spark, where) == 0
     arriving = str(tmp_path / "arriving")
     from_records(spark, [RECORDS[0] | {"priority": "7"}]).write.parquet(arriving)
@@ -143,6 +143,79 @@ def test_snapshot_round_trip_refresh_and_stream(spark, tmp_path):
     assert [tuple(r) for r in spark.sql("SELECT * FROM day_counts").collect()] == [(date(2025, 1, 1), 1)]
 
 
+def files_of(folder):
+    return {str(p.relative_to(folder)) for p in folder.rglob("*.parquet")}
+
+
+def test_a_batch_of_one_day_writes_that_day_alone(spark, tmp_path):
+    where, data = str(tmp_path / "snapshot"), tmp_path / "snapshot" / snapshot.DATA
+    snapshot.full_refresh(where, lambda start: from_records(spark, RECORDS), "2025-01-01", ROLES)
+    before, files = snapshot.read_metadata(spark, where), files_of(data)
+    assert len(before["parts"]) == 28 and len(files) >= 28
+    day = [r | {"priority": "9"} for r in RECORDS if r["cad_event_original_time_queued"].startswith("2025-01-05")]
+    snapshot.merge(spark, where, from_records(spark, day), ROLES)
+    after, written = snapshot.read_metadata(spark, where), files_of(data) - files
+    assert files <= files_of(data)  # nothing that was there has changed
+    assert written and all("=2025-01-05/" in f for f in written)
+    assert [p["day"] for p in after["parts"] if p not in before["parts"]] == ["2025-01-05"]
+    df, _ = snapshot.load_snapshot(spark, where)
+    assert df.count() == 60 and df.filter("priority = 9").count() == len(day) == sum(r["cad_event_original_time_queued"].startswith("2025-01-05") for r in RECORDS)
+    # an id that moves to another day: both days are written, and the row is there once
+    moved = RECORDS[0] | {"cad_event_original_time_queued": "2025-01-20T12:00:00.000"}
+    snapshot.merge(spark, where, from_records(spark, [moved]), ROLES)
+    now = snapshot.read_metadata(spark, where)
+    assert {p["day"] for p in now["parts"] if p not in after["parts"]} == {"2025-01-01", "2025-01-20"}
+    df, _ = snapshot.load_snapshot(spark, where)
+    assert df.count() == 60 and str(df.filter("call_sign_dispatch_id = 'R000'").first()[ROLES.event_time]) == "2025-01-20 12:00:00"
+    kept = {p["path"] for p in now["parts"]}
+    snapshot.remove_old_versions(spark, where)
+    assert {f"{f.split('/')[0]}/{f.split('/')[1]}" for f in files_of(data)} == kept and snapshot.load_snapshot(spark, where)[0].count() == 60
+
+
+def test_retention_drops_days_and_filters_one(spark, tmp_path):
+    where = str(tmp_path / "snapshot")
+    snapshot.full_refresh(where, lambda start: from_records(spark, RECORDS), "2025-01-01", ROLES)
+    late = RECORDS[0] | {"call_sign_dispatch_id": "LATE", "cad_event_original_time_queued": "2025-01-30T05:00:00.000"}
+    snapshot.merge(spark, where, from_records(spark, [late, RECORDS[1] | {"cad_event_original_time_queued": None}]), ROLES, days=20)
+    df, metadata = snapshot.load_snapshot(spark, where)
+    want = {r["call_sign_dispatch_id"] for r in RECORDS if r["cad_event_original_time_queued"] >= "2025-01-10T05"} - {"R001"} | {"LATE"}
+    assert {r[ROLES.row_id] for r in df.collect()} == want and metadata["parts"][0]["day"] == "2025-01-10"
+    assert metadata["cutoff"] == "2025-01-10 05:00:00" and metadata["source_start_date"] == "2025-01-10" and metadata["row_count"] == len(want)
+
+
+def test_refresh_edges(spark, tmp_path):
+    where = str(tmp_path / "snapshot")
+    with pytest.raises(FileNotFoundError):
+        snapshot.read_metadata(spark, where)
+    rows = from_records(spark, RECORDS[:3] + [RECORDS[0] | {"priority": "8"}, RECORDS[5] | {"call_sign_dispatch_id": None}])
+    snapshot.save_snapshot(rows, where, "2025-01-01")  # one part, and an id that is there twice
+    snapshot.merge(spark, where, rows.limit(0), ROLES)
+    df, metadata = snapshot.load_snapshot(spark, where)
+    assert df.count() == 4 and metadata["unique"] and all(p["day"] for p in metadata["parts"])
+    extra = from_records(spark, [RECORDS[1]]).withColumn("remark", F.lit("x"))
+    snapshot.merge(spark, where, extra, ROLES)  # a column more: other days read it as null
+    df, _ = snapshot.load_snapshot(spark, where)
+    assert df.count() == 4 and df.filter("remark = 'x'").count() == 1 and df.filter("remark IS NULL").count() == 3
+    snapshot.merge(spark, where, from_records(spark, [RECORDS[9] | {"call_sign_dispatch_id": None}]), ROLES)
+    assert snapshot.load_snapshot(spark, where)[0].filter("call_sign_dispatch_id IS NULL").count() == 1
+    nothing = str(tmp_path / "nothing")
+    snapshot.save_snapshot(rows.limit(0), nothing, "2025-01-01", ROLES.event_time)
+    with pytest.raises(ValueError, match="time"):
+        snapshot.merge(spark, nothing, rows.limit(0), ROLES)
+    assert snapshot.load_snapshot(spark, nothing)[0].count() == 0
+
+
+def test_of_two_writers_one_commits(spark, tmp_path):
+    where = str(tmp_path / "snapshot")
+    rows = from_records(spark, RECORDS)
+    snapshot.full_refresh(where, lambda start: rows, "2025-01-01", ROLES)
+    name, metadata = snapshot._metadata_name(spark, where), snapshot.read_metadata(spark, where)
+    snapshot.merge(spark, where, rows.limit(1), ROLES)
+    with pytest.raises(RuntimeError, match="another writer"):
+        snapshot._commit(spark, where, metadata, name)
+    assert snapshot.load_snapshot(spark, where)[0].count() == 60
+
+
 GEO = {"type": "FeatureCollection", "features": [
     {"type": "Feature", "properties": {"Neighborhood": " Alpha ", "PRECINCT": "N"}, "geometry": {"type": "Polygon", "coordinates": [[[-122.4, 47.5], [-122.2, 47.5], [-122.2, 47.7], [-122.4, 47.7], [-122.4, 47.5]]]}},
     {"type": "Feature", "properties": {"Neighborhood": "beta", "PRECINCT": "S"}, "geometry": {"type": "MultiPolygon", "coordinates": [[[[0, 0], [1, 0], [1, 1], [0, 0]]], [[[2, 2], [3, 2], [3, 3], [2, 2]]]]}},
