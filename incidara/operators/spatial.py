@@ -2,7 +2,7 @@
 
 A polygon is an array of rings (outer rings and holes alike), each an array of points ``x, y``.  A point is
 within if a ray from it crosses the rings an odd number of times and it is on no edge.  Polygons are
-dealt to the grid cells of their boxes, so the join is on the cell, whatever their number.
+dealt to grid cells by a quadtree, so the join is on the cell, whatever their number, and edges are looked at only near borders.
 """
 
 from __future__ import annotations
@@ -35,33 +35,92 @@ def edges(rings: Column) -> Column:
     return F.flatten(F.transform(rings, ring_edges))
 
 
-def is_within(x: Column, y: Column, all_edges: Column) -> Column:
-    """Whether the point is strictly inside; no division, so level edges need no care."""
-    side = lambda e: (x - e["a"]["x"]) * (e["b"]["y"] - e["a"]["y"]) - (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"])
-    spans = lambda e: (e["a"]["y"] > y) != (e["b"]["y"] > y)
-    crosses = lambda e: spans(e) & (F.when(e["b"]["y"] > e["a"]["y"], side(e)).otherwise(-side(e)) < 0)
+def _side(x: Column, y: Column, e: Column) -> Column:
+    return (x - e["a"]["x"]) * (e["b"]["y"] - e["a"]["y"]) - (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"])
+
+
+def is_on_edge(x: Column, y: Column, some_edges: Column) -> Column:
     between = lambda v, p, q: (v >= F.least(p, q)) & (v <= F.greatest(p, q))
-    on_edge = lambda e: (side(e) == 0) & between(x, e["a"]["x"], e["b"]["x"]) & between(y, e["a"]["y"], e["b"]["y"])
-    return (F.size(F.filter(all_edges, crosses)) % 2 == 1) & ~F.exists(all_edges, on_edge)
+    return F.exists(some_edges, lambda e: (_side(x, y, e) == 0) & between(x, e["a"]["x"], e["b"]["x"]) & between(y, e["a"]["y"], e["b"]["y"]))
+
 
+def is_within(x: Column, y: Column, some_edges: Column, crossed: Column | int = 0) -> Column:
+    """Whether the point is strictly inside; no division, so level edges need no care.
 
-def polygon_cells(polygons: DataFrame, cell: float) -> DataFrame:
-    """``polygons`` (``objectid, rings``) with their edges, once for each grid cell of their boxes."""
-    component = lambda axis: F.flatten(F.transform("rings", lambda ring: F.transform(ring, lambda p: p[axis])))
-    bounds = {}
+    ``some_edges`` are all edges, or those that a ray from the point to greater x can meet but for ``crossed`` that it does.
+    """
+    spans = lambda e: (e["a"]["y"] > y) != (e["b"]["y"] > y)
+    crosses = lambda e: spans(e) & (F.when(e["b"]["y"] > e["a"]["y"], _side(x, y, e)).otherwise(-_side(x, y, e)) < 0)
+    return ((F.size(F.filter(some_edges, crosses)) + crossed) % 2 == 1) & ~is_on_edge(x, y, some_edges)
+
+
+def _bounds(rings: str, axis: str) -> tuple[Column, Column]:
+    values = F.flatten(F.transform(rings, lambda ring: F.transform(ring, lambda p: p[axis])))
+    return F.array_min(values), F.array_max(values)
+
+
+def _met(left: Column, low: Column, top: Column, size: Column, e: Column, beyond: float) -> dict[str, Column]:
+    """How an edge stands to a cell that is wider by ``beyond`` on each side: relevant to rays from it, in it, always crossed."""
+    ax, ay, bx, by = e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]
+    x0, x1, y0, y1 = left - beyond, left + size + beyond, low - beyond, top + beyond
+    relevant = (F.greatest(ay, by) >= y0) & (F.least(ay, by) <= y1) & (F.greatest(ax, bx) >= x0)
+    corners = [_side(x, y, e) for x in (x0, x1) for y in (y0, y1)]
+    apart = (F.least(*corners) > 0) | (F.greatest(*corners) < 0)
+    return {
+        "relevant": relevant,
+        "inside": relevant & (F.least(ax, bx) <= x1) & ~apart,
+        "crossed": (F.least(ax, bx) > x1) & (F.least(ay, by) <= y0) & (F.greatest(ay, by) >= y1),
+    }
+
+
+def _split(cells: DataFrame, size: float, beyond: float) -> DataFrame:
+    """Cells of ``size``, each with the edges that matter in it; cells that no edge meets are decided, and those outside go."""
+    left, low = F.col("cell_x") * F.lit(size), F.col("cell_y") * F.lit(size)
+    meets = lambda what: lambda e: _met(left, low, low + size, F.lit(size), e, beyond)[what]
+    open_ = F.col("decided").isNull()
+    now = cells.withColumn("edges", F.when(open_, F.filter("edges", meets("relevant"))).otherwise(F.col("edges")))
+    middle = is_within(left + size / 2, low + size / 2, F.col("edges"), F.col("crossed"))
+    now = now.withColumn("decided", F.when(open_ & ~F.exists("edges", meets("inside")), middle).otherwise(F.col("decided")))
+    now = now.filter(F.coalesce("decided", F.lit(True)))
+    always = F.size(F.filter("edges", meets("crossed")))
+    now = now.withColumn("crossed", F.when(F.col("decided").isNull(), F.col("crossed") + always).otherwise(F.col("crossed")))
+    left_over = F.filter("edges", lambda e: ~meets("crossed")(e))
+    return now.withColumn("edges", F.when(F.col("decided").isNull(), left_over))
+
+
+#: Halvings between the coarsest cells and the ones that points are dealt to.
+LEVELS = 4
+
+
+def polygon_cells(polygons: DataFrame, cell: float, levels: int = LEVELS) -> DataFrame:
+    """``polygons`` (``objectid, rings``) once for each grid cell that they meet, as ``cell_x, cell_y, edges, crossed``.
+
+    A quadtree: cells of ``2 ** levels`` times the size are halved where an edge goes through them.  A cell that lies
+    in the polygon as a whole has null ``edges`` and needs no test; any other has the edges that a ray from a point in it to greater x can
+    meet, without those that every such ray crosses, whose number is ``crossed``.
+    """
+    beyond, size = cell * 1e-6, cell * 2**levels
+    spans = {}
     for axis in ("x", "y"):
-        values = component(axis)
-        bounds |= {f"low_{axis}": F.floor(F.array_min(values) / cell), f"high_{axis}": F.floor(F.array_max(values) / cell)}
-    boxed = polygons.withColumns(bounds)
-    across = boxed.withColumn("cell_x", F.explode(F.sequence("low_x", "high_x"))).withColumn("cell_y", F.explode(F.sequence("low_y", "high_y")))
-    return across.withColumn("edges", edges(F.col("rings"))).drop("rings", *bounds)
+        low, high = _bounds("rings", axis)
+        spans |= {f"_low_{axis}": F.floor(low / size), f"_high_{axis}": F.floor(high / size)}
+    boxed = polygons.withColumns({**spans, "edges": edges(F.col("rings")), "crossed": F.lit(0), "decided": F.lit(None).cast("boolean")}).drop("rings")
+    cells = boxed.withColumn("cell_x", F.explode(F.sequence("_low_x", "_high_x"))).withColumn("cell_y", F.explode(F.sequence("_low_y", "_high_y"))).drop(*spans)
+    cells = _split(cells, size, beyond)
+    for _ in range(levels):
+        size /= 2
+        quarters = [F.struct((F.col("cell_x") * 2 + i).alias("x"), (F.col("cell_y") * 2 + k).alias("y")) for i in (0, 1) for k in (0, 1)]
+        halved = cells.withColumn("_quarter", F.explode(F.array(*quarters)))
+        cells = _split(halved.withColumns({"cell_x": F.col("_quarter.x"), "cell_y": F.col("_quarter.y")}).drop("_quarter"), size, beyond)
+    return cells.drop("decided")
 
 
 def containing(points: DataFrame, polygons: DataFrame, x: str, y: str, cell: float = 0.02) -> DataFrame:
     """``points`` beside each polygon that they are within; points in none do not appear."""
     gridded = points.withColumns({"cell_x": F.floor(F.col(x) / cell), "cell_y": F.floor(F.col(y) / cell)})
     met = gridded.join(polygon_cells(polygons, cell), ["cell_x", "cell_y"])
-    return met.filter(is_within(F.col(x), F.col(y), F.col("edges"))).drop("cell_x", "cell_y", "edges")
+    inside = F.col("edges").isNull() | is_within(F.col(x), F.col(y), F.col("edges"), F.col("crossed"))
+    return met.filter(inside).drop("cell_x", "cell_y", "edges", "crossed")
 
 
 def lookup(points: DataFrame, polygons: DataFrame, key: str, x: str, y: str, *carry: str, cell: float = 0.02) -> DataFrame:

@@ -92,3 +92,23 @@ def polygons(spark: SparkSession) -> DataFrame:
 
 def area_people(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(AREA_PEOPLE, "area string, population long")
+
+
+def label_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each label of the vectors an area of four rings in no order: an island, a second part, a hole, a shell.
+
+    The shell is the box of the label's vectors, the hole its middle half, the island its middle eighth, the second part the box moved by 2.
+    """
+    box = points(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
+    box = box.groupBy("label").agg(*[f(c).alias(f"{n}_{c}") for c in ("x", "y") for f, n in ((F.min, "low"), (F.max, "high"))])
+    box = box.filter("low_x < high_x AND low_y < high_y")
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+
+    def ring(share_low: float, share_high: float, move: float = 0.0):
+        at = lambda c, share: F.col(f"low_{c}") + (F.col(f"high_{c}") - F.col(f"low_{c}")) * F.lit(share) + F.lit(move if c == "x" else 0.0)
+        (x0, x1), (y0, y1) = [(at(c, share_low), at(c, share_high)) for c in ("x", "y")]
+        return F.array(corner(x0, y0), corner(x1, y0), corner(x1, y1), corner(x0, y1))
+
+    rings = F.array(ring(0.4375, 0.5625), ring(0.0, 1.0, 2.0), ring(0.25, 0.75), ring(0.0, 1.0))
+    name = F.concat(F.lit("label "), F.col("label").cast("string"))
+    return box.select(F.col("label").cast("long").alias("objectid"), name.alias("area"), F.lit("all").alias("area_group"), rings.cast(RINGS).alias("rings"))

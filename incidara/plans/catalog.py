@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incidara.functions import calendar, clean
+from incidara.functions import calendar, clean, projections
 from incidara.functions.bins import BIN_COLUMN, importance_bin
 from incidara.functions.ranks import percent_rank_of_ties
 from incidara.operators import choropleth, daily, dedup, response, scatter, schema, spatial, summary, volume
@@ -484,9 +484,59 @@ def accuracy_summary(spark, sf_dir):
 _CROSSWALK = '{"alpha": "North Shore", "beta": ["River East", "Old Mill"], "unknown": ""}'
 
 
-@query("SELECT * FROM (VALUES ('alpha', 'North Shore'), ('beta', 'River East'), ('beta', 'Old Mill'), ('unknown', '')) t(label, boundary)")
+@query("""SELECT DISTINCT event_type AS label, 'area ' || (CAST(json_extract(props, '$.k') AS INT) % CASE event_type WHEN 'error' THEN 1 ELSE 4 END) AS boundary FROM events""")
 def crosswalk_explode(spark, sf_dir):
-    return spatial.crosswalk(spark.createDataFrame([(_CROSSWALK,)], "value string"))
+    """A crosswalk of event types, written as JSON with lists and single names, and read again."""
+    kinds = F.when(F.col("event_type") == "error", 1).otherwise(4)
+    named = F.concat(F.lit("area "), (F.get_json_object("props", "$.k").cast("int") % kinds).cast("string"))
+    lists = b.table(spark, sf_dir, "events").groupBy("event_type").agg(F.array_sort(F.collect_set(named)).alias("names"))
+    value = F.when(F.size("names") == 1, F.concat(F.lit('"'), F.col("names")[0], F.lit('"'))).otherwise(F.to_json("names"))
+    entries = lists.select(F.concat(F.lit('"'), "event_type", F.lit('": '), value).alias("entry"))
+    return spatial.crosswalk(entries.agg(F.concat(F.lit("{"), F.array_join(F.collect_list("entry"), ", "), F.lit("}")).alias("value")))
+
+
+_LABEL_BOXES = """boxes AS (
+  SELECT label, min(CAST(embedding[1] AS DOUBLE)) AS x0, max(CAST(embedding[1] AS DOUBLE)) AS x1, min(CAST(embedding[2] AS DOUBLE)) AS y0, max(CAST(embedding[2] AS DOUBLE)) AS y1
+  FROM embeddings GROUP BY label HAVING min(embedding[1]) < max(embedding[1]) AND min(embedding[2]) < max(embedding[2])
+), kinds AS (
+  SELECT * FROM (VALUES (1, 1, 0.4375::DOUBLE, 0.5625::DOUBLE, 0::DOUBLE), (2, 1, 0, 1, 2), (3, 1, 0, 1, 0), (3, 2, 0.25, 0.75, 0)) t(part, ring, low, high, move)
+), ring_boxes AS (
+  SELECT label, part, ring, x0 + (x1 - x0) * low + move AS x0, x0 + (x1 - x0) * high + move AS x1, y0 + (y1 - y0) * low AS y0, y0 + (y1 - y0) * high AS y1 FROM boxes, kinds
+)"""
+
+
+@query(f"""WITH {_LABEL_BOXES}, met AS (
+  SELECT vec_id, label AS objectid, count(*) FILTER (x > x0 AND x < x1 AND y > y0 AND y < y1 AND NOT (part = 3 AND ring = 2)) AS inside,
+         count(*) FILTER (part = 3 AND ring = 2 AND x >= x0 AND x <= x1 AND y >= y0 AND y <= y1) AS in_hole,
+         count(*) FILTER (part = 1 AND x > x0 AND x < x1 AND y > y0 AND y < y1) AS on_island
+  FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), ring_boxes GROUP BY ALL
+) SELECT vec_id, objectid FROM met WHERE on_island > 0 OR (inside > 0 AND in_hole = 0)""")
+def points_in_parts(spark, sf_dir):
+    """Points in areas with holes, islands in them, and second parts."""
+    return spatial.containing(b.points(spark, sf_dir).select("vec_id", "x", "y"), b.label_areas(spark, sf_dir), "x", "y").select("vec_id", "objectid")
+
+
+def _conic_sql(number: int, x: str, y: str) -> str:
+    """Longitude and latitude of a conformal conic system in SQL, by iteration instead of a series."""
+    p = projections.SYSTEMS[number]
+    e = p.ellipsoid.eccentricity
+    m = lambda d: f"(cos(radians({d}::DOUBLE)) / sqrt(1 - pow({e} * sin(radians({d}::DOUBLE)), 2)))"
+    t = lambda d: f"(tan(pi() / 4 - radians({d}::DOUBLE) / 2) / pow((1 - {e} * sin(radians({d}::DOUBLE))) / (1 + {e} * sin(radians({d}::DOUBLE))), {e} / 2))"
+    better = lambda v: f"(pi() / 2 - 2 * atan(t * pow((1 - {e} * sin({v})) / (1 + {e} * sin({v})), {e} / 2)))"
+    steps = "".join(f", i{k + 1} AS (SELECT *, {better(f'v{k}')} AS v{k + 1} FROM i{k})" for k in range(8))
+    return f"""c AS (SELECT ln({m(p.first)} / {m(p.second)}) / ln({t(p.first)} / {t(p.second)}) AS n), g AS (
+      SELECT n, {p.ellipsoid.axis} * {m(p.first)} / (n * pow({t(p.first)}, n)) AS af FROM c
+    ), r AS (SELECT *, {x} * {p.unit} - {p.easting} AS e, af * pow({t(p.latitude)}, n) - ({y} * {p.unit} - {p.northing}) AS s FROM given, g
+    ), i0 AS (SELECT *, pow(sqrt(e * e + s * s) / af, 1 / n) AS t, pi() / 2 - 2 * atan(pow(sqrt(e * e + s * s) / af, 1 / n)) AS v0, atan2(e, s) / n AS turned FROM r){steps},
+    found AS (SELECT *, degrees(turned) + {p.longitude} AS lon, degrees(v8) AS lat FROM i8)"""
+
+
+@query(f"""WITH given AS (SELECT vec_id, 1270000 + 100000 * CAST(embedding[1] AS DOUBLE) AS east, 230000 + 100000 * CAST(embedding[2] AS DOUBLE) AS north FROM embeddings),
+{_conic_sql(2285, "east", "north")} SELECT vec_id, round(lon, 7) AS lon, round(lat, 7) AS lat FROM found""")
+def reprojected_points(spark, sf_dir):
+    """Vectors as places of a map in feet, back to degrees."""
+    p = projections.system(2285).degrees(F.lit(1270000) + F.lit(100000) * F.col("x"), F.lit(230000) + F.lit(100000) * F.col("y"))
+    return b.points(spark, sf_dir).select("vec_id", p.alias("p")).select("vec_id", F.round("p.x", 7).alias("lon"), F.round("p.y", 7).alias("lat"))
 
 
 @query(f"""WITH {_CALLS} SELECT CAST((max(CAST(queued AS DATE)) - 29) AS VARCHAR) AS range_start, CAST(max(CAST(queued AS DATE)) AS VARCHAR) AS range_end FROM calls""")

@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from incidara.operators import dedup, spatial
+from incidara.operators import dedup, spatial, topology
 from incidara.plans import bindings as b
 from incidara.plans import catalog
 from incidara.plans.catalog import query
@@ -114,13 +114,18 @@ def stream_daily_counts(spark, sf_dir):
     return spark.table(name).select(F.col("date").cast("string").alias("date"), "dispatch_records")
 
 
-@query("""SELECT objectid::BIGINT AS objectid, area, rings::BIGINT AS rings FROM (VALUES (1, 'north shore', 1), (2, 'harbor bend', 1), (3, 'old mill', 2),
-(4, 'river east', 1), (5, 'north shore', 1)) t(objectid, area, rings)""")
+@query(f"""WITH {catalog._LABEL_BOXES}, corners AS (
+  SELECT *, unnest([x0, x1, x1, x0, x0]) AS x, unnest([y0, y0, y1, y1, y0]) AS y, unnest(range(1, 6)) AS corner FROM ring_boxes
+) SELECT label::BIGINT AS objectid, 'label ' || label AS area, part::INT AS part, ring::INT AS ring, corner::INT AS corner, x, y FROM corners""")
 def geojson_roundtrip(spark, sf_dir):
+    """Areas with parts, holes and islands, written and read; every corner."""
     where = shared_folder(spark, "areas")
-    tables.write_geojson(b.polygons(spark), where, "objectid", "area", "area_group")
+    tables.write_geojson(b.label_areas(spark, sf_dir), where, "objectid", "area", "area_group")
     read = spatial.normalise_polygons(tables.read_geojson(spark, where), "area", "area_group")
-    return read.select("objectid", "area", F.size("rings").cast("bigint").alias("rings"))
+    parts = read.select("objectid", "area", F.posexplode(topology.polygons_of(F.col("rings"))).alias("part", "rings"))
+    rings = parts.select("objectid", "area", F.col("part") + 1, F.posexplode("rings").alias("ring", "points")).toDF("objectid", "area", "part", "ring", "points")
+    corners = rings.select("objectid", "area", "part", (F.col("ring") + 1).alias("ring"), F.posexplode("points").alias("corner", "p"))
+    return corners.select("objectid", "area", "part", "ring", (F.col("corner") + 1).alias("corner"), "p.x", "p.y")
 
 
 @query(f"""WITH {catalog._POINTS}, pairs AS (SELECT * FROM (VALUES ('alpha', 'north shore'), ('beta', 'river east'), ('beta', 'old mill'), ('unknown', '')) t(label, boundary)),
@@ -129,7 +134,7 @@ SELECT label, count(*) AS evaluated_events, count(boundary) AS correctly_labeled
 FROM labelled LEFT JOIN pairs ON pairs.label = labelled.label AND boundary = area GROUP BY labelled.label""".replace("SELECT label, count", "SELECT labelled.label AS label, count"))
 def crosswalk_accuracy(spark, sf_dir):
     labelled = catalog._located(spark, sf_dir).withColumn("label", F.when(F.col("vec_id") % 2 == 0, "alpha").otherwise("beta"))
-    return spatial.crosswalk_accuracy(labelled, catalog.crosswalk_explode(spark, sf_dir), "label", "area")
+    return spatial.crosswalk_accuracy(labelled, spatial.crosswalk(spark.createDataFrame([(catalog._CROSSWALK,)], "value string")), "label", "area")
 
 
 @query(f"""WITH {catalog._CALLS} SELECT event_id, row_id, queued, staff FROM calls WHERE queued >= TIMESTAMP '1996-01-01' AND queued < TIMESTAMP '1996-02-01'
