@@ -1,19 +1,19 @@
 """Removal of near copies: SimHash and shared shingles find candidate pairs, five-word shingles decide each.
 
-SimHash finds most pairs.  A five-word fingerprint puts texts of similarity 0.8 about ten of 64 bits
+SimHash finds pairs that share few rare shingles early, so fewer keys are left open for the second round.  A five-word fingerprint puts texts of similarity 0.8 about ten of 64 bits
 apart, too far for shards of agreeing bits, so the search uses fingerprints of single words, ``TABLES`` of
 32 bits each; a BK-tree over each shard finds the texts within one bit, and a pair counts if the bits of all
 tables together agree as well.  It misses pairs that differ in one long piece, and texts of few different words.
 
-Prefix filtering misses none: in any one order of all shingles, two texts of ``SIMILARITY`` have one in
-common among the first fifth of each.  These are join keys.  The order is by hash, after which come the
+Prefix filtering misses none, with or without these: in any one order of all shingles, two texts of ``SIMILARITY`` have one in
+common among the first fifth of each, and of the smaller one's first ninth.  These are join keys.  The order is by hash, after which come the
 shingles that a sample of the texts has most, so that templates are keys only of texts made of them.
 
 Pairs are decided one by one, in two rounds, so no group is ever expanded into its pairs:
 
 1. each text with the first text of each key or shard that it has: as many pairs as there are rows;
 2. keys whose texts the first round has not all connected: there every pair of texts of different groups,
-   unless sizes and sketches of the sets prove them too far apart.
+   unless the key's places in both, sizes or sketches of the sets prove them too far apart.
 
 A pair counts if the Jaccard similarity of its five-word shingles is at least ``SIMILARITY``; the smallest
 id of each connected group stays.
@@ -231,11 +231,21 @@ def print_links(found: DataFrame) -> DataFrame:
     return shipped(tasks).groupBy("task").applyInArrow(search, "a long, b long").filter("a != b").distinct()
 
 
-def key_rows(found: DataFrame) -> DataFrame:
-    """``key, id, lead`` of the join keys that several rows of ``found`` (digests) have; the lead is the key's smallest id."""
-    dealt = found.select("id", F.explode("keys").alias("key"))
+def _at_least(sizes: Column, similarity: float) -> Column:
+    """Members in common that sets of so many members in all need for ``similarity``."""
+    return F.ceil(F.lit(similarity / (1 + similarity)) * sizes - F.lit(1e-6))
+
+
+def key_rows(found: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``key, id, lead, place, size, short`` of the join keys that several rows of ``found`` (digests) have; the lead is the key's smallest id.
+
+    ``place`` is the key's in the row's set.  The smaller of two sets of ``similarity`` has their first common member in an
+    even shorter prefix than the larger one; ``short`` says whether the key is in that.
+    """
+    dealt = found.select("id", "size", F.posexplode("keys").alias("place", "key"))
     heads = settle(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lead")).filter("n > 1"))
-    return settle(dealt.join(heads, "key").select("key", "id", "lead"))
+    short = F.col("place") <= F.col("size") - _at_least(2 * F.col("size"), similarity)
+    return settle(dealt.join(heads, "key").select("key", "id", "lead", "place", "size", short.alias("short")))
 
 
 def _apart(similarity: float) -> float:
@@ -286,33 +296,46 @@ def decide(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) ->
     return both.filter(common >= similarity * (F.size("a_set") + F.size("b_set") - common) - 1e-6).select("a", "b").distinct()
 
 
+def _may_share(size: int, place: int, sizes: np.ndarray, places: np.ndarray, similarity: float) -> np.ndarray:
+    """Which sets can reach ``similarity`` with one if a key at these places is the first that both have.
+
+    Nothing before it is common, so what is from there on bounds the members in common.
+    """
+    most = np.minimum(size - place, sizes - places)
+    return most >= similarity / (1 + similarity) * (size + sizes) - 1e-6
+
+
 def open_pairs(rows: DataFrame, found: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``a, b`` of different ``groups`` (``node, root``) that share a key of ``rows`` and that sizes and sketches do not rule out."""
-    named = rows.join(groups, rows["id"] == groups["node"], "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    mixed = settle(mixed.filter("low != high").select("key", "n"))
+    """Pairs ``a, b`` of different ``groups`` (``node, root``) that share a key of ``rows`` and that places, sizes and sketches do not rule out.
+
+    In a key only short rows meet others, as the smaller of the two; a key that no row has in its short prefix, as that of a
+    template which all texts have at their ends, makes no pairs.  The rows of a key are dealt to blocks, and its short ones go to each.
+    """
+    named = rows.join(groups, rows["id"] == groups["node"], "left").select("key", "id", "place", "size", "short", F.coalesce("root", "id").alias("root"))
+    mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.bool_or("short").alias("open"))
+    mixed = settle(mixed.filter("low != high AND open").select("key", "n"))
     blocks, mine = _block_of(BLOCK)
-    others = F.when(blocks == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), blocks - 1))
-    met = named.join(mixed, "key").withColumns({"mine": mine, "other": F.explode(others)})  # any two blocks meet once
-    met = met.select("id", "root", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("pair"))
+    met = named.join(mixed, "key").withColumn("mine", mine)
+    met = met.withColumn("block", F.explode(F.when(F.col("short"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("mine"))))
+    met = met.select("id", "root", "place", "short", (F.col("mine") == F.col("block")).alias("home"), F.xxhash64("key", "block").alias("pair"))
     met = met.join(found.select("id", "size", *_SKETCH), "id")
     apart = _apart(similarity)
 
     def search(table: pa.Table) -> pa.Table:
-        order = np.lexsort((table["id"].to_numpy(), table["pair"].to_numpy()))
-        ids, roots, pairs, sizes = (table[c].to_numpy()[order] for c in ("id", "root", "pair", "size"))
+        order = np.lexsort(tuple(table[c].to_numpy() for c in ("id", "size", "pair")))
+        ids, roots, pairs, sizes, places, short, home = (table[c].to_numpy()[order] for c in ("id", "root", "pair", "size", "place", "short", "home"))
         sketches = np.stack([table[s].to_numpy()[order] for s in _SKETCH], axis=1).view(np.uint64)
-        spans = np.array(list(_spans(pairs)), np.int64).reshape(-1, 2)
-        two = spans[spans[:, 1] - spans[:, 0] == 2, 0]
-        two = two[(roots[two] != roots[two + 1]) & _may_link(sizes, sketches, two, two + 1, apart)]
-        a, b = [two], [two + 1]
-        for begin, end in spans[spans[:, 1] - spans[:, 0] > 2].tolist():
-            for lead in range(begin, end - 1):
-                rest = lead + 1 + np.flatnonzero(roots[lead + 1 : end] != roots[lead])
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for begin, end in _spans(pairs):
+            for lead in (begin + np.flatnonzero(short[begin:end])).tolist():
+                last = begin + int(np.searchsorted(sizes[begin:end], sizes[lead] / similarity + 1e-6, "right"))
+                rest = lead + 1 + np.flatnonzero(home[lead + 1 : last] & (roots[lead + 1 : last] != roots[lead]))
+                rest = rest[_may_share(int(sizes[lead]), int(places[lead]), sizes[rest], places[rest], similarity)]
                 rest = rest[_may_link(sizes, sketches, lead, rest, apart)]
                 a.append(np.full(len(rest), lead))
                 b.append(rest)
-        return pa.table({"a": ids[np.concatenate(a)], "b": ids[np.concatenate(b)]})
+        one, other = ids[np.concatenate(a)], ids[np.concatenate(b)]
+        return pa.table({"a": np.minimum(one, other), "b": np.maximum(one, other)})
 
     return shipped(_in_tasks(met, "pair")).groupBy("task").applyInArrow(search, "a long, b long").distinct()
 
@@ -322,7 +345,7 @@ def near_groups(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMIL
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text"))
     rows = rows.filter(F.col("id").isNotNull() & F.col("text").rlike("[^ \\t-\\r]"))
     found = digests(rows, width, similarity)
-    keyed = key_rows(found)
+    keyed = key_rows(found, similarity)
     first = keyed.filter("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     tried = settle(possible(first.unionByName(print_links(found)).distinct(), found, similarity))
     links = settle(decide(tried, rows, width, similarity))
