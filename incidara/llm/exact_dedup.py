@@ -44,17 +44,23 @@ def mark_copies(docs: DataFrame, keep: str = "smallest") -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, keep: str = "smallest") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """The rows of ``docs`` that stay, with all their columns; texts move once, copies are folded before.
 
-    One row of each text stays, also where rows repeat an id and its text, or have no id.
+    One row of each text stays, also where rows repeat an id and its text, or have no id: of such rows the one whose other
+    columns come first in order (columns that have none, as maps, do not count).  Null text counts as empty.
     """
+    if keep not in ("smallest", "largest"):
+        raise ValueError("keep is 'smallest' or 'largest'")
     columns = docs.columns
-    body = docs.withColumn("_incidara_hash", F.unhex(F.md5(text_or_empty()))).withColumn("_incidara_sha", F.sha2(text_or_empty(), 256))
-    groups = content_groups(docs, keep).select(
-        F.col("content_hash").alias("_incidara_hash"), F.col("text_sha256").alias("_incidara_sha"), F.col("keep_id").alias("_incidara_keep")
-    )
-    stay = body.join(groups, ["_incidara_hash", "_incidara_sha"]).filter(F.col("doc_id").eqNullSafe(F.col("_incidara_keep")))
-    ids = docs.select("doc_id").groupBy("doc_id").count()
-    if not ids.filter("count > 1").isEmpty():
-        stay = stay.dropDuplicates(["_incidara_hash", "_incidara_sha"])
-    return stay.select(*columns)
+    others = [c for c in columns if c != "text"]
+    named = docs.toDF(*["text" if c == "text" else f"_c{k}" for k, c in enumerate(columns)])
+    at = {c: F.col("text") if c == "text" else F.col(f"_c{k}") for k, c in enumerate(columns)}
+    orderable = [at[c] for c in others if "map<" not in docs.schema[c].dataType.simpleString() and "variant" not in docs.schema[c].dataType.simpleString()]
+    doc_id = at["doc_id"]
+    row = F.struct(F.col("text").isNull().alias("_no_text"), *[at[c] for c in others])
+    rank = F.struct((doc_id.isNull() if keep == "smallest" else doc_id.isNotNull()).alias("_r"), doc_id.alias("_i"), F.col("text").isNull().alias("_n"), *orderable)
+    best = (F.min_by if keep == "smallest" else F.max_by)(row, rank).alias("_row")
+    text = text_or_empty()
+    stay = named.groupBy(F.unhex(F.md5(text)).alias("_hash"), text.alias("_text")).agg(best)
+    back = {"text": F.when(~F.col("_row._no_text"), F.col("_text")).alias("text")} | {c: F.col(f"_row._c{k}").alias(c) for k, c in enumerate(columns) if c != "text"}
+    return stay.select(*[back[c] for c in columns])
