@@ -180,24 +180,25 @@ class Ranker:
         return self.names[best], 1.0 - float(totals[best]) / (self.size * len(top))
 
 
-def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (0 to 1: nearness to the profile).
+def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE, keep: list[str] | None = None) -> DataFrame:
+    """``docs``, or its columns ``keep``, with ``lang_pred`` and ``score`` (0 to 1: nearness to the profile).
 
     Text that is null or has no letter is ``und`` with score 0, as is everything without profiles.
     Two languages at one distance: the first by name; two n-grams as frequent: the shorter, then by code points.
     Each repeated row is judged for itself.  Only ``text`` is looked at.
     """
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranker = Ranker(profiles, size)
         for batch in batches:
             guesses = [ranker.guess(text.as_py()) for text in batch.column(batch.schema.get_field_index("text"))]
             more = [pa.array([g[0] for g in guesses], pa.string()), pa.array([g[1] for g in guesses], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *more], [*batch.schema.names[: len(kept)], "lang_pred", "score"])
 
     rows = docs.select(*kept)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    rows = rows if "text" in kept else docs.select(*kept, "text")  # a text that is not kept does not come back
     return shipped(rows).mapInArrow(scan, f"{fields}, lang_pred string, score double")
 
 
@@ -206,15 +207,15 @@ def known_only(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROF
 
     Rows without a letter go, and rows whose nearness to every profile is below ``least``: text in a script
     or language far from all profiles, or random letters.  While a profile has fewer than ``size`` n-grams, its
-    language has been seen too little for distances to tell, and only rows without a letter go.  Without any
+    language has been seen too little for distances to tell, and rows nearest to it stay; it changes nothing for rows nearer to others.  Without any
     profile nothing can be told, and every row with a text stays.  Each repeated row is judged for itself; an empty table gives no rows.
     """
     if not profiles:
         return docs.filter(F.col("text").isNotNull())
-    if min(map(len, profiles.values())) < size:
-        least = 0.0
+    short = sorted(name for name, profile in profiles.items() if len(profile) < size)
     clash = {c: f"_incidara_{c}" for c in docs.columns if c in ("lang_pred", "score")}
-    marked = identify(docs.withColumnsRenamed(clash), profiles, size).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).drop("lang_pred", "score")
+    marked = identify(docs.withColumnsRenamed(clash), profiles, size)
+    marked = marked.filter((F.col("lang_pred") != UNKNOWN) & ((F.col("score") >= least) | F.col("lang_pred").isin(short))).drop("lang_pred", "score")
     return marked.withColumnsRenamed({new: old for old, new in clash.items()}).select(*docs.columns)
 
 

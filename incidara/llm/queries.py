@@ -40,8 +40,8 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     profiles = language.learn(docs.filter(~language.held_out()))
-    found = language.identify(docs.select("doc_id", language.held_out().alias("held_out"), "text"), profiles)
-    return found.select("doc_id", "held_out", "lang_pred", "score")
+    rows = docs.select("doc_id", language.held_out().alias("held_out"), "text")
+    return language.identify(rows, profiles, keep=["doc_id", "held_out"])
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
