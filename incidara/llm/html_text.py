@@ -10,7 +10,9 @@ most a window of lines between them are one, with these lines.
 
 Element names are evidence for the points: on a page with an ``article`` (else a ``main``, else a container that
 names itself the article's body), lines inside gain the threshold, so that short paragraphs and short
-articles stay whole, and lines outside lose ``OUTSIDE``.  A page none of whose blocks surges is one run.
+articles stay whole, and lines outside lose their weight: there the result is what these elements hold.  The evidence fails where a run outside
+has over ``OUTWEIGHED`` times their text (teasers marked as articles); then, as without such elements, lengths alone
+decide.  A page none of whose blocks surges is one run.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ from incidara.shipping import shipped
 #: Lines in a window, and characters at which a block surges.
 WINDOW = 3
 SURGE = 80
-#: Characters that a line outside of the page's article has less.
-OUTSIDE = 4 * SURGE
+#: How many times the text of the page's article a run of lines outside must have to outweigh it.
+OUTWEIGHED = 4
 
 #: Elements whose content is never text.
 _RAW = ("script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "textarea", "title")
@@ -65,9 +67,9 @@ _BODY_NAMES = re.compile(
 IN_ARTICLE, IN_BODY = 2, 1
 _TAG = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
-    r"|<(script|style|noscript|template|svg|iframe|object|canvas|textarea|title)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)"
-    r"|</?[a-zA-Z][^<>]*>",
+    r"|<(script|style|noscript|template|svg|iframe|object|canvas|textarea|title)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*+>|$)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|$)"
+    r"|</?[a-zA-Z][^<>]*+>",  # quantifiers never give back: no tag is tried in two ways
     re.IGNORECASE | re.DOTALL,
 )
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
@@ -192,24 +194,15 @@ def page_lines(page: str) -> list[Line]:
     return lines
 
 
-def weights(lines: list[Line], surge: int = SURGE, outside: int = OUTSIDE) -> list[int]:
-    """Length of each line, and on a page with a container of the article what the line's place adds or takes."""
-    nearest = max((line.level for line in lines), default=0)
-    if not nearest:
-        return [len(line.text) for line in lines]
-    return [len(line.text) + surge if line.level == nearest else max(0, len(line.text) - outside) for line in lines]
-
-
-def text_runs(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
-    """Surge and dive points of the text: first lines, and the ones after the last."""
-    own = weights(lines, surge)
+def _surges(own: list[int], headings: list[bool], window: int, surge: int) -> list[tuple[int, int]]:
+    """Runs between surge and dive points of lines with these weights."""
     sums = [0, *itertools.accumulate(own)]
     blocks = [sums[min(i + window, len(own))] - sums[i] for i in range(len(own))]
     runs: list[tuple[int, int]] = []
     begin = None
     for i, block in enumerate([*blocks, 0]):
         if begin is None:
-            if i < len(own) and block >= surge and (own[i] >= surge // 4 or (lines[i].heading and own[i])):
+            if i < len(own) and block >= surge and (own[i] >= surge // 4 or (headings[i] and own[i])):
                 begin = i
         elif i == len(own) or not own[i] or (block < surge // 2 and own[i] < surge // 4):
             if runs and begin - runs[-1][1] <= window and all(own[runs[-1][1] : begin]):
@@ -219,6 +212,30 @@ def text_runs(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> li
     return runs
 
 
+def weights(lines: list[Line], window: int = WINDOW, surge: int = SURGE, outweighed: int = OUTWEIGHED) -> list[int]:
+    """Length of each line, and on a page with a container of the article what the line's place adds or takes.
+
+    Lines outside have no weight, unless a run of them alone is so much longer than all that the containers hold that these
+    cannot be the article: then places count for nothing.
+    """
+    lengths = [len(line.text) for line in lines]
+    nearest = max((line.level for line in lines), default=0)
+    if not nearest:
+        return lengths
+    inside = [line.level == nearest for line in lines]
+    held = sum(itertools.compress(lengths, inside))
+    others = [0 if held_in else n for n, held_in in zip(lengths, inside, strict=True)]
+    runs = _surges(others, [line.heading for line in lines], window, surge)
+    if any(sum(others[begin:end]) > outweighed * held for begin, end in runs):
+        return lengths
+    return [n + surge if held_in else 0 for n, held_in in zip(lengths, inside, strict=True)]
+
+
+def text_runs(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
+    """Surge and dive points of the text: first lines, and the ones after the last."""
+    return _surges(weights(lines, window, surge), [line.heading for line in lines], window, surge)
+
+
 def extract(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
     """Main text of one page: its lines joined by newlines."""
     lines = page_lines(page)
