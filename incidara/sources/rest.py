@@ -1,10 +1,14 @@
 """A paged REST table as a Spark data source.
 
 ``spark.read.format("paged_rest").option("endpoint", url).schema(...).load()``.  The endpoint takes
-``$select, $where, $order, $limit, $offset`` and gives a JSON list of objects.  Projection is the schema;
-comparisons of the time column are pushed to the endpoint; and the time range, whose open ends are asked of the
-endpoint, is cut into windows, one for each partition, so pages of different windows are fetched by different tasks and a window that is lost
-is fetched again alone.  Pages are in the order of time and row id, so none is met twice.
+``$select, $where, $group, $order, $limit, $offset`` and gives a JSON list of objects.  Projection is the schema; comparisons of the
+time column are pushed to the endpoint; and the time range, whose open ends are asked of the endpoint, is cut into
+windows, one for each partition, so pages of different windows are fetched by different tasks and a window that is lost
+is fetched again alone.
+
+Windows have about equally many rows: the endpoint counts its rows by day, days with too many by hour, such hours by minute.
+A page begins behind the last row of the one before, by time and row id, so a deep page costs what the first one does,
+and rows that come or go meanwhile move no others into a page or out of one.
 """
 
 from __future__ import annotations
@@ -60,6 +64,35 @@ def fetch_bounds(endpoint: str, time: str, event: str | None = None, where: list
     return tuple(datetime.fromisoformat(str(v)).replace(tzinfo=None) if v else None for v in found)
 
 
+def quoted(value) -> str:
+    """A text literal of the endpoint's language."""
+    return "'" + str(value).replace("'", "''") + "'"
+
+
+def behind(keys: list[tuple[str, str, object]]) -> str:
+    """Condition for rows that come after given ones: ``(column, sign, value)`` for each column of the order."""
+    column, sign, value = keys[0]
+    after = f"{column} {sign} {quoted(value)}"
+    return after if len(keys) == 1 else f"({after} OR ({column} = {quoted(value)} AND {behind(keys[1:])}))"
+
+
+def fetch_counts(endpoint: str, period: str, where: list[str], timeout: float = 10.0) -> list[tuple[str, int]]:
+    """The endpoint's rows for each value of the expression ``period``, in its order, by one request."""
+    parameters = {"$select": f"{period} AS period,count(*) AS rows", "$group": "period", "$order": "period", "$limit": "1000000"}
+    records = fetch_page(endpoint, parameters | ({"$where": " AND ".join(where)} if where else {}), timeout)
+    return [(str(r["period"]), int(r["rows"])) for r in records if r.get("period") is not None]
+
+
+def balanced(units: list[tuple[datetime, int]], windows: int) -> list[int]:
+    """Places at which to cut ``units`` (begin and rows) into so many windows of about the same rows."""
+    total, so_far, cuts = sum(n for _, n in units), 0, []
+    for k, (_, n) in enumerate(units):
+        if k and len(cuts) < windows - 1 and so_far + n / 2 >= (len(cuts) + 1) * total / windows:  # the nearer of this unit's borders
+            cuts.append(k)
+        so_far += n
+    return cuts
+
+
 @dataclass
 class Window(InputPartition):
     start: str | None
@@ -77,7 +110,8 @@ class PagedReader(DataSourceReader):
         self.page_size = positive(int(options.get("pageSize", 5000)), "pageSize")
         self.max_pages = positive(int(options["maxPages"]), "maxPages") if options.get("maxPages") else None
         self.timeout = positive(float(options.get("timeout", 20)), "timeout", float)
-        self.days = positive(int(options.get("windowDays", 31)), "windowDays")
+        self.days = positive(int(options["windowDays"]), "windowDays") if options.get("windowDays") else None
+        self.rows = positive(int(options.get("windowRows", 50_000)), "windowRows")
         self.start, self.end = options.get("start"), options.get("end")
         self.distinct = options.get("distinct", "false").lower() == "true"
         self.where: list[str] = []
@@ -102,12 +136,35 @@ class PagedReader(DataSourceReader):
                 return [Window(self.start, self.end)]
             self.start = self.start or first.date().isoformat()
             self.end = self.end or (last + timedelta(days=1)).date().isoformat()
-        at, last, found = datetime.fromisoformat(self.start), datetime.fromisoformat(self.end), []
-        while at < last:
-            after = min(at + timedelta(days=self.days), last)
-            found.append(Window(time_literal(at), time_literal(after)))
-            at = after
-        return found or [Window(self.end, self.end)]
+        begin, end = datetime.fromisoformat(self.start), datetime.fromisoformat(self.end)
+        if begin >= end:
+            return [Window(self.end, self.end)]
+        if self.days is None:
+            edges = [begin, *self._balanced_edges(begin, end), end]
+        else:
+            edges = [begin + timedelta(days=k) for k in range(0, (end - begin).days + 1, self.days)]
+            edges = [e for e in edges if e < end] + [end]
+        return [Window(time_literal(a), time_literal(b)) for a, b in zip(edges, edges[1:], strict=False)]
+
+    def _counted(self, begin: datetime, end: datetime, level: int, most: float | None) -> list[tuple[datetime, int]]:
+        """Begins and rows of the days from ``begin`` on (level 0), a day's hours (1) or an hour's minutes (2), finer where one has over ``most``."""
+        where = [*self.where, f"{self.time} >= {quoted(time_literal(begin))}", f"{self.time} < {quoted(time_literal(end))}"]
+        period = (f"date_trunc_ymd({self.time})", f"date_extract_hh({self.time})", f"date_extract_mm({self.time})")[level]
+        found, step = [], (timedelta(days=1), timedelta(hours=1), timedelta(minutes=1))[level]
+        for name, rows in fetch_counts(self.endpoint, period, where, self.timeout):
+            at = max(begin, datetime.fromisoformat(name).replace(tzinfo=None)) if not level else begin + int(float(name)) * step
+            found.append((at, rows))
+        if most is None:
+            most = sum(n for _, n in found) / max(1, -(-sum(n for _, n in found) // self.rows)) / 4
+        out = []
+        for at, rows in sorted(found):
+            finer = rows > most and level < 2
+            out += self._counted(at, min(at.replace(hour=0, minute=0, second=0) + step if not level else at + step, end), level + 1, most) if finer else [(at, rows)]
+        return out
+
+    def _balanced_edges(self, begin: datetime, end: datetime) -> list[datetime]:
+        units = self._counted(begin, end, 0, None)
+        return [units[k][0] for k in balanced(units, -(-sum(n for _, n in units) // self.rows)) if begin < units[k][0] < end]
 
     def _value(self, column: str, value):
         if value is None or column not in self.times:
@@ -123,17 +180,31 @@ class PagedReader(DataSourceReader):
             where.append(f"{self.time} >= '{time_literal(partition.start)}'")
         if partition.end is not None:
             where.append(f"{self.time} < '{time_literal(partition.end)}'")
-        page = 0
-        while self.max_pages is None or page < self.max_pages:
-            parameters = page_parameters(self.columns, self.time, self.row_id, where, self.page_size, page * self.page_size)
-            if self.distinct:  # the endpoint folds equal rows, each page in the order of all columns
-                parameters |= {"$select": f"DISTINCT {parameters['$select']}", "$order": ",".join(self.columns)}
-            records = fetch_page(self.endpoint, parameters, self.timeout)
-            for record in records:
-                yield tuple(self._value(c, record.get(c)) for c in self.columns)
-            if len(records) < self.page_size:
-                break
-            page += 1
+        columns = list(dict.fromkeys([*self.columns, *([] if self.distinct else [self.time, self.row_id])]))
+        if self.distinct:  # rows without a group come last, by themselves, so the order never has a missing value
+            event, *group = self.columns
+            streams = [([f"{c} IS NOT NULL" for c in self.columns], [(c, ">") for c in self.columns])]
+            streams += [([f"{event} IS NOT NULL", f"{c} IS NULL"], [(event, ">")]) for c in group]
+        else:
+            streams = [([], [(self.time, "<"), (self.row_id, ">")])]
+        left = self.max_pages
+        for conditions, order in streams:
+            seek, beyond = [], 0
+            while left is None or left > 0:
+                parameters = page_parameters(columns, self.time, self.row_id, [*where, *conditions, *seek], self.page_size, beyond)
+                if self.distinct:  # the endpoint folds equal rows
+                    parameters |= {"$select": f"DISTINCT {parameters['$select']}", "$order": ",".join(c for c, _ in order)}
+                records = fetch_page(self.endpoint, parameters, self.timeout)
+                for record in records:
+                    yield tuple(self._value(c, record.get(c)) for c in self.columns)
+                left = None if left is None else left - 1
+                if len(records) < self.page_size:
+                    break
+                last = [(c, sign, records[-1].get(c)) for c, sign in order]
+                if all(value is not None for _, _, value in last):
+                    seek, beyond = [behind(last)], 0
+                else:  # the row names no place to go on from
+                    beyond += len(records)
 
 
 class PagedRest(DataSource):

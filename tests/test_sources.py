@@ -1,10 +1,11 @@
 """Snapshots, the paged source against a local stub, dimension files, streams, ranges and charts."""
 
 import json
+import sqlite3
 import threading
 import urllib.parse
 from datetime import date, datetime
-from http.server import BaseHTTPRequestHandler, HTTPServer
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 from pyspark.sql import functions as F
@@ -25,43 +26,56 @@ RECORDS = [
 ]
 
 
+class Feed:
+    """An endpoint over records in SQLite, whose language has what the source asks for; ``between`` runs before each answer."""
+
+    def __init__(self, records):
+        self.asked, self.between = [], lambda asked, db: None
+        self.columns = sorted({c for r in records for c in r})
+        self.db = sqlite3.connect(":memory:", check_same_thread=False)
+        self.db.create_function("date_trunc_ymd", 1, lambda t: t and t[:10] + "T00:00:00.000")
+        self.db.create_function("date_extract_hh", 1, lambda t: t and int(t[11:13]))
+        self.db.create_function("date_extract_mm", 1, lambda t: t and int(t[14:16]))
+        self.db.execute(f"CREATE TABLE calls ({', '.join(self.columns)})")
+        self.add(records)
+        feed = self
+
+        class Handler(BaseHTTPRequestHandler):
+            def do_GET(self):
+                given = {k: v[0] for k, v in urllib.parse.parse_qs(urllib.parse.urlparse(self.path).query).items()}
+                rows = {"error": 1} if "bad" in self.path else feed.answer(given)
+                self.send_response(200)
+                self.end_headers()
+                self.wfile.write(json.dumps(rows).encode())
+
+            def log_message(self, *args):
+                pass
+
+        self.server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+        self.url, self.lock = f"http://127.0.0.1:{self.server.server_port}/calls", threading.Lock()
+
+    def add(self, records):
+        self.db.executemany(f"INSERT INTO calls VALUES ({', '.join('?' * len(self.columns))})", [[r.get(c) for c in self.columns] for r in records])
+
+    def answer(self, given):
+        with self.lock:
+            self.between(given, self)
+            self.asked.append(given)
+            select = given.get("$select")
+            listed = [c if c.split(" ")[-1] in self.columns or "(" in c else f"NULL AS {c}" for c in select.split(",")] if select and not select.startswith("DISTINCT") else [select or "*"]
+            query = f"SELECT {', '.join(listed)} FROM calls"
+            for word, clause in (("$where", "WHERE"), ("$group", "GROUP BY"), ("$order", "ORDER BY"), ("$limit", "LIMIT"), ("$offset", "OFFSET")):
+                query += f" {clause} {given[word]}" if word in given else ""
+            found = self.db.execute(query)
+            return [dict(zip([d[0] for d in found.description], r, strict=True)) for r in found.fetchall()]
+
+
 @pytest.fixture(scope="module")
 def endpoint():
-    asked = []
-
-    class Handler(BaseHTTPRequestHandler):
-        def do_GET(self):
-            given = {k: v[0] for k, v in urllib.parse.parse_qs(urllib.parse.urlparse(self.path).query).items()}
-            asked.append(given)
-            rows = RECORDS
-            for part in given.get("$where", "").split(" AND ") if "$where" in given else []:
-                if part.endswith(" IS NOT NULL"):
-                    rows = [r for r in rows if r.get(part.split(" ")[0]) is not None]
-                    continue
-                column, sign, value = part.split(" ", 2)
-                value = value.strip("'")
-                test = {">=": lambda a, v=value: a >= v, "<": lambda a, v=value: a < v, ">": lambda a, v=value: a > v, "<=": lambda a, v=value: a <= v}[sign]
-                rows = [r for r in rows if test(r[column])]
-            rows = sorted(rows, key=lambda r: (r["cad_event_original_time_queued"], r["call_sign_dispatch_id"]), reverse=True)
-            if given.get("$select", "").startswith("min("):
-                times = [r["cad_event_original_time_queued"] for r in rows]
-                rows, given["$limit"] = [{"min_time": min(times), "max_time": max(times)} if times else {}], 1
-            if given.get("$select", "").startswith("DISTINCT "):
-                columns = given["$select"].removeprefix("DISTINCT ").split(",")
-                rows = [dict(zip(columns, r, strict=True)) for r in sorted({tuple(r[c] for c in columns) for r in rows})]
-            at, n = int(given.get("$offset", 0)), int(given["$limit"])
-            body = json.dumps({"error": 1} if "bad" in self.path else rows[at : at + n]).encode()
-            self.send_response(200)
-            self.end_headers()
-            self.wfile.write(body)
-
-        def log_message(self, *args):
-            pass
-
-    server = HTTPServer(("127.0.0.1", 0), Handler)
-    threading.Thread(target=server.serve_forever, daemon=True).start()
-    yield f"http://127.0.0.1:{server.server_port}/calls", asked
-    server.shutdown()
+    feed = Feed(RECORDS)
+    yield feed.url, feed.asked
+    feed.server.shutdown()
 
 
 def test_paged_source(spark, endpoint):
@@ -95,7 +109,62 @@ def test_distinct_events_of_the_endpoint(spark, endpoint):
     url, asked = endpoint
     found = rest.read_distinct(spark, url, "2025-01-01", group_by="event_group", windowDays=7, pageSize=3)
     assert sorted(map(tuple, found.collect())) == sorted({(r["cad_event_number"], r["event_group"]) for r in RECORDS})
-    assert any(a.get("$select") == "DISTINCT cad_event_number,event_group" and a["$offset"] == "3" for a in asked)
+    asked_for = [a for a in asked if a.get("$select") == "DISTINCT cad_event_number,event_group"]
+    assert any("cad_event_number > 'E" in a["$where"] for a in asked_for) and all(a["$offset"] == "0" for a in asked_for)
+
+
+TIME, ROW, EVENT = ROLES.event_time, ROLES.row_id, ROLES.event_id
+
+
+def made(n, times, prefix="N"):
+    return [{ROW: f"{prefix}{k:06}", EVENT: f"E{k // 3}", TIME: times(k), "event_group": "theft" if k % 5 else None} for k in range(n)]
+
+
+def test_rows_that_come_between_pages_move_no_others(spark):
+    """New rows before, at and behind the place of the page: none that was there is lost or met twice."""
+    feed = Feed(made(300, lambda k: f"2025-03-{1 + k % 9:02}T0{k % 3}:00:00.000"))
+
+    def insert(asked, feed, count=[0]):
+        if "$order" in asked and asked["$order"].startswith(TIME):
+            count[0] += 1
+            feed.add(made(7, lambda k: f"2025-03-{1 + k % 9:02}T0{k % 3}:30:00.000", f"L{count[0]:03}") + made(2, lambda k: "2025-03-09T02:00:00.000", f"A{count[0]:03}"))
+
+    feed.between = insert
+    rows = rest.read_calls(spark, feed.url, "2025-03-01", "2025-03-20", pageSize=20, windowDays=30).collect()
+    ids = [r[ROW] for r in rows]
+    assert len(ids) == len(set(ids)) and {f"N{k:06}".lower() for k in range(300)} <= {i.lower() for i in ids}
+    pages = [a for a in feed.asked if a.get("$order", "").startswith(TIME)]
+    assert len(pages) > 15 and all(a["$offset"] == "0" for a in pages)  # no page counts through those before it
+    feed.server.shutdown()
+
+
+def test_pages_of_one_instant_and_of_quoted_ids(spark):
+    feed = Feed(made(100, lambda k: "2025-03-01T00:00:00.000") + [{ROW: "o'brien", EVENT: "e'", TIME: "2025-03-01T00:00:00.000"}])
+    df = rest.read_calls(spark, feed.url, "2025-03-01", "2025-03-02", pageSize=9)
+    assert df.count() == 101 and df.select("event_group").count() == 101  # the place is known whatever columns are read
+    found = rest.read_distinct(spark, feed.url, "2025-03-01", "2025-03-02", group_by="event_group", pageSize=5)
+    want = {(f"E{k // 3}", "theft" if k % 5 else None) for k in range(100)} | {("e'", None)}
+    assert set(map(tuple, found.collect())) == want and found.count() == len(want)
+    feed.server.shutdown()
+
+
+def test_windows_have_equal_work(spark):
+    """One busy hour of one busy day among quiet months."""
+    quiet = made(900, lambda k: f"2025-{1 + k % 6:02}-{1 + k % 28:02}T{k % 24:02}:{k % 60:02}:00.000")
+    busy = made(3000, lambda k: f"2025-03-14T17:{k % 60:02}:{k // 60:02}.000", "B")
+    feed = Feed(quiet + busy)
+    schema = rest.read_calls(spark, feed.url, "2025-01-01").select(TIME).schema
+    reader = rest.PagedReader(schema, {"endpoint": feed.url, "start": "2025-01-01", "end": "2025-07-01", "windowRows": "300"})
+    windows = reader.partitions()
+    assert windows[0].start == "2025-01-01T00:00:00.000" and windows[-1].end == "2025-07-01T00:00:00.000"
+    assert all(a.end == b.start for a, b in zip(windows, windows[1:], strict=False)) and len(windows) == 13
+    sizes = [feed.db.execute(f"SELECT count(*) FROM calls WHERE {TIME} >= ? AND {TIME} < ?", (w.start, w.end)).fetchone()[0] for w in windows]
+    assert sum(sizes) == 3900 and max(sizes) <= 2 * min(sizes)
+    assert len([a for a in feed.asked if "$group" in a]) <= 4  # days, the busy day's hours, its hour's minutes
+    assert rest.read_calls(spark, feed.url, "2025-01-01", "2025-07-01", windowRows=300).count() == 3900
+    empty = rest.PagedReader(schema, {"endpoint": feed.url, "start": "2030-01-01", "end": "2030-02-01"})
+    assert [w.start for w in empty.partitions()] == ["2030-01-01T00:00:00.000"]
+    feed.server.shutdown()
 
 
 def test_page_guards(endpoint):
