@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from incidara.functions.bins import BIN_COLUMN
 from incidara.functions.clean import title_case
+from incidara.operators.medians import grouped_median
 from incidara.operators.response import latest_row_response
 from incidara.plans.ranges import clean_date
 from incidara.roles import MAX_RESPONSE_MINUTES, RECENT_DAYS, YEAR_DAYS, Roles
@@ -36,7 +37,7 @@ def rates(events: DataFrame, polygons: DataFrame, population: DataFrame, roles:
     """
     chosen = past_year(events, roles).filter(F.col(BIN_COLUMN).isin(list(selected_bins)) & F.col(area).isNotNull())
     counts = chosen.groupBy(area).agg(F.countDistinct(roles.event_id).alias("past_year_unique_events"))
-    medians = latest_row_response(chosen, roles, max_minutes).groupBy(area).agg(F.median("response_time_minutes").alias("selected_median_response_minutes"))
+    medians = grouped_median(latest_row_response(chosen, roles, max_minutes), [area], "response_time_minutes", "selected_median_response_minutes")
     joined = polygons.drop("population").join(population.select(area, "population"), area, "left").join(counts, area, "left").join(medians, area, "left")
     events_there = F.coalesce("past_year_unique_events", F.lit(0)).cast("bigint")
     rate = F.when(F.col("population") > 0, events_there / F.col("population") * F.lit(1000))

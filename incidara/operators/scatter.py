@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from incidara.functions.bins import BIN_COLUMN
 from incidara.functions.ranks import percent_rank_of_ties
+from incidara.operators.medians import grouped_median
 from incidara.operators.response import years_observed
 from incidara.roles import EXCLUDED_PLACES, MIN_EVENTS, Roles
 
@@ -19,16 +20,11 @@ def volume_response(response: DataFrame, population: DataFrame, roles: Roles, se
     Places that are unknown, or have no population, are left out.
     """
     place = roles.place
-    groups = (
-        response.filter(F.col(BIN_COLUMN).isin(list(selected_bins)) & ~F.col(place).isin(*EXCLUDED_PLACES))
-        .groupBy(place, BIN_COLUMN)
-        .agg(
-            F.countDistinct(roles.event_id).alias("unique_call_events"),
-            F.median("response_time_minutes").alias("median_response_minutes"),
-            F.avg("response_time_minutes").alias("mean_response_minutes"),
-        )
-        .filter(F.col("unique_call_events") >= min_events)
-    )
+    chosen = response.filter(F.col(BIN_COLUMN).isin(list(selected_bins)) & ~F.col(place).isin(*EXCLUDED_PLACES))
+    counts = chosen.groupBy(place, BIN_COLUMN).agg(F.countDistinct(roles.event_id).alias("unique_call_events"), F.avg("response_time_minutes").alias("mean_response_minutes"))
+    medians = grouped_median(chosen, [place, BIN_COLUMN], "response_time_minutes", "median_response_minutes")
+    groups = counts.filter(F.col("unique_call_events") >= min_events).join(medians, [place, BIN_COLUMN], "left")
+    groups = groups.select(place, BIN_COLUMN, "unique_call_events", "median_response_minutes", "mean_response_minutes")
     known = population.filter(F.col("population") > 0).select(place, "population")
     joined = groups.join(known, place).crossJoin(F.broadcast(years_observed(response)))  # one row of years
     rate = F.col("unique_call_events") / F.col("years_observed") / F.col("population") * F.lit(1000)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from incidara.functions import calendar, clean, projections
 from incidara.functions.bins import BIN_COLUMN, importance_bin
 from incidara.functions.ranks import percent_rank_of_ties
-from incidara.operators import choropleth, daily, dedup, response, scatter, schema, spatial, summary, volume
+from incidara.operators import choropleth, daily, dedup, medians, response, scatter, schema, spatial, summary, volume
 from incidara.plans import bindings as b
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -227,6 +227,13 @@ def distinct_paged(spark, sf_dir):
     return volume.distinct_events(b.calls(spark, sf_dir), b.CALL_ROLES, "1996-01-01", "1996-03-01", "category", 100, 50)
 
 
+@query("SELECT l_returnflag, l_linestatus, median(l_extendedprice)::DOUBLE AS median_price, median(l_quantity)::DOUBLE AS median_quantity FROM lineitem GROUP BY ALL")
+def grouped_medians(spark, sf_dir):
+    """Two medians of few groups with very many values, and with very many of each value."""
+    lines, keys = b.table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"]
+    return medians.grouped_median(lines, keys, "l_extendedprice", "median_price").join(medians.grouped_median(lines, keys, "l_quantity", "median_quantity"), keys)
+
+
 # daily series
 
 

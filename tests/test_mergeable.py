@@ -1,0 +1,95 @@
+"""Medians by counted ranges, and distinct events as bitmaps."""
+
+import random
+import statistics
+
+import pytest
+from pyspark.sql import functions as F
+
+from incidara.operators import event_days, medians, volume
+from incidara.operators.schema import from_records
+from incidara.roles import Roles
+
+ROLES = Roles()
+
+
+def values(kind, n, rng):
+    return {
+        "ties": lambda: rng.choice([1.5, 2.5, 2.5, 1e9]),
+        "many": lambda: rng.gauss(0, 1000),
+        "steep": lambda: rng.choice([-1, 1]) * 2.0 ** rng.uniform(-900, 900),
+        "two": lambda: rng.choice([-0.0, 3.0]),
+        "near": lambda: 1.0 + rng.randrange(5) * 2.0**-52,
+        "one": lambda: 7.0,
+    }[kind]
+
+
+@pytest.mark.parametrize("ranges,rounds", [(1024, 2), (4, 1), (2, 3), (1, 0)])
+def test_grouped_medians_are_exact(spark, ranges, rounds):
+    rng = random.Random(ranges)
+    rows = []
+    for kind in ("ties", "many", "steep", "two", "near", "one"):
+        for n in (1, 2, 3, 10, 501, 1000):
+            draw = values(kind, n, rng)
+            rows += [(f"{kind} {n}", draw()) for _ in range(n)]
+    rows += [(None, 1.0), (None, 4.0), ("nothing", None), ("ties 3", None), ("ties 3", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: r["m"] for r in medians.grouped_median(df, ["g"], "v", "m", ranges, rounds).collect()}
+    want = {}
+    for g, v in rows:
+        if v is not None and v == v:
+            want.setdefault(g, []).append(v)
+    assert got.keys() == want.keys()
+    for g, found in want.items():
+        ordered = sorted(found)
+        one, other = ordered[(len(ordered) - 1) // 2], ordered[len(ordered) // 2]
+        assert got[g] == (one if one == other else one * 0.5 + other * 0.5), g
+    whole = medians.grouped_median(df, [], "v", "m", ranges, rounds).first()["m"]
+    assert whole == statistics.median(v for _, v in rows if v is not None and v == v)
+    assert medians.grouped_median(df.limit(0), ["g"], "v", "m").count() == 0
+
+
+def test_a_hot_group_is_in_no_one_task(spark):
+    """A group of nearly all rows, all different: what is put in order at last is a small part of it."""
+    df = spark.range(200_000).select(F.when(F.col("id") % 50 == 0, "b").otherwise("a").alias("g"), F.rand(3).alias("v"))
+    plan = medians.grouped_median(df, ["g"], "v", "m")
+    assert {r["g"] for r in plan.collect()} == {"a", "b"}
+    node = plan._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in node and "median" not in node and "collect" not in node
+    exact = {r["g"]: r["m"] for r in df.groupBy("g").agg(F.median("v").alias("m")).collect()}
+    assert {r["g"]: r["m"] for r in plan.collect()} == exact
+
+
+def calls(n, seed):
+    rng = random.Random(seed)
+    return [
+        {ROLES.row_id: f"R{seed}{k}", ROLES.event_id: rng.choice([f"E{rng.randrange(n // 3)}"] * 9 + [None]), "event_group": rng.choice(["Theft", " theft ", "Fraud", None]),
+         ROLES.event_time: rng.choice([f"2025-{rng.randrange(1, 4):02}-{rng.randrange(1, 29):02}T{rng.randrange(24):02}:00:00.000"] * 9 + [None])}
+        for k in range(n)
+    ]
+
+
+def test_bitmaps_add_up_to_weeks_months_and_groups(spark, tmp_path):
+    df = from_records(spark, calls(2000, 1))
+    event_days.number_events(df, ROLES).write.parquet(str(tmp_path / "numbers"))
+    numbers = spark.read.parquet(str(tmp_path / "numbers"))
+    assert numbers.count() == numbers.select("number").distinct().count()
+    days = event_days.event_days(df, numbers, ROLES, "event_group").persist()
+    for grain in ("week", "month"):
+        plain = {r["period_start"]: r["event_count"] for r in volume.period_volume(df, ROLES, grain).collect() if r["event_count"]}
+        assert {r["period_start"]: r["event_count"] for r in event_days.volume(days, grain).collect()} == plain
+        grouped = volume.period_volume(df, ROLES, grain, "event_group").select("period_start", "event_group", "event_count")
+        assert sorted(map(tuple, event_days.volume(days, grain, "event_group").collect())) == sorted(map(tuple, grouped.collect()))
+    clipped = volume.period_volume(df, ROLES, "month", None, "2025-01-10", "2025-03-05")
+    assert sorted(map(tuple, event_days.volume(days, "month", start="2025-01-10", end="2025-03-05").collect())) == sorted(map(tuple, clipped.collect()))
+    with pytest.raises(ValueError):
+        event_days.volume(days, "year")
+    # a second batch: known events keep their numbers, its days unite with the first one's
+    more = from_records(spark, calls(900, 2))
+    event_days.number_events(more, ROLES, numbers).write.mode("append").parquet(str(tmp_path / "numbers"))
+    numbers = spark.read.parquet(str(tmp_path / "numbers"))
+    assert numbers.count() == numbers.select("event").distinct().count() == numbers.select("number").distinct().count()
+    both = days.unionByName(event_days.event_days(more, numbers, ROLES, "event_group"))
+    plain = volume.period_volume(df.unionByName(more), ROLES, "month")
+    assert sorted(map(tuple, event_days.volume(both, "month").collect())) == sorted(map(tuple, plain.collect()))
+    assert event_days.volume(days.limit(0), "month").count() == 0
