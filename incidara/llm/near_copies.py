@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from incidara.llm.components import connect
 from incidara.llm.simhash import SEED, Tree, fingerprint, shard_masks, shingles
 from incidara.llm.support import settle, text_or_empty
+from incidara.llm.word_encoder import slices
 from incidara.shipping import shipped
 
 SHINGLE = 5
@@ -93,6 +94,13 @@ def _large_sketch(hashes: np.ndarray) -> np.ndarray:
     return _sketch(hashes, 1 << ((len(hashes) - 1) // 32).bit_length()) if len(hashes) > LARGE else np.zeros(0, np.uint64)
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
+    """Ids and texts, some megabytes at once: sets of shingles are larger than their texts."""
+    for batch in batches:
+        for at, n in slices(batch.column("text")):
+            yield batch.column("id").slice(at, n), batch.column("text").slice(at, n).to_pylist()
+
+
 def _listed(arrays: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *(a.view(np.int64) for a in arrays)])))
@@ -132,13 +140,12 @@ def digests(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARIT
     frequent, often = _frequent(docs, width)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t.as_py() for t in batch.column("text")]
+        for ids, texts in _sliced(batches):
             wide = np.array([wide_fingerprint(t) for t in texts], np.uint64).reshape(-1, WORDS).view(np.int64)
             sets = [_hash(shingles(t, width)) for t in texts]
             sketches = np.array([_sketch(h) for h in sets], np.uint64).reshape(-1, SKETCH).view(np.int64)
             keys = [_first(h, _prefix(len(h), similarity), frequent, often) for h in sets]
-            columns = [batch.column("id"), *map(pa.array, wide.T.copy()), pa.array(list(map(len, sets)), pa.int64()), *map(pa.array, sketches.T.copy())]
+            columns = [ids, *map(pa.array, wide.T.copy()), pa.array(list(map(len, sets)), pa.int64()), *map(pa.array, sketches.T.copy())]
             columns += [_listed([_large_sketch(h) for h in sets]), _listed(keys)]
             yield pa.RecordBatch.from_arrays(columns, ["id", *_WIDE, "size", *_SKETCH, "large", "keys"])
 
@@ -284,9 +291,8 @@ def decide(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) ->
     """Those of ``pairs`` (``a, b``) whose texts' shingles agree to ``similarity``; ``docs`` has ``id, text``."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [_hash(shingles(t.as_py(), width)) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), _listed(sets)], ["id", "hashes"])
+        for ids, texts in _sliced(batches):
+            yield pa.RecordBatch.from_arrays([ids, _listed([_hash(shingles(t, width)) for t in texts])], ["id", "hashes"])
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = settle(shipped(docs.select("id", "text").join(ids, "id", "left_semi")).mapInArrow(hashed, "id long, hashes array<long>"))
@@ -309,27 +315,32 @@ def open_pairs(rows: DataFrame, found: DataFrame, groups: DataFrame, similarity:
     """Pairs ``a, b`` of different ``groups`` (``node, root``) that share a key of ``rows`` and that places, sizes and sketches do not rule out.
 
     In a key only short rows meet others, as the smaller of the two; a key that no row has in its short prefix, as that of a
-    template which all texts have at their ends, makes no pairs.  The rows of a key are dealt to blocks, and its short ones go to each.
+    template which all texts have at their ends, makes no pairs.  Rows and short rows of a key are dealt to blocks; each block of the ones
+    meets each of the others, so what a task holds at once is bounded.
     """
     named = rows.join(groups, rows["id"] == groups["node"], "left").select("key", "id", "place", "size", "short", F.coalesce("root", "id").alias("root"))
-    mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.bool_or("short").alias("open"))
-    mixed = settle(mixed.filter("low != high AND open").select("key", "n"))
-    blocks, mine = _block_of(BLOCK)
-    met = named.join(mixed, "key").withColumn("mine", mine)
-    met = met.withColumn("block", F.explode(F.when(F.col("short"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("mine"))))
-    met = met.select("id", "root", "place", "short", (F.col("mine") == F.col("block")).alias("home"), F.xxhash64("key", "block").alias("pair"))
+    mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("short").alias("n_short"), F.min("root").alias("low"), F.max("root").alias("high"))
+    mixed = settle(mixed.filter("low != high AND n_short > 0").select("key", "n", "n_short"))
+    of = lambda count: F.ceil(F.col(count) / BLOCK).cast("int")
+    mine = lambda count: F.pmod(F.xxhash64("id", F.lit(BLOCK)), of(count)).cast("int")
+    met = named.join(mixed, "key")
+    as_other = F.transform(F.sequence(F.lit(0), of("n_short") - 1), lambda k: F.struct(mine("n").alias("home"), k.alias("lead"), F.lit(False).alias("leads")))
+    as_lead = F.transform(F.sequence(F.lit(0), of("n") - 1), lambda k: F.struct(k.alias("home"), mine("n_short").alias("lead"), F.lit(True).alias("leads")))
+    met = met.withColumn("b", F.explode(F.when(F.col("short"), F.concat(as_other, as_lead)).otherwise(as_other)))
+    met = met.select("id", "root", "place", F.col("b.leads").alias("leads"), F.xxhash64("key", "b.home", "b.lead").alias("pair"))
     met = met.join(found.select("id", "size", *_SKETCH), "id")
     apart = _apart(similarity)
 
     def search(table: pa.Table) -> pa.Table:
         order = np.lexsort(tuple(table[c].to_numpy() for c in ("id", "size", "pair")))
-        ids, roots, pairs, sizes, places, short, home = (table[c].to_numpy()[order] for c in ("id", "root", "pair", "size", "place", "short", "home"))
+        ids, roots, pairs, sizes, places, leads = (table[c].to_numpy()[order] for c in ("id", "root", "pair", "size", "place", "leads"))
         sketches = np.stack([table[s].to_numpy()[order] for s in _SKETCH], axis=1).view(np.uint64)
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for begin, end in _spans(pairs):
-            for lead in (begin + np.flatnonzero(short[begin:end])).tolist():
+            for lead in (begin + np.flatnonzero(leads[begin:end])).tolist():
                 last = begin + int(np.searchsorted(sizes[begin:end], sizes[lead] / similarity + 1e-6, "right"))
-                rest = lead + 1 + np.flatnonzero(home[lead + 1 : last] & (roots[lead + 1 : last] != roots[lead]))
+                first = begin + int(np.searchsorted(sizes[begin:end], sizes[lead], "left"))
+                rest = first + np.flatnonzero(~leads[first:last] & (roots[first:last] != roots[lead]))
                 rest = rest[_may_share(int(sizes[lead]), int(places[lead]), sizes[rest], places[rest], similarity)]
                 rest = rest[_may_link(sizes, sketches, lead, rest, apart)]
                 a.append(np.full(len(rest), lead))
