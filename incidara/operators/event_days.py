@@ -7,6 +7,8 @@ that is in several of them counts once, and the calls are not read again.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,14 +36,14 @@ def number_events(df: DataFrame, roles: Roles, known: DataFrame | None = None) -
     return ordered.select("event", (after + F.monotonically_increasing_id()).alias("number"))
 
 
-def event_days(df: DataFrame, numbers: DataFrame, roles: Roles, *groups: str) -> DataFrame:
-    """``day, groups, block, events``: bitmaps of each day's events.  A missing group is ``unknown``; case and outer white space do not count."""
+def event_days(df: DataFrame, numbers: DataFrame, roles: Roles, *groups: str, keep: Sequence[str] = ()) -> DataFrame:
+    """``day, groups, block, events`` (and ``keep``, columns that follow from the day): bitmaps of each day's events.  A missing group is ``unknown``; case and outer white space do not count."""
     require_columns(df, roles.event_id, roles.event_time, *groups)
     named = [F.coalesce(clean_text(F.col(g)), F.lit("unknown")).alias(g) for g in groups]
-    rows = df.select(F.col(roles.event_time).cast("date").alias("day"), F.col(roles.event_id).cast("string").alias("event"), *named)
+    rows = df.select(F.col(roles.event_time).cast("date").alias("day"), F.col(roles.event_id).cast("string").alias("event"), *named, *keep)
     rows = rows.filter(F.col("day").isNotNull() & F.col("event").isNotNull()).distinct()
     placed = rows.join(numbers, "event")
-    return placed.groupBy("day", *groups, F.bitmap_bucket_number("number").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("events"))
+    return placed.groupBy("day", *groups, *keep, F.bitmap_bucket_number("number").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("events"))
 
 
 def distinct_by(days: DataFrame, *keys: Column | str) -> DataFrame:

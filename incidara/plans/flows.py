@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from incidara.operators import dedup, spatial, topology
 from incidara.plans import bindings as b
-from incidara.plans import catalog
+from incidara.plans import catalog, derived
 from incidara.plans.catalog import query
 from incidara.sources import snapshot, tables
 from incidara.streaming import refresh
@@ -91,6 +91,20 @@ def refresh_touched_days(spark, sf_dir):
     return now.groupBy(day.cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n_rows")).withColumn("written", F.col("day").isin(written))
 
 
+@query(f"""WITH {_REFRESHED}, now AS (SELECT * FROM kept WHERE queued >= (SELECT max(queued) FROM kept) - INTERVAL 365 DAY)
+SELECT date_trunc('month', queued)::TIMESTAMP AS period_start, count(DISTINCT split_part(row_id, '-', 1)) AS event_count FROM now GROUP BY 1""")
+def derived_volume(spark, sf_dir):
+    """Volumes of a refreshed snapshot from bitmaps by day, of which the refresh has changed some."""
+    where = shared_folder(spark, "snapshot")
+    roles = b.CALL_ROLES
+    existing, fresh = (rows.withColumn("event_id", F.split("row_id", "-")[0]) for rows in _tables(spark, sf_dir))
+    snapshot.save_snapshot(existing, where, "1995-01-01")
+    snapshot.merge(spark, where, existing.limit(0), roles)
+    derived.DerivedTables(spark, where, roles).event_days()
+    snapshot.merge(spark, where, fresh, roles)
+    return derived.DerivedTables(spark, where, roles).volume("month")
+
+
 @query(f"WITH {_REFRESHED} SELECT row_id, queued, staff FROM kept WHERE queued >= (SELECT max(queued) FROM kept) - INTERVAL 365 DAY")
 def stream_upsert(spark, sf_dir):
     where, arriving = shared_folder(spark, "snapshot"), shared_folder(spark, "arriving")

@@ -230,6 +230,9 @@ def merge(spark: SparkSession, directory: str, fresh: DataFrame, roles: Roles, d
             stay = []
         changing = metadata | {"parts": [p for p in metadata["parts"] if p not in stay]}
         rows = upsert_keep_last(_rows(spark, directory, changing), fresh, roles.row_id, F.col(roles.event_time).desc_nulls_last(), *roles.ties)
+        if not daily:  # all days are new: those that go at once are not written
+            latest = rows.agg((F.max(roles.event_time) - F.expr(f"INTERVAL {int(days)} DAYS")).alias("cutoff"))
+            rows = rows.join(F.broadcast(latest), F.col(roles.event_time) >= F.col("cutoff"))
         parts = _write_parts(rows.filter(F.col(roles.event_time).isNotNull()).select(*schema.names), directory, version, roles.event_time, roles.row_id)
     finally:
         _delete(spark, coming)
