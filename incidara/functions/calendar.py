@@ -50,13 +50,9 @@ def densify(axis_rows: DataFrame, counts: DataFrame, key: str, *values: str) ->
 
 
 def time_literal(value: str | date | datetime) -> str:
-    """``yyyy-mm-ddThh:mm:ss.000`` of a date, a time or their text."""
-    if isinstance(value, datetime):
-        return value.strftime("%Y-%m-%dT%H:%M:%S.000")
-    if isinstance(value, date):
-        return value.strftime("%Y-%m-%dT00:00:00.000")
-    text = str(value)
-    return f"{text}T00:00:00.000" if "T" not in text else text if "." in text else f"{text}.000"
+    """``yyyy-mm-ddThh:mm:ss.mmm`` of a date, a time or their ISO text; a time zone is dropped."""
+    at = datetime.fromisoformat(value if isinstance(value, str) else value.isoformat())
+    return at.replace(tzinfo=None).isoformat(timespec="milliseconds")
 
 
 def iso_date(value: str) -> str:

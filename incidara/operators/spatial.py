@@ -89,7 +89,7 @@ def _split(cells: DataFrame, size: float, beyond: float) -> DataFrame:
 
 
 #: Halvings between the coarsest cells and the ones that points are dealt to.
-LEVELS = 4
+LEVELS = 2
 
 
 def polygon_cells(polygons: DataFrame, cell: float, levels: int = LEVELS) -> DataFrame:

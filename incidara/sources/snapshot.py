@@ -264,10 +264,13 @@ def incremental_refresh(spark: SparkSession, directory: str, fetch, roles: Roles
     return merge(spark, directory, fetch((latest - timedelta(days=overlap_days)).isoformat()), roles, days)
 
 
-def full_refresh(directory: str, fetch, start_date: str, roles: Roles | None = None) -> tuple[str, str]:
-    """Fetch everything from ``start_date`` on; with ``roles``, one row of each row id stays, and rows are kept by day."""
+def full_refresh(directory: str, fetch, start_date: str, roles: Roles | None = None, by_day: bool = False) -> tuple[str, str]:
+    """Fetch everything from ``start_date`` on; with ``roles``, one row of each row id stays.
+
+    ``by_day`` keeps the rows by day at once; else the first refresh does so with the days that it retains.
+    """
     rows = fetch(start_date)
     if roles is None:
         return save_snapshot(rows, directory, start_date)
     rows = upsert_keep_last(rows.limit(0), rows, roles.row_id, F.col(roles.event_time).desc_nulls_last(), *roles.ties)
-    return save_snapshot(rows, directory, start_date, roles.event_time, roles.row_id, unique=True)
+    return save_snapshot(rows, directory, start_date, *((roles.event_time, roles.row_id) if by_day else ()), unique=True)

@@ -33,7 +33,7 @@ def plain(df, grain="week"):
 
 def test_a_refresh_computes_only_what_changed(spark, tmp_path):
     where = str(tmp_path / "snapshot")
-    snapshot.full_refresh(where, lambda start: from_records(spark, records(400, 1)), "2025-01-01", ROLES)
+    snapshot.full_refresh(where, lambda start: from_records(spark, records(400, 1)), "2025-01-01", ROLES, by_day=True)
     first = derived.DerivedTables(spark, where, ROLES)
     now, _ = snapshot.load_snapshot(spark, where)
     assert volumes(first) == plain(now) and len(first.computed["event_days"]) == 28
@@ -58,7 +58,7 @@ def test_a_refresh_computes_only_what_changed(spark, tmp_path):
 
 def test_latest_rows_and_counts_of_days(spark, tmp_path):
     where = str(tmp_path / "snapshot")
-    snapshot.full_refresh(where, lambda start: from_records(spark, records(300, 4)), "2025-01-01", ROLES)
+    snapshot.full_refresh(where, lambda start: from_records(spark, records(300, 4)), "2025-01-01", ROLES, by_day=True)
     snapshot.merge(spark, where, from_records(spark, records(50, 5, [20])), ROLES)
     tables = derived.DerivedTables(spark, where, ROLES)
     now, _ = snapshot.load_snapshot(spark, where)

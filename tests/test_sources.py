@@ -218,7 +218,7 @@ def files_of(folder):
 
 def test_a_batch_of_one_day_writes_that_day_alone(spark, tmp_path):
     where, data = str(tmp_path / "snapshot"), tmp_path / "snapshot" / snapshot.DATA
-    snapshot.full_refresh(where, lambda start: from_records(spark, RECORDS), "2025-01-01", ROLES)
+    snapshot.full_refresh(where, lambda start: from_records(spark, RECORDS), "2025-01-01", ROLES, by_day=True)
     before, files = snapshot.read_metadata(spark, where), files_of(data)
     assert len(before["parts"]) == 28 and len(files) >= 28
     day = [r | {"priority": "9"} for r in RECORDS if r["cad_event_original_time_queued"].startswith("2025-01-05")]
@@ -243,7 +243,7 @@ def test_a_batch_of_one_day_writes_that_day_alone(spark, tmp_path):
 
 def test_retention_drops_days_and_filters_one(spark, tmp_path):
     where = str(tmp_path / "snapshot")
-    snapshot.full_refresh(where, lambda start: from_records(spark, RECORDS), "2025-01-01", ROLES)
+    snapshot.full_refresh(where, lambda start: from_records(spark, RECORDS), "2025-01-01", ROLES, by_day=True)
     late = RECORDS[0] | {"call_sign_dispatch_id": "LATE", "cad_event_original_time_queued": "2025-01-30T05:00:00.000"}
     snapshot.merge(spark, where, from_records(spark, [late, RECORDS[1] | {"cad_event_original_time_queued": None}]), ROLES, days=20)
     df, metadata = snapshot.load_snapshot(spark, where)
@@ -277,7 +277,7 @@ def test_refresh_edges(spark, tmp_path):
 def test_of_two_writers_one_commits(spark, tmp_path):
     where = str(tmp_path / "snapshot")
     rows = from_records(spark, RECORDS)
-    snapshot.full_refresh(where, lambda start: rows, "2025-01-01", ROLES)
+    snapshot.full_refresh(where, lambda start: rows, "2025-01-01", ROLES, by_day=True)
     name, metadata = snapshot._metadata_name(spark, where), snapshot.read_metadata(spark, where)
     snapshot.merge(spark, where, rows.limit(1), ROLES)
     with pytest.raises(RuntimeError, match="another writer"):
