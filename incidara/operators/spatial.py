@@ -59,33 +59,30 @@ def _bounds(rings: str, axis: str) -> tuple[Column, Column]:
     return F.array_min(values), F.array_max(values)
 
 
-def _met(left: Column, low: Column, top: Column, size: Column, e: Column, beyond: float) -> dict[str, Column]:
-    """How an edge stands to a cell that is wider by ``beyond`` on each side: relevant to rays from it, in it, always crossed."""
-    ax, ay, bx, by = e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]
-    x0, x1, y0, y1 = left - beyond, left + size + beyond, low - beyond, top + beyond
-    relevant = (F.greatest(ay, by) >= y0) & (F.least(ay, by) <= y1) & (F.greatest(ax, bx) >= x0)
-    corners = [_side(x, y, e) for x in (x0, x1) for y in (y0, y1)]
-    apart = (F.least(*corners) > 0) | (F.greatest(*corners) < 0)
-    return {
-        "relevant": relevant,
-        "inside": relevant & (F.least(ax, bx) <= x1) & ~apart,
-        "crossed": (F.least(ax, bx) > x1) & (F.least(ay, by) <= y0) & (F.greatest(ay, by) >= y1),
-    }
+def _conditions(size: float, beyond: float) -> tuple[str, str, str]:
+    """How an edge ``e`` stands to a cell that is wider by ``beyond`` on each side: relevant to rays from it, in it, always crossed.
+
+    As text: expressions of this depth take long to put together one by one.
+    """
+    x0, y0 = (f"(cell_{axis} * {size!r}D - {beyond!r}D)" for axis in "xy")
+    x1, y1 = (f"(cell_{axis} * {size!r}D + {size!r}D + {beyond!r}D)" for axis in "xy")
+    low, high = (lambda axis: f"least(e.a.{axis}, e.b.{axis})"), (lambda axis: f"greatest(e.a.{axis}, e.b.{axis})")
+    relevant = f"{high('y')} >= {y0} AND {low('y')} <= {y1} AND {high('x')} >= {x0}"
+    sides = ", ".join(f"({x} - e.a.x) * (e.b.y - e.a.y) - (e.b.x - e.a.x) * ({y} - e.a.y)" for x in (x0, x1) for y in (y0, y1))
+    inside = f"{relevant} AND {low('x')} <= {x1} AND NOT (least({sides}) > 0 OR greatest({sides}) < 0)"
+    return relevant, inside, f"{low('x')} > {x1} AND {low('y')} <= {y0} AND {high('y')} >= {y1}"
 
 
 def _split(cells: DataFrame, size: float, beyond: float) -> DataFrame:
     """Cells of ``size``, each with the edges that matter in it; cells that no edge meets are decided, and those outside go."""
-    left, low = F.col("cell_x") * F.lit(size), F.col("cell_y") * F.lit(size)
-    meets = lambda what: lambda e: _met(left, low, low + size, F.lit(size), e, beyond)[what]
-    open_ = F.col("decided").isNull()
-    now = cells.withColumn("edges", F.when(open_, F.filter("edges", meets("relevant"))).otherwise(F.col("edges")))
-    middle = is_within(left + size / 2, low + size / 2, F.col("edges"), F.col("crossed"))
-    now = now.withColumn("decided", F.when(open_ & ~F.exists("edges", meets("inside")), middle).otherwise(F.col("decided")))
-    now = now.filter(F.coalesce("decided", F.lit(True)))
-    always = F.size(F.filter("edges", meets("crossed")))
-    now = now.withColumn("crossed", F.when(F.col("decided").isNull(), F.col("crossed") + always).otherwise(F.col("crossed")))
-    left_over = F.filter("edges", lambda e: ~meets("crossed")(e))
-    return now.withColumn("edges", F.when(F.col("decided").isNull(), left_over))
+    relevant, inside, crossed = _conditions(size, beyond)
+    now = cells.withColumn("edges", F.expr(f"IF(decided IS NULL, filter(edges, e -> {relevant}), edges)"))
+    middle = is_within((F.col("cell_x") + 0.5) * F.lit(size), (F.col("cell_y") + 0.5) * F.lit(size), F.col("edges"), F.col("crossed"))
+    now = now.withColumn("decided", F.when(F.expr(f"decided IS NULL AND NOT exists(edges, e -> {inside})"), middle).otherwise(F.col("decided")))
+    now = now.filter("coalesce(decided, true)")
+    always, rest = f"size(filter(edges, e -> {crossed}))", f"filter(edges, e -> NOT ({crossed}))"
+    now = now.withColumn("crossed", F.expr(f"IF(decided IS NULL, crossed + {always}, crossed)"))
+    return now.withColumn("edges", F.expr(f"IF(decided IS NULL, {rest}, NULL)"))
 
 
 #: Halvings between the coarsest cells and the ones that points are dealt to.
