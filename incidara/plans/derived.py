@@ -62,7 +62,7 @@ class DerivedTables:
         if missing:
             found = derive(self._calls(missing))
             staging = f"{base}/.{self.metadata['version']}-{len(there)}"
-            found.write.mode("overwrite").partitionBy(_PART).parquet(staging)
+            found.hint("rebalance", _PART).write.mode("overwrite").partitionBy(_PART).parquet(staging)  # few files a day, a large day several
             for piece in snapshot._names(self.spark, staging):
                 if piece.startswith(_PART):
                     self._move(f"{staging}/{piece}", f"{base}/{piece}")
