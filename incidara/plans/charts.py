@@ -11,6 +11,9 @@ from incidara.functions.bins import BIN_COLORS, BIN_COLUMN, OTHER_COLOR, combo_c
 from incidara.roles import Roles
 from incidara.sources.tables import feature_collection
 
+#: How near a map starts: a city fills it.
+ZOOM = 10
+
 
 def _columns(df: DataFrame, *names: str) -> dict[str, list]:
     rows = df.select(*names).collect()  # aggregated: a row for each mark of a chart
@@ -65,14 +68,16 @@ def scatter_chart(rates: DataFrame, place: str, selected: Sequence[str], guides:
     return {"data": [t for t in traces if t["x"]], "layout": {"title": combo_label(list(selected)), "shapes": shapes, "annotations": notes}}
 
 
-def empty_map(title: str = "No calls in this selection") -> dict:
-    return {"data": [], "layout": {"title": title, "mapbox": {"style": "open-street-map"}}}
+def empty_map(title: str = "No calls in this selection", zoom: float = ZOOM) -> dict:
+    return {"data": [], "layout": {"title": title, "mapbox": {"style": "open-street-map", "zoom": zoom}}}
 
 
-def map_chart(rates: DataFrame, points: DataFrame, roles: Roles, area: str, selected: Sequence[str], most: int = 50_000) -> dict:
+def map_chart(
+    rates: DataFrame, points: DataFrame, roles: Roles, area: str, selected: Sequence[str], most: int = 50_000, show_colorbar: bool = False, zoom: float = ZOOM
+) -> dict:
     """Rates by polygon as a choropleth below the calls as markers, a layer for each bin.
 
-    ``rates`` and ``points`` are those of ``operators.choropleth``.  More than ``most`` points are an error: a browser
+    ``rates`` and ``points`` are those of ``operators.choropleth``; ``show_colorbar`` shows the scale of the rates.  More than ``most`` points are an error: a browser
     cannot draw them, and the driver would have to hold them.
     """
     figures = _columns(rates, "plot_feature_id", area, "past_year_unique_events_per_1000", "selected_median_response_minutes")
@@ -82,7 +87,7 @@ def map_chart(rates: DataFrame, points: DataFrame, roles: Roles, area: str, sele
     if len(found) > most:
         raise ValueError(f"more than {most} points: choose fewer days")
     if not figures["plot_feature_id"] and not found:
-        return empty_map()
+        return empty_map(zoom=zoom)
     known = [k for k, value in enumerate(figures["past_year_unique_events_per_1000"]) if value is not None]
     pick = lambda column: [figures[column][k] for k in known]
     layers = [
@@ -90,6 +95,7 @@ def map_chart(rates: DataFrame, points: DataFrame, roles: Roles, area: str, sele
             "type": "choroplethmapbox", "name": "Events per 1,000 a year", "geojson": feature_collection(rates, "plot_feature_id", area),
             "featureidkey": "properties.plot_feature_id", "locations": pick("plot_feature_id"), "z": pick("past_year_unique_events_per_1000"), "text": pick(area),
             "customdata": pick("selected_median_response_minutes"), "marker": {"opacity": 0.5},
+            "showscale": show_colorbar, "colorbar": {"title": "Events per 1,000 a year"},
         }
     ]
     for name in selected:
@@ -98,7 +104,7 @@ def map_chart(rates: DataFrame, points: DataFrame, roles: Roles, area: str, sele
             marker = {"size": 6, "color": BIN_COLORS.get(name, OTHER_COLOR)}
             layers.append({"type": "scattermapbox", "mode": "markers", "name": name, "lon": [r["lon"] for r in mine], "lat": [r["lat"] for r in mine], "text": [r["text"] for r in mine], "marker": marker})
     center = {axis: sum(r[axis] for r in found) / len(found) for axis in ("lon", "lat")} if found else None
-    return {"data": layers, "layout": {"title": combo_label(list(selected)), "mapbox": {"style": "open-street-map"} | ({"center": center} if center else {})}}
+    return {"data": layers, "layout": {"title": combo_label(list(selected)), "mapbox": {"style": "open-street-map", "zoom": zoom} | ({"center": center} if center else {})}}
 
 
 def count_points(chart: dict) -> int:

@@ -72,7 +72,7 @@ class Context:
 
 
 class Charts:
-    """Small chart tables on the driver, remembered by their parameters."""
+    """Small chart tables on the driver, remembered by their parameters; ``figures.Figures`` remembers whole specifications."""
 
     def __init__(self, context: Context, daily_size: int = 64, scatter_size: int = 64, map_size: int = 128):
         self.daily = lru_cache(daily_size)(lambda bins: context.daily(list(bins)).toPandas())

@@ -215,22 +215,29 @@ def merge(spark: SparkSession, directory: str, fresh: DataFrame, roles: Roles, d
     """
     after, metadata = _metadata_name(spark, directory), read_metadata(spark, directory)
     version = uuid.uuid4().hex
-    require_columns(_rows(spark, directory, metadata), roles.row_id, roles.event_time)
+    old = StructType.fromJson(metadata["schema"])
+    nothing = spark.createDataFrame([], old)
+    require_columns(nothing, roles.row_id, roles.event_time)
     coming = f"{directory}/{DATA}/{version}-fresh"
     fresh.write.parquet(coming)  # it is read three times, and may come from far
     try:
         fresh = spark.read.schema(fresh.schema).parquet(coming)
-        schema = _rows(spark, directory, metadata).limit(0).unionByName(fresh.limit(0), allowMissingColumns=True).schema
-        old = StructType.fromJson(metadata["schema"])
+        schema = nothing.unionByName(fresh.limit(0), allowMissingColumns=True).schema
+        existing = _rows(spark, directory, metadata)
         daily = metadata["time"] == roles.event_time and metadata["unique"] and all(schema[f.name].dataType == f.dataType for f in old.fields)
         if daily:
-            touched = _touched(_rows(spark, directory, metadata), fresh, roles)
+            touched = _touched(existing, fresh, roles)
             stay = [p for p in metadata["parts"] if p["day"] is not None and p["day"] not in touched]
         else:
             stay = []
-        changing = metadata | {"parts": [p for p in metadata["parts"] if p not in stay]}
-        rows = upsert_keep_last(_rows(spark, directory, changing), fresh, roles.row_id, F.col(roles.event_time).desc_nulls_last(), *roles.ties)
-        if not daily:  # all days are new: those that go at once are not written
+        changing = _rows(spark, directory, metadata | {"parts": [p for p in metadata["parts"] if p not in stay]}) if stay else existing
+        rows = upsert_keep_last(changing, fresh, roles.row_id, F.col(roles.event_time).desc_nulls_last(), *roles.ties)
+        if daily:  # the latest fresh row stays whatever its id, so what is too old beside it, or beside a day that stays, is not written
+            latest = fresh.agg(F.max(roles.event_time).cast("string").alias("latest")).first()["latest"]
+            sure = [datetime.fromisoformat(t) for t in (latest, *(p["last"] for p in stay)) if t]
+            if sure:
+                rows = _within(rows, roles.event_time, (max(sure) - timedelta(days=days)).isoformat(sep=" "))
+        else:  # all days are new: those that go at once are not written
             latest = rows.agg((F.max(roles.event_time) - F.expr(f"INTERVAL {int(days)} DAYS")).alias("cutoff"))
             rows = rows.join(F.broadcast(latest), F.col(roles.event_time) >= F.col("cutoff"))
         parts = _write_parts(rows.filter(F.col(roles.event_time).isNotNull()).select(*schema.names), directory, version, roles.event_time, roles.row_id)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from incidara.operators.schema import CALL_COLUMNS, from_records
 from incidara.plans import charts, ranges
 from incidara.plans.context import Charts, Context
+from incidara.plans.figures import Figures
 from incidara.roles import Roles
 from incidara.sources import rest, snapshot, tables
 from incidara.streaming import refresh
@@ -241,6 +242,26 @@ def test_a_batch_of_one_day_writes_that_day_alone(spark, tmp_path):
     assert {f"{f.split('/')[0]}/{f.split('/')[1]}" for f in files_of(data)} == kept and snapshot.load_snapshot(spark, where)[0].count() == 60
 
 
+def test_days_beyond_retention_are_not_written(spark, tmp_path):
+    """A batch of many days, most of them too old: an id among them still replaces its stored row."""
+    where, data = str(tmp_path / "snapshot"), tmp_path / "snapshot" / snapshot.DATA
+    snapshot.full_refresh(where, lambda start: from_records(spark, RECORDS), "2025-01-01", ROLES, by_day=True)
+    files = files_of(data)
+    old = [RECORDS[0] | {"call_sign_dispatch_id": f"OLD{k}", "cad_event_original_time_queued": f"20{k + 10}-03-01T00:00:00.000"} for k in range(10)]
+    back = RECORDS[1] | {"cad_event_original_time_queued": "2012-03-01T00:00:00.000"}
+    new = RECORDS[0] | {"call_sign_dispatch_id": "NEW", "cad_event_original_time_queued": "2025-01-29T00:00:00.000"}
+    snapshot.merge(spark, where, from_records(spark, [*old, back, new]), ROLES)
+    written = {f.split("=")[1].split("/")[0] for f in files_of(data) - files}
+    assert written == {RECORDS[1]["cad_event_original_time_queued"][:10], "2025-01-29"}
+    df, metadata = snapshot.load_snapshot(spark, where)
+    assert df.count() == 60 and metadata["row_count"] == 60  # R001 has gone with its old time, NEW has come
+    assert df.filter("call_sign_dispatch_id LIKE 'OLD%' OR call_sign_dispatch_id = 'R001'").count() == 0
+    # without a later row in the batch it is the days that stay which tell what is too old
+    files = files_of(data)
+    snapshot.merge(spark, where, from_records(spark, old), ROLES)
+    assert files_of(data) == files and snapshot.load_snapshot(spark, where)[0].count() == 60
+
+
 def test_retention_drops_days_and_filters_one(spark, tmp_path):
     where = str(tmp_path / "snapshot")
     snapshot.full_refresh(where, lambda start: from_records(spark, RECORDS), "2025-01-01", ROLES, by_day=True)
@@ -340,10 +361,38 @@ def test_dimension_files(spark, tmp_path):
     assert nothing == charts.empty_map() and charts.count_points(nothing) == 0
     with pytest.raises(ValueError, match="more than 3 points"):
         charts.map_chart(context.choropleth(bins), context.points(bins), ROLES, "mcpp_neighborhood", bins, most=3)
+    assert chart["layout"]["mapbox"]["zoom"] == charts.ZOOM and chart["data"][0]["showscale"] is False
     assert ranges.default_range(context.valid_time, ROLES) == ("2024-12-30", "2025-01-28")
+    check_figures(spark, context, bins)
     context.close()
 
 
+def check_figures(spark, context, bins):
+    """Each figure is made once for what it depends on, and a caller's change stays the caller's."""
+    kept, jobs = Figures(context), spark.sparkContext.statusTracker()
+
+    def jobs_of(name, make):
+        spark.sparkContext.setJobGroup(name, name)
+        try:
+            return make(), len(jobs.getJobIdsForGroup(name))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    (chart, shown), some = jobs_of("map-1", lambda: kept.map(bins, show_colorbar=True, zoom=12))
+    assert some and shown == 30 and chart["data"][0]["showscale"] and chart["layout"]["mapbox"]["zoom"] == 12
+    chart["data"].clear()
+    (again, _), none = jobs_of("map-2", lambda: kept.map(list(bins), show_colorbar=True, zoom=12))
+    assert none == 0 and charts.count_points(again) == 30 and again["layout"]["uirevision"] == "keep-map"
+    (plain, _), some = jobs_of("map-3", lambda: kept.map(bins, zoom=12))
+    assert some and plain["data"][0]["showscale"] is False  # the switch is part of the key
+    days, shown = kept.map(bins, "2025-01-01", "2025-01-05")
+    assert shown == charts.count_points(days) < 30
+    assert kept.daily(bins)["layout"]["showlegend"] and not kept.daily(bins, legend=False)["layout"]["showlegend"]
+    scatter, none = kept.scatter(bins, min_events=1), jobs_of("scatter", lambda: kept.scatter(bins, min_events=1))[1]
+    assert none == 0 and len(scatter["layout"]["shapes"]) == 2
+    assert kept.scatter(bins, min_events=10**6)["data"] == []
+
+
 def test_ranges():
     default = ("2025-01-01", "2025-01-30")
     assert ranges.visible_range(None, default) == default and ranges.visible_range({"xaxis.autorange": True}, default) == default
