@@ -210,7 +210,7 @@ def _touched(existing: DataFrame, fresh: DataFrame, roles: Roles) -> set[str | N
 def merge(spark: SparkSession, directory: str, fresh: DataFrame, roles: Roles, days: int = RETENTION_DAYS, source_start_date: str | None = None) -> tuple[str, str]:
     """Upsert ``fresh`` by row id and keep ``days`` days up to the latest time; days that this does not touch stay as they are.
 
-    Rows without a time go.  Rows without a row id count as one id.  A version that was saved without its time column or with ids twice, or whose
+    Rows without a time go, and days that are beyond the retention for certain are not written.  Rows without a row id count as one id.  A version that was saved without its time column or with ids twice, or whose
     columns change their types, is written anew once.  A batch that is run again gives the same rows.  ``source_start_date`` is the cutoff's day if not given.
     """
     after, metadata = _metadata_name(spark, directory), read_metadata(spark, directory)
