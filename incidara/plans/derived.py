@@ -3,10 +3,14 @@
 A snapshot's parts are never changed, so what follows from one part alone holds for good under that part's name.  A
 derived table is a folder with a piece for each part; a version of the table is the pieces of the snapshot's parts.  A refresh gives the days
 it touches new parts, and only their pieces are missing then; any session, on any machine, finds the others.
+Sessions may compute the same pieces at the same time: each writes beside the table, and the first to give a piece its name wins.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +24,8 @@ from incidara.sources import snapshot
 
 DERIVED = "derived"
 _PART = "_incidara_part"
+#: Every generation of event numbers that this divides holds all numbers again.
+COMPACT = 32
 
 
 class DerivedTables:
@@ -33,6 +39,11 @@ class DerivedTables:
         #: Pieces that this session has computed, by table.
         self.computed: dict[str, list[str]] = {}
 
+    def _named(self, name: str, *columns: str) -> str:
+        """A folder's name for what is derived with these columns, roles and bins; other ones have other folders."""
+        told = json.dumps([name, columns, repr(self.roles), repr(self.spec)])
+        return f"{name}-{hashlib.sha256(told.encode()).hexdigest()[:16]}"
+
     def _calls(self, parts: list[dict]) -> DataFrame:
         """Rows of parts with the part's name; rows before the cutoff are not among them."""
         spark, metadata = self.spark, self.metadata
@@ -48,24 +59,24 @@ class DerivedTables:
         edge = f"@{cutoff}" if cutoff and part["day"] == cutoff[:10] else ""
         return (part["path"] + edge).replace("/", "~").replace(":", "-").replace(" ", "_").replace("=", "-")
 
-    def table(self, name: str, derive: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    def table(self, name: str, derive: Callable[[DataFrame], DataFrame], *columns: str) -> DataFrame:
         """The rows that ``derive`` makes of each day, with the pieces that are missing computed by one job.
 
         ``derive`` takes rows of whole days and keeps the column ``_incidara_part``, which says which of its rows belong together.
-        ``name`` stands for what it does: another function, or other parameters, need another name.
+        ``name`` and ``columns`` stand for what it does, beside roles and bins: another function, or other parameters, need another name.
         """
-        base = f"{self.directory}/{DERIVED}/{name}"
+        base = f"{self.directory}/{DERIVED}/{self._named(name, *columns)}"
         parts = [p for p in self.metadata["parts"] if p["day"] is not None]
         there = set(snapshot._names(self.spark, base))
         missing = [p for p in parts if f"{_PART}={self._name(p)}" not in there]
-        self.computed[name] = [p["day"] for p in missing]
+        self.computed["-".join([name, *columns])] = [p["day"] for p in missing]
         if missing:
             found = derive(self._calls(missing))
-            staging = f"{base}/.{self.metadata['version']}-{len(there)}"
-            found.hint("rebalance", _PART).write.mode("overwrite").partitionBy(_PART).parquet(staging)  # few files a day, a large day several
+            staging = f"{base}/.{uuid.uuid4().hex}"
+            found.hint("rebalance", _PART).write.partitionBy(_PART).parquet(staging)  # few files a day, a large day several
             for piece in snapshot._names(self.spark, staging):
-                if piece.startswith(_PART):
-                    self._move(f"{staging}/{piece}", f"{base}/{piece}")
+                if piece.startswith(_PART):  # where another session was faster, its piece has the same rows
+                    snapshot._rename_new(self.spark, f"{staging}/{piece}", f"{base}/{piece}")
             snapshot._delete(self.spark, staging)
             schema = found.schema
         else:
@@ -76,29 +87,46 @@ class DerivedTables:
         fields = StructType([f for f in schema.fields if f.name != _PART])
         return self.spark.read.schema(fields).parquet(*wanted) if wanted else self.spark.createDataFrame([], fields)
 
-    def _move(self, source: str, target: str) -> None:
-        files, path = snapshot._folder(self.spark, source)
-        _, other = snapshot._folder(self.spark, target)
-        if not files.exists(other):  # the same rows, where another session was faster
-            files.rename(path, other)
+    def _generations(self, base: str) -> tuple[list[str], set[str]]:
+        """Generations of numbers from the newest that holds all before it, and the parts whose events have numbers."""
+        names = [n for n in snapshot._names(self.spark, base) if n.startswith("g")]
+        if not names:
+            return [], set()
+        newest = int(names[-1][1:])
+        names = [n for n in names if int(n[1:]) >= newest // COMPACT * COMPACT]
+        files = self.spark.read.text([f"{base}/{n}/parts.json" for n in names], wholetext=True).collect()  # one small file for each
+        return names, {p for r in files for p in json.loads(r["value"])}
 
     def numbers(self) -> DataFrame:
-        """``event, number`` of every event so far; those of new days are added to what earlier sessions wrote."""
-        base = f"{self.directory}/{DERIVED}/event_numbers"
-        done = [n for n in snapshot._names(self.spark, base) if not n.startswith((".", "_"))]
-        known = self.spark.read.parquet(*[f"{base}/{n}" for n in done]) if done else None
-        if self.metadata["version"] not in done:
-            rows = self._calls([p for p in self.metadata["parts"] if p["day"] is not None])
-            event_days.number_events(rows, self.roles, known).write.mode("overwrite").parquet(f"{base}/.{self.metadata['version']}")
-            self._move(f"{base}/.{self.metadata['version']}", f"{base}/{self.metadata['version']}")
-            done.append(self.metadata["version"])
-        return self.spark.read.parquet(*[f"{base}/{n}" for n in done])
+        """``event, number`` of every event so far; only parts that no session has numbered are read.
+
+        Numbers come in generations, each written once.  Of two sessions that write the same one, the second
+        starts again from what the first has numbered, so an event has one number and a number one event.
+        """
+        base, spark = f"{self.directory}/{DERIVED}/{self._named('event_numbers')}", self.spark
+        parts = [p for p in self.metadata["parts"] if p["day"] is not None]
+        while True:
+            done, covered = self._generations(base)
+            known = spark.read.parquet(*[f"{base}/{n}/numbers" for n in done]) if done else None
+            missing = [p for p in parts if p["path"] not in covered]
+            if known is not None and not missing:
+                return known
+            rows = snapshot._read_parts(spark, self.directory, StructType.fromJson(self.metadata["schema"]), missing)  # rows before the cutoff as well
+            found = event_days.number_events(rows, self.roles, known)
+            number = int(done[-1][1:]) + 1 if done else 1
+            staging, names = f"{base}/.{uuid.uuid4().hex}", {p["path"] for p in missing}
+            found.write.parquet(f"{staging}/numbers")
+            if number % COMPACT == 0 and known is not None:
+                known.write.mode("append").parquet(f"{staging}/numbers")
+                names |= {p["path"] for p in parts} & covered
+            snapshot._write_text(spark, f"{staging}/parts.json", json.dumps(sorted(names)))
+            snapshot._rename_new(spark, staging, f"{base}/g{number:08}")
 
     def event_days(self, *groups: str) -> DataFrame:
         """Bitmaps of each day's events by ``groups`` (see ``operators.event_days``)."""
         numbers = self.numbers()
         derive = lambda rows: event_days.event_days(rows, numbers, self.roles, *groups, keep=[_PART])
-        return self.table("-".join(["event_days", *groups]), derive)
+        return self.table("event_days", derive, *groups)
 
     def volume(self, grain: str, *groups: str, start: str | None = None, end: str | None = None) -> DataFrame:
         """Distinct events by week or month, from the bitmaps."""
@@ -129,16 +157,24 @@ class DerivedTables:
             known = rows.filter(F.col(r.event_id).isNotNull() & F.col(r.event_time).isNotNull())
             return latest(known, _PART).select(_PART, "row.*")
 
-        return latest(self.table("-".join(["latest_rows", *columns]), derive)).select("row.*")
+        return latest(self.table("latest_rows", derive, *columns)).select("row.*")
 
 
 def remove_old_pieces(tables: DerivedTables) -> int:
-    """Delete pieces of parts that the snapshot's version does not have; the number deleted."""
+    """Delete pieces of parts that the snapshot's version does not have; the number deleted.
+
+    What sessions that were lost have left beside the tables goes as well, and numbers that a later generation holds
+    again.  Call it when no session computes pieces or reads an older version.
+    """
     spark, base = tables.spark, f"{tables.directory}/{DERIVED}"
     needed = {f"{_PART}={tables._name(p)}" for p in tables.metadata["parts"]}
     gone = 0
     for name in snapshot._names(spark, base):
-        for piece in snapshot._names(spark, f"{base}/{name}"):
+        pieces = snapshot._names(spark, f"{base}/{name}")
+        newest = max((int(n[1:]) for n in pieces if n.startswith("g")), default=0)
+        for piece in pieces:
             if piece.startswith(_PART) and piece not in needed:
                 gone += snapshot._delete(spark, f"{base}/{name}/{piece}")
+            elif piece.startswith(".") or (piece.startswith("g") and int(piece[1:]) < newest // COMPACT * COMPACT):
+                snapshot._delete(spark, f"{base}/{name}/{piece}")
     return gone

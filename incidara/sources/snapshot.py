@@ -53,23 +53,37 @@ def _metadata_name(spark: SparkSession, directory: str) -> str | None:
     return names[-1] if names else None
 
 
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is not there yet."""
+    files, target = _folder(spark, path)
+    out = files.create(target, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def _rename_new(spark: SparkSession, source: str, target: str) -> bool:
+    """Give a file or folder its name, unless there is one of that name: then the source is deleted, and the answer is no."""
+    files, old = _folder(spark, source)
+    _, new = _folder(spark, target)
+    jvm, settings = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), settings)
+    try:  # unlike FileSystem's, this rename never replaces a file, nor moves a folder into one that is there
+        context.rename(files.makeQualified(old), files.makeQualified(new), spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+    except Exception:
+        files.delete(old, True)
+        if files.exists(new):
+            return False
+        raise
+    return True
+
+
 def _commit(spark: SparkSession, directory: str, metadata: dict, after: str | None) -> str:
     """Write the metadata file that follows ``after``; an error if there is one already."""
     number = int(after[1:9]) + 1 if after and after.startswith("v") else 1
-    files, target = _folder(spark, f"{directory}/{METADATA}/v{number:08}.json")
-    _, hidden = _folder(spark, f"{directory}/{METADATA}/.{uuid.uuid4().hex}")
-    out = files.create(hidden, False)
-    out.write(bytearray(json.dumps(metadata).encode()))
-    out.close()
-    jvm = spark.sparkContext._jvm
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    try:  # unlike FileSystem's, this rename never replaces a file
-        context.rename(files.makeQualified(hidden), files.makeQualified(target), spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
-    except Exception as error:
-        files.delete(hidden, False)
-        if files.exists(target):
-            raise RuntimeError(f"another writer has committed {target.getName()}; refresh again") from error
-        raise
+    name, hidden = f"v{number:08}.json", f"{directory}/{METADATA}/.{uuid.uuid4().hex}"
+    _write_text(spark, hidden, json.dumps(metadata))
+    if not _rename_new(spark, hidden, f"{directory}/{METADATA}/{name}"):
+        raise RuntimeError(f"another writer has committed {name}; refresh again")
     return f"{directory}/{METADATA}"
 
 

@@ -1,14 +1,15 @@
 """Derived tables: the same rows as from all calls, and only changed days computed again."""
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from incidara.operators import dedup, volume
+from incidara.operators import dedup, event_days, volume
 from incidara.operators.schema import from_records
 from incidara.plans import derived
-from incidara.roles import Roles
+from incidara.roles import DEFAULT_BINS, BinSpec, Roles
 from incidara.sources import snapshot
 
 ROLES = Roles()
@@ -69,6 +70,67 @@ def test_latest_rows_and_counts_of_days(spark, tmp_path):
     assert {r["day"].day for r in tables.day_counts().collect()} == {int(r["d"]) for r in now.select(F.dayofmonth(ROLES.event_time).alias("d")).distinct().collect()}
 
 
+def numbered(tables):
+    rows = tables.numbers().collect()
+    assert len({r["event"] for r in rows}) == len({r["number"] for r in rows}) == len(rows)
+    return {r["event"] for r in rows}
+
+
+def test_sessions_of_two_versions_number_at_once(spark, tmp_path, monkeypatch):
+    """While one session numbers the events of a version, another does so for a later one; and pieces are made twice."""
+    where = str(tmp_path / "snapshot")
+    snapshot.full_refresh(where, lambda start: from_records(spark, records(200, 1)), "2025-01-01", ROLES, by_day=True)
+    one = derived.DerivedTables(spark, where, ROLES)
+    snapshot.merge(spark, where, from_records(spark, records(300, 2, [5, 6])), ROLES)
+    other, plainly, faster = derived.DerivedTables(spark.newSession(), where, ROLES), event_days.number_events, []
+
+    def number_events(*given):
+        if not faster:
+            faster.append(True)
+            faster.append(volumes(other))
+        return plainly(*given)
+
+    monkeypatch.setattr(event_days, "number_events", number_events)
+    assert volumes(one) == plain(one._calls(one.metadata["parts"]))
+    now, _ = snapshot.load_snapshot(spark, where)
+    assert faster[1] == volumes(other) == plain(now)
+    assert numbered(one) == numbered(other) == {r["event"] for r in now.select(F.col(ROLES.event_id).alias("event")).distinct().collect()}
+
+    def derive(rows):  # the other session is faster
+        if not other.computed.get("twice"):
+            other.table("twice", lambda rows: rows.select(derived._PART, ROLES.row_id))
+        return rows.select(derived._PART, ROLES.row_id)
+
+    assert derived.DerivedTables(spark, where, ROLES).table("twice", derive).count() == now.count() == 500
+    assert not [n for n in (tmp_path / "snapshot" / derived.DERIVED).glob("*/.*") if not n.name.endswith(".crc")]  # nothing half done is left
+
+
+def test_only_new_parts_are_numbered(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(derived, "COMPACT", 3)
+    where = str(tmp_path / "snapshot")
+    snapshot.full_refresh(where, lambda start: from_records(spark, records(100, 1)), "2025-01-01", ROLES, by_day=True)
+    seen = numbered(derived.DerivedTables(spark, where, ROLES))
+    for seed, day in ((2, 7), (3, 9), (4, 11)):
+        snapshot.merge(spark, where, from_records(spark, records(400, seed, [day])), ROLES)
+        before, seen = seen, numbered(derived.DerivedTables(spark, where, ROLES))
+        assert before < seen
+    now, metadata = snapshot.load_snapshot(spark, where)
+    assert seen == {r[0] for r in now.select(ROLES.event_id).distinct().collect()}
+    listed = {p.parent.name: json.loads(p.read_text()) for p in (tmp_path / "snapshot" / derived.DERIVED).glob("event_numbers*/g*/parts.json")}
+    assert [len(listed[n]) for n in sorted(listed)] == [28, 1, 28, 1]  # the third holds all before it
+    tables = derived.DerivedTables(spark, where, ROLES)
+    derived.remove_old_pieces(tables)
+    assert numbered(tables) == seen and len(list((tmp_path / "snapshot" / derived.DERIVED).glob("event_numbers*/g*"))) == 2
+
+
+def test_other_bins_have_other_tables(spark, tmp_path):
+    where = str(tmp_path / "snapshot")
+    snapshot.full_refresh(where, lambda start: from_records(spark, records(60, 1)), "2025-01-01", ROLES, by_day=True)
+    bins = lambda spec: {r[0] for r in derived.DerivedTables(spark, where, ROLES, spec).day_counts().select("event_importance_bin").collect()}
+    assert "drug-related" in bins(DEFAULT_BINS)
+    assert bins(BinSpec({"all": ("theft", "narcotics", "assault")}, ("all",))) == {"all", BinSpec().unknown}
+
+
 def test_derived_tables_need_days(spark, tmp_path):
     where = str(tmp_path / "whole")
     snapshot.save_snapshot(from_records(spark, records(5, 1)), where, "2025-01-01")
