@@ -13,7 +13,10 @@ and rows that come or go meanwhile move no others into a page or out of one.
 
 from __future__ import annotations
 
+import http.client
 import json
+import time as clock
+import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Iterable, Iterator
@@ -46,11 +49,40 @@ def page_parameters(columns: list[str], time: str, row_id: str, where: list[str]
     return found | ({"$where": " AND ".join(where)} if where else {})
 
 
-def fetch_page(endpoint: str, parameters: dict[str, str], timeout: float = 10.0) -> list[dict]:
-    """Records of one page; an error unless the answer is a list of objects."""
+#: Answers after which the same request may succeed: the endpoint is busy, or something before it is.
+PASSING = frozenset({408, 425, 429, 500, 502, 503, 504})
+#: How often a request is made again, and the seconds before the first time; they double, up to the longest.
+RETRIES, PAUSE, LONGEST = 4, 0.5, 30.0
+
+
+def _pause(error: Exception, attempt: int) -> float | None:
+    """Seconds to wait before a request that failed is made again; None if that is no use."""
+    usual = min(PAUSE * 2**attempt, LONGEST)
+    if isinstance(error, urllib.error.HTTPError):
+        if error.code not in PASSING:
+            return None
+        asked = (error.headers.get("Retry-After") or "") if error.headers else ""
+        return min(max(usual, float(asked)), LONGEST) if asked.isdigit() else usual
+    return usual
+
+
+def fetch_page(endpoint: str, parameters: dict[str, str], timeout: float = 10.0, retries: int = RETRIES) -> list[dict]:
+    """Records of one page; an error unless the answer is a list of objects.
+
+    A request that meets a busy or unreachable endpoint is made again after a pause, up to ``retries`` times, so a hiccup costs a task one
+    page and not its window.
+    """
     positive(timeout, "timeout", (int, float))
-    with urllib.request.urlopen(f"{endpoint}?{urllib.parse.urlencode(parameters)}", timeout=timeout) as answer:  # noqa: S310
-        records = json.load(answer)
+    for attempt in range(retries + 1):
+        try:
+            with urllib.request.urlopen(f"{endpoint}?{urllib.parse.urlencode(parameters)}", timeout=timeout) as answer:  # noqa: S310
+                records = json.load(answer)
+            break
+        except (OSError, http.client.IncompleteRead) as error:  # HTTP errors, time-outs and lost connections are OSErrors
+            pause = _pause(error, attempt)
+            if pause is None or attempt == retries:
+                raise
+            clock.sleep(pause)
     if not isinstance(records, list) or not all(isinstance(r, dict) for r in records):
         raise ValueError("the endpoint's answer is no list of objects")
     return records

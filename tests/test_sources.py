@@ -3,6 +3,7 @@
 import json
 import sqlite3
 import threading
+import urllib.error
 import urllib.parse
 from datetime import date, datetime
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
@@ -179,6 +180,32 @@ def test_page_guards(endpoint):
         rest.fetch_page(url + "/bad", {"$limit": "1"})
 
 
+def test_hiccups_cost_a_page(spark, monkeypatch):
+    """A busy endpoint is asked again, page by page; an answer that says no is an error at once."""
+    monkeypatch.setattr(rest, "PAUSE", 0.01)
+    feed = Feed(RECORDS)
+    seen = []
+
+    def busy(asked, feed):
+        seen.append(asked)
+        if len(seen) % 3:  # two of three requests
+            raise BrokenPipeError  # the connection ends without an answer
+
+    feed.between = busy
+    records = rest.fetch_page(feed.url, {"$limit": "7"})
+    assert len(records) == 7 and len(seen) == 3
+    with pytest.raises(OSError):
+        rest.fetch_page(feed.url, {"$limit": "7"}, retries=1)
+    seen.clear()
+    assert rest.read_calls(spark, feed.url, "2025-01-01", "2025-02-01", windowDays=40, pageSize=20).count() == 60
+    assert len(seen) == 12  # four pages, each asked for three times
+    feed.server.shutdown()
+    error = lambda code, **headers: urllib.error.HTTPError("x", code, "", headers, None)
+    assert rest._pause(error(404), 0) is None and rest._pause(error(503), 1) == 0.02
+    assert rest._pause(error(429, **{"Retry-After": "3"}), 0) == 3 and rest._pause(error(429, **{"Retry-After": "900"}), 0) == rest.LONGEST
+    assert rest._pause(TimeoutError(), 0) == 0.01
+
+
 def test_snapshot_round_trip_refresh_and_stream(spark, tmp_path):
     where = str(tmp_path / "snapshot")
     first = from_records(spark, RECORDS[:30])
