@@ -134,7 +134,10 @@ def decode_ids(coded: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``encode_texts`` and ``decode_ids`` of its ids in one pass of the tasks."""
+    """``encode_texts`` and ``decode_ids`` of its ids in one pass of the tasks.
+
+    Null text counts as empty: no ids and no bytes.  A null id stays null; repeated rows are coded each for itself; no rows give none.
+    """
     rows, fields = _texts(docs)
     return shipped(rows).mapInArrow(lambda batches: _decode_batches(_encode_batches(batches, path, pattern, False), path), f"{fields}, content binary")
 

@@ -214,10 +214,7 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP12_SQL = r"""
 WITH docs AS (
-  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^
-]*
-|[^
-]+') AS units,
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units,
          sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS seed
   FROM documents
 ), seeded AS (
@@ -247,9 +244,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP13_SQL = r"""
 WITH docs AS (
   SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
-         list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	
-
-]+'), lambda x: x <> '') AS words
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS words
   FROM documents
 ), known AS (
   SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id

@@ -84,7 +84,8 @@ def judge_urls(
 ) -> DataFrame:
     """``page_id, host, path, rule, verdict, strict_hits, soft_terms`` of each row of ``pages``.
 
-    A null url has empty parts, no hits and is allowed.  Other columns are ignored.
+    A null url has empty parts, no hits and is allowed.  A null id stays null, and repeated rows are judged each for itself.
+    Time is in proportion to the url, however long.  Other columns are ignored; no rows give none.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
