@@ -21,9 +21,11 @@ def event_response(df: DataFrame, roles: Roles, spec: BinSpec = DEFAULT_BINS, ma
     require_columns(df, r.event_id, r.row_id, r.event_time, r.arrival_time, r.category, r.priority, r.place)
     order = F.struct(F.col(r.event_time).isNull(), r.event_time, r.row_id, *r.ties)
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), order))
+    needed = dict.fromkeys([r.event_id, r.row_id, r.event_time, r.arrival_time, r.category, r.priority, r.place, *r.ties])
+    # rows are dealt as they are, if they are not yet: what three first values keep of a row is larger than the row
+    dealt = df.filter(F.col(r.event_id).isNotNull()).select(*needed).repartition(r.event_id)
     events = (
-        df.filter(F.col(r.event_id).isNotNull())
-        .groupBy(r.event_id)
+        dealt.groupBy(r.event_id)
         .agg(
             F.min(r.event_time).alias("queued_time"),
             F.min(r.arrival_time).alias("first_arrival_time"),

@@ -45,14 +45,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines with their order, part and nation, dealt by ``event_id``: what groups or orders rows by event needs no further shuffle."""
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     customers, nations, parts = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation"), table(spark, sf_dir, "part")
-    joined = (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(parts.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
-        .join(customers.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(F.broadcast(nations.select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey"))  # a table of fixed size
-    )
+    placed = orders.join(customers.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    placed = placed.join(F.broadcast(nations.select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey"))  # a table of fixed size
+    typed = lines.join(parts.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    joined = typed.join(placed, F.col("l_orderkey").cast("string") == F.col("o_orderkey").cast("string"))
     return joined.select(
         F.col("l_orderkey").cast("string").alias("event_id"),
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("row_id"),

@@ -41,6 +41,23 @@ def test_topk_and_latest_row_need_no_full_sort(spark):
     assert "WindowGroupLimit" in _plan(catalog.QUERIES["latest_per_event"](spark, SF))
 
 
+def test_rows_of_an_event_are_dealt_once(spark):
+    from incidara.operators import response
+
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(catalog.QUERIES["response_rollup"](spark, SF))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    above, _, below = plan.partition("SortMergeJoin [cast(l_orderkey")
+    assert below and "Aggregate" in above and "Exchange" not in above
+    rows = bindings.calls(spark, SF).limit(50).collect()
+    calls = spark.createDataFrame(rows, bindings.calls(spark, SF).schema)
+    above, _, below = _plan(response.event_response(calls, bindings.CALL_ROLES)).partition("Exchange hashpartitioning(event_id")
+    assert "partial_min_by" in above and "Aggregate" not in below and "Exchange" not in below
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as entry
 
