@@ -121,13 +121,13 @@ def _within(df: DataFrame, time: str, cutoff: str | None) -> DataFrame:
     return df if cutoff is None else df.filter(F.col(time) >= F.lit(cutoff).cast(df.schema[time].dataType))
 
 
-def _described(spark, directory, schema, parts, version, time, cutoff, unique, source_start_date) -> tuple[DataFrame, dict]:
-    """The rows of parts, and their metadata.  Only in the day of the cutoff rows are looked at."""
+def _described(spark, directory, schema, parts, version, time, cutoff, unique, source_start_date) -> dict:
+    """The metadata of parts.  Only in the day of the cutoff rows are looked at."""
     edge = [p for p in parts if cutoff is not None and p["day"] == cutoff[:10]]
     rows = sum(p["rows"] for p in parts if p not in edge)
     if edge:
         rows += _within(_read_parts(spark, directory, schema, edge), time, cutoff).count()
-    metadata = {
+    return {
         "refreshed_at_utc": datetime.now(UTC).isoformat(),
         "source_start_date": source_start_date,
         "row_count": rows,
@@ -139,7 +139,6 @@ def _described(spark, directory, schema, parts, version, time, cutoff, unique, s
         "unique": unique,
         "parts": parts,
     }
-    return _rows(spark, directory, metadata), metadata
 
 
 def _rows(spark: SparkSession, directory: str, metadata: dict) -> DataFrame:
@@ -162,8 +161,8 @@ def save_snapshot(
     spark, version = df.sparkSession, uuid.uuid4().hex
     after = _metadata_name(spark, directory)
     parts = _write_parts(df, directory, version, time, row_id)
-    written, metadata = _described(spark, directory, df.schema, parts, version, time, None, unique, None)
-    metadata["source_start_date"] = source_start_date(written) if callable(source_start_date) else source_start_date
+    metadata = _described(spark, directory, df.schema, parts, version, time, None, unique, None)
+    metadata["source_start_date"] = source_start_date(_rows(spark, directory, metadata)) if callable(source_start_date) else source_start_date
     return f"{directory}/{DATA}/{version}", _commit(spark, directory, metadata, after)
 
 
@@ -221,6 +220,17 @@ def _touched(existing: DataFrame, fresh: DataFrame, roles: Roles) -> set[str | N
     return {r["day"] for r in fresh.select(day).unionByName(again).distinct().collect()}
 
 
+def _staying(stored: DataFrame, fresh: DataFrame, row_id: str) -> DataFrame:
+    """Stored rows whose id no fresh row has; stored rows are not shuffled for a batch that can be broadcast."""
+    ids = fresh.select(F.col(row_id).alias("_incidara_id"))
+    return stored.join(ids, F.col(row_id).eqNullSafe(F.col("_incidara_id")), "left_anti")
+
+
+def _one_each(rows: DataFrame, roles: Roles) -> DataFrame:
+    """The latest row of each row id."""
+    return upsert_keep_last(rows.limit(0), rows, roles.row_id, F.col(roles.event_time).desc_nulls_last(), *roles.ties)
+
+
 def merge(spark: SparkSession, directory: str, fresh: DataFrame, roles: Roles, days: int = RETENTION_DAYS, source_start_date: str | None = None) -> tuple[str, str]:
     """Upsert ``fresh`` by row id and keep ``days`` days up to the latest time; days that this does not touch stay as they are.
 
@@ -233,27 +243,31 @@ def merge(spark: SparkSession, directory: str, fresh: DataFrame, roles: Roles, d
     nothing = spark.createDataFrame([], old)
     require_columns(nothing, roles.row_id, roles.event_time)
     coming = f"{directory}/{DATA}/{version}-fresh"
-    fresh.write.parquet(coming)  # it is read three times, and may come from far
+    fresh.write.parquet(coming)  # it is read several times, and may come from far
     try:
         fresh = spark.read.schema(fresh.schema).parquet(coming)
         schema = nothing.unionByName(fresh.limit(0), allowMissingColumns=True).schema
         existing = _rows(spark, directory, metadata)
-        daily = metadata["time"] == roles.event_time and metadata["unique"] and all(schema[f.name].dataType == f.dataType for f in old.fields)
+        same = all(schema[f.name].dataType == f.dataType for f in old.fields)
+        daily = metadata["time"] == roles.event_time and metadata["unique"] and same
         if daily:
             touched = _touched(existing, fresh, roles)
             stay = [p for p in metadata["parts"] if p["day"] is not None and p["day"] not in touched]
         else:
             stay = []
         changing = _rows(spark, directory, metadata | {"parts": [p for p in metadata["parts"] if p not in stay]}) if stay else existing
-        rows = upsert_keep_last(changing, fresh, roles.row_id, F.col(roles.event_time).desc_nulls_last(), *roles.ties)
-        if daily:  # the latest fresh row stays whatever its id, so what is too old beside it, or beside a day that stays, is not written
-            latest = fresh.agg(F.max(roles.event_time).cast("string").alias("latest")).first()["latest"]
-            sure = [datetime.fromisoformat(t) for t in (latest, *(p["last"] for p in stay)) if t]
-            if sure:
-                rows = _within(rows, roles.event_time, (max(sure) - timedelta(days=days)).isoformat(sep=" "))
-        else:  # all days are new: those that go at once are not written
-            latest = rows.agg((F.max(roles.event_time) - F.expr(f"INTERVAL {int(days)} DAYS")).alias("cutoff"))
-            rows = rows.join(F.broadcast(latest), F.col(roles.event_time) >= F.col("cutoff"))
+        changing, coming_rows = changing.unionByName(fresh.limit(0), allowMissingColumns=True), existing.limit(0).unionByName(fresh, allowMissingColumns=True)  # of one schema
+        latest = coming_rows.select(roles.event_time)  # the latest fresh row stays whatever its id, so what is too old beside it, or beside a day that stays, is not written
+        if not daily:  # all days are new, and no part tells its last row
+            latest = latest.unionByName(_staying(changing, coming_rows, roles.row_id).select(roles.event_time))
+        latest = latest.agg(F.max(roles.event_time).cast("string").alias("latest")).first()["latest"]
+        sure = [datetime.fromisoformat(x) for x in (latest, *(p["last"] for p in stay)) if x]
+        oldest = (max(sure) - timedelta(days=days)).isoformat(sep=" ") if sure else None
+        # of an id the latest row counts, so older ones may go before it is found
+        kept = _staying(_within(changing, roles.event_time, oldest), coming_rows, roles.row_id)
+        if not (metadata["unique"] and same):
+            kept = _one_each(kept, roles)
+        rows = kept.unionByName(_within(_one_each(coming_rows, roles), roles.event_time, oldest))
         parts = _write_parts(rows.filter(F.col(roles.event_time).isNotNull()).select(*schema.names), directory, version, roles.event_time, roles.row_id)
     finally:
         _delete(spark, coming)
@@ -263,7 +277,7 @@ def merge(spark: SparkSession, directory: str, fresh: DataFrame, roles: Roles, d
     cutoff = max(lasts) - timedelta(days=days)
     parts = sorted((p for p in stay + parts if date.fromisoformat(p["day"]) >= cutoff.date()), key=lambda p: p["day"])
     start = source_start_date or cutoff.date().isoformat()
-    _, metadata = _described(spark, directory, schema, parts, version, roles.event_time, cutoff.isoformat(sep=" "), True, start)
+    metadata = _described(spark, directory, schema, parts, version, roles.event_time, cutoff.isoformat(sep=" "), True, start)
     return f"{directory}/{DATA}/{version}", _commit(spark, directory, metadata, after)
 
 
@@ -293,5 +307,5 @@ def full_refresh(directory: str, fetch, start_date: str, roles: Roles | None = N
     rows = fetch(start_date)
     if roles is None:
         return save_snapshot(rows, directory, start_date)
-    rows = upsert_keep_last(rows.limit(0), rows, roles.row_id, F.col(roles.event_time).desc_nulls_last(), *roles.ties)
+    rows = _one_each(rows, roles)
     return save_snapshot(rows, directory, start_date, *((roles.event_time, roles.row_id) if by_day else ()), unique=True)

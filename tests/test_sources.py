@@ -300,6 +300,34 @@ def test_retention_drops_days_and_filters_one(spark, tmp_path):
     assert metadata["cutoff"] == "2025-01-10 05:00:00" and metadata["source_start_date"] == "2025-01-10" and metadata["row_count"] == len(want)
 
 
+@pytest.mark.parametrize("by_day", [False, True])
+def test_stored_rows_of_unique_ids_are_not_grouped_again(spark, tmp_path, monkeypatch, by_day):
+    where, plans = str(tmp_path / "snapshot"), []
+    snapshot.full_refresh(where, lambda start: from_records(spark, RECORDS), "2025-01-01", ROLES, by_day)
+    write = snapshot._write_parts
+    monkeypatch.setattr(snapshot, "_write_parts", lambda df, *rest: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, *rest))
+    snapshot.merge(spark, where, from_records(spark, RECORDS[:2]), ROLES)
+    stored, _, batch = plans[0].partition("LeftAnti")[2].partition("Window [")
+    assert batch and "hashpartitioning" not in stored and "Window [" not in batch
+    assert " >= 2024-01-29 07:00:00" in stored  # before anything else
+    assert snapshot.load_snapshot(spark, where)[0].count() == 60
+
+
+def test_an_old_fresh_row_still_replaces_its_stored_one(spark, tmp_path):
+    """Of ids that are stored twice, in a snapshot not yet by day: rows too old are left out before ids are looked at, and none comes back."""
+    where, time = str(tmp_path / "snapshot"), "cad_event_original_time_queued"
+    twice = [r | {time: "2025-01-27T12:00:00.000", "priority": "9"} for r in RECORDS[:20]]
+    snapshot.save_snapshot(from_records(spark, RECORDS + twice), where, "2025-01-01")
+    old = [RECORDS[k] | {time: "2024-06-01T00:00:00.000"} for k in (3, 50)]
+    both = [RECORDS[4] | {time: t} for t in ("2024-07-01T00:00:00.000", "2025-01-26T00:00:00.000")]
+    snapshot.merge(spark, where, from_records(spark, [*old, *both, RECORDS[5] | {time: None}]), ROLES, days=10)
+    got = {r[ROLES.row_id]: str(r[time]) for r in snapshot.load_snapshot(spark, where)[0].collect()}
+    want = {r["call_sign_dispatch_id"]: r[time] for r in RECORDS + twice} | {"R003": "", "R050": "", "R005": "", "R004": both[1][time]}
+    latest = max(want.values())
+    assert latest == "2025-01-28T07:00:00.000"
+    assert got == {k: t[:19].replace("T", " ") for k, t in want.items() if t >= "2025-01-18T07:00:00.000"}
+
+
 def test_refresh_edges(spark, tmp_path):
     where = str(tmp_path / "snapshot")
     with pytest.raises(FileNotFoundError):
